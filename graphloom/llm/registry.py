@@ -7,6 +7,8 @@ from importlib import import_module
 #: Query name and the module that has its query(), and its SQL where DuckDB can express it.
 MODULES = {
     "op2_packing": "packing",
+    "op6_secret_scan": "secret_scan",
+    "op9_chat_formatting": "chat_format",
     "op8_exact_dedup": "exact_dedup",
 }
 
