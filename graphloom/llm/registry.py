@@ -9,6 +9,7 @@ MODULES = {
     "op2_packing": "packing",
     "op6_secret_scan": "secret_scan",
     "op9_chat_formatting": "chat_format",
+    "op10_language_id": "language_id",
     "op8_exact_dedup": "exact_dedup",
 }
 
