@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name and the module that has its query(), and its SQL where DuckDB can express it.
 MODULES = {
     "op2_packing": "packing",
+    "op5_minhash_near_dedup": "minhash_dedup",
     "op6_secret_scan": "secret_scan",
     "op9_chat_formatting": "chat_format",
     "op10_language_id": "language_id",
