@@ -10,6 +10,8 @@ MODULES = {
     "op5_minhash_near_dedup": "minhash_dedup",
     "op6_secret_scan": "secret_scan",
     "op9_chat_formatting": "chat_format",
+    "op1_sentencepiece": "sentencepiece_scan",
+    "op3_token_counts": "token_counts",
     "op10_language_id": "language_id",
     "op8_exact_dedup": "exact_dedup",
 }
