@@ -12,6 +12,7 @@ MODULES = {
     "op9_chat_formatting": "chat_format",
     "op1_sentencepiece": "sentencepiece_scan",
     "op3_token_counts": "token_counts",
+    "op4_license_scan": "license_scan",
     "op10_language_id": "language_id",
     "op8_exact_dedup": "exact_dedup",
 }
