@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -25,6 +26,8 @@ EPOCHS, ALPHA, BETA, L1, L2 = 4, 2.0, 0.1, 1e-5, 1e-6
 #: Texts are worked on in groups of about so many characters.
 BLOCK = 1 << 18
 UNKNOWN = "und"
+#: Below this calibrated probability a filter rejects a text: the best language is then less likely than not.
+MIN_SCORE = 0.5
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -230,8 +233,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE, max_languages: int = MAX_LA
     return Model(languages, np.asfortranarray((w * idf[:, None]).astype(np.float32)), bias, temperature(logits, np.array([y for *_, y in check], int)))
 
 
-def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score per row; und and 0 for texts that are null or have no letter, and when there is no model."""
+def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """payload (a struct of all columns of df), lang_pred, score per row; und and 0 for texts that are null or have no letter, and when there is no model."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,10 +244,16 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 part = b.slice(at, 256)
                 texts = part.column(1).to_pylist()
                 names, scores = held.predict(texts, alphabet) if held else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["payload", "lang_pred", "score"])
 
-    kind = df.select(F.col(id_col)).schema[0].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("payload"), df[text_col].alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["payload"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+
+def accepted(df: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of df (doc_id, text, lang and any others) whose language is recognised with at least min_score."""
+    found = predict(df, train(df.where(F.col("doc_id").isNotNull() & ~held_out())))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("payload.*")
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -259,7 +268,8 @@ def identify(df: DataFrame) -> DataFrame:
     table gives no rows; without anything to learn from every row is und.
     """
     model = train(df.where(F.col("doc_id").isNotNull() & ~held_out()))
-    return predict(df, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    found = predict(df.select("doc_id", "text"), model)
+    return found.select("payload.doc_id", held_out("payload.doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ MODULES = {
     "op1_sentencepiece": "sentencepiece_scan",
     "op3_token_counts": "token_counts",
     "op4_license_scan": "license_scan",
+    "op7_embedding_near_dedup": "embedding_dedup",
     "op10_language_id": "language_id",
     "op8_exact_dedup": "exact_dedup",
 }

@@ -72,16 +72,11 @@ def spans(text: Column, rule: Rule, no: int) -> Column:
     return F.when(hit, found).otherwise(empty)
 
 
-def scan(history: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per row of history: doc_id, blob, spans (array of SPAN by start, then rule).
-
-    history has a row for each version of each path; null text counts as empty, repeated rows and null ids give a row
-    each, an empty table none.  ledger is a folder in storage that all nodes share; it is created or added to.
-    """
+def update(history: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans the (blob, rule version) pairs of history that the ledger lacks and adds them to it; returns (doc_id, blob) per row."""
     spark = history.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
     versions = F.array(*(F.lit(r.version) for r in rules))
-    source = history.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
+    source = history.select(F.col(id_col).alias("doc_id"), content(text_col).alias("text"), address(text_col).alias("blob"))
     paths = cut(source.select("doc_id", "blob"))
     todo = paths.groupBy("blob").agg(F.min("doc_id").alias("any_id"))
     if exists(spark, ledger):
@@ -94,12 +89,43 @@ def scan(history: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str
     fresh = source.join(todo.hint("shuffle_hash"), (F.col("blob") == F.col("todo_blob")) & F.col("doc_id").eqNullSafe(F.col("any_id")))
     found = [F.when(F.array_contains("due", r.version), spans(F.col("text"), r, i)) for i, r in enumerate(rules)]
     fresh.select("blob", F.col("due").alias("versions"), F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("spans")).write.mode("append").parquet(ledger)
+    return paths
 
-    now = spark.read.parquet(ledger).where(F.size("spans") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
+
+def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, spans) of the blobs in which the given rules found something, by start, then rule."""
+    versions = F.array(*(F.lit(r.version) for r in rules))
     order = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.version, i)))
+    now = spark.read.parquet(ledger).where(F.size("spans") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
     current = F.transform(F.filter("spans", lambda s: F.array_contains(versions, s["version"])), lambda s: s.withField("no", order[s["version"]]))
-    findings = now.select("blob", F.array_sort(current).alias("spans"))
-    return paths.join(findings, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+    return now.select("blob", F.array_sort(current).alias("spans")).where(F.size("spans") > 0)
+
+
+def scan(history: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row per row of history: doc_id, blob, spans (array of SPAN by start, then rule).
+
+    history has a row for each version of each path; null text counts as empty, repeated rows and null ids give a row
+    each, an empty table none.  ledger is a folder in storage that all nodes share; it is created or added to.
+    """
+    paths = update(history, ledger, id_col, text_col, rules)
+    found = findings(history.sparkSession, ledger, rules)
+    return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+
+
+def redact(df: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """df with found secrets replaced in its texts; other columns and their order stay."""
+    update(df, ledger, id_col, text_col, rules)
+    found = findings(df.sparkSession, ledger, rules).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    joined = df.join(found.hint("shuffle_hash"), address(text_col) == F.col("__blob"), "left")
+    return joined.select(*(F.when(F.col("__spans").isNotNull(), redacted(F.col(c), F.col("__spans"))).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in df.columns))
+
+
+def content(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col), F.lit(""))
+
+
+def address(text_col: str) -> Column:
+    return F.unhex(F.sha2(content(text_col), 256))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
