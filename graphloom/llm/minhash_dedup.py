@@ -5,11 +5,12 @@ combines one group of either collection, so tables**2 keys of 2 * rows minhashes
 A pair of similarity s meets in some table unless one whole collection fails: 1 - (1 - (1 - s**rows)**tables)**2.  With 3
 and 15 that is 0.0005 at s = 0.75 and 0.00004 at 0.8.  Documents with the same shingle set are one node throughout.
 
-Candidates never come as all pairs of a bucket.  First each bucket's members are compared with its smallest node; verified
-links are contracted to components.  Buckets that still hold several components are split into blocks, and tasks compare
-the signatures of block against block, skipping what is already connected, and emit only pairs whose signatures agree on
-more than `least_agreement` of the minhashes (0.52: five standard deviations below 0.75).  Every link is verified
-on the full shingle sets.
+Candidates never come as all pairs of a bucket.  First each bucket's members are compared with its smallest node, then, in
+buckets that still hold several components, with one drawn by hash: members of a large group meet other hubs in each of
+their buckets.  Verified links are contracted to components after each step.  What still differs is split into blocks, and
+tasks compare the signatures of block against block, skipping what is connected, and emit a pair in the first table only
+that it shares.  Pairs go on if their signatures agree on more than `least_agreement` of the minhashes (0.58: 3.7 standard
+deviations below 0.75).  Every link is verified on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +27,7 @@ from .common import SHINGLE_WORDS, WordHashes, components, cut, shingles
 
 ROWS, TABLES = 3, 15
 PERCENT = 75
-LEAST_AGREEMENT = 0.52
+LEAST_AGREEMENT = 0.58
 BLOCK = 512
 #: Shingles hashed at a time.
 CHUNK = 2048
@@ -73,17 +73,19 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, rows: int, tab
 
 
 def buckets(nodes: DataFrame, rows: int, tables: int) -> DataFrame:
-    """(bucket, node): a row for each table in which a node can meet another.
+    """(bucket, table, node): a row for each table in which a node can meet another.
 
     A key of the tensored tables is shared only where both its factors are, so factors that one node alone has are
     dropped before the factors are combined.
     """
     group = lambda side, i: F.xxhash64(F.lit(side), F.lit(i), *(F.col("signature")[side * tables * rows + i * rows + r] for r in range(rows)))
-    each = F.array(*(F.struct(F.lit(side).cast("byte").alias("side"), group(side, i).alias("factor")) for side in (0, 1) for i in range(tables)))
+    each = F.array(*(F.struct(F.lit(side * tables + i).cast("short").alias("place"), group(side, i).alias("factor")) for side in (0, 1) for i in range(tables)))
     factors = nodes.select("node", F.explode(each).alias("f")).select("node", "f.*")
     shared = factors.groupBy("factor").agg(F.count("*").alias("n")).where("n > 1").select("factor")
-    met = factors.join(shared, "factor", "left_semi").groupBy("node").agg(F.collect_set(F.when(F.col("side") == 0, F.col("factor"))).alias("a"), F.collect_set(F.when(F.col("side") == 1, F.col("factor"))).alias("b"))
-    return met.select("node", F.explode("a").alias("a"), "b").select("node", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("bucket"), "node")
+    factor = F.struct("place", "factor")
+    met = factors.join(shared, "factor", "left_semi").groupBy("node").agg(F.collect_set(F.when(F.col("place") < tables, factor)).alias("a"), F.collect_set(F.when(F.col("place") >= tables, factor)).alias("b"))
+    both = met.select("node", F.explode("a").alias("a"), "b").select("node", "a", F.explode("b").alias("b"))
+    return both.select(F.xxhash64("a.factor", "b.factor").alias("bucket"), (F.col("a.place") * tables + F.col("b.place") - tables).cast("int").alias("table"), "node")
 
 
 def agreement(x, y) -> F.Column:
@@ -97,8 +99,8 @@ def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return both.where(agreement("sx", "sy") > least * F.size("sx")).select("x", "y")
 
 
-def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """Pairs (x, y) with 100 * |intersection| >= percent * |union| of their full shingle sets."""
+def shingle_sets(wanted: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(node, shingles): the full sets of the wanted nodes, as sorted unsigned 64-bit numbers."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -107,6 +109,14 @@ def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, words, k).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["node", "shingles"])
 
+    ids = wanted.select(F.col("node").alias("wanted")).distinct()
+    texts = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(ids.hint("shuffle_hash"), F.col("node") == F.col("wanted"), "left_semi")
+    return texts.mapInArrow(sets, f"node {texts.schema['node'].dataType.simpleString()}, shingles binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) with 100 * |intersection| >= percent * |union| of their full shingle sets."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -117,43 +127,66 @@ def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["x", "y"])
 
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("needed")).distinct()
-    texts = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(needed.hint("shuffle_hash"), F.col("node") == F.col("needed"), "left_semi")
-    kind = texts.schema["node"].dataType.simpleString()
-    full = cut(texts.mapInArrow(sets, f"node {kind}, shingles binary"))
-    both = pairs.join(full.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x").join(full.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), "y")
-    return both.select("x", "y", "sx", "sy").mapInArrow(compare, f"x {kind}, y {kind}").distinct()
+    kind = sets.schema["node"].dataType.simpleString()
+    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), "y")
+    return cut(both.select("x", "y", "sx", "sy").mapInArrow(compare, f"x {kind}, y {kind}").distinct())
 
 
-def unlike(members: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """Pairs of different components in the same bucket whose signatures agree often enough.
+def unlike(members: DataFrame, least: float, rows: int = ROWS, tables: int = TABLES, block: int | None = None) -> DataFrame:
+    """Pairs of different components that share a bucket and whose signatures agree often enough, each once.
 
-    members: bucket, node, component, signature.  A bucket of n members is dealt into n / block blocks by node hash, and
-    block meets block in tasks of their own, so no task holds more than about two blocks.
+    members: bucket, table, node, component, signature.  A bucket of n members is dealt into n / block blocks by node
+    hash, and block meets block in groups of their own, so no group holds more than about two blocks.
     """
+    block = block or BLOCK
     kind = members.schema["node"].dataType.simpleString()
     sized = members.join(members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "bucket")
     own = F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int")
-    dealt = sized.withColumn("own", own).select("bucket", "node", "component", "signature", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "signature")
+    dealt = sized.withColumn("own", own).select("bucket", "table", "node", "component", "signature", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "table", "node", "component", "signature")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("component", kind="stable")
-        s, c, n = np.stack(pdf["signature"].to_numpy()), pdf["component"].to_numpy(), pdf["node"].to_numpy()
-        own, across = pdf["own"].to_numpy(), pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
+    def pairs(own, c, n, s, table, across: bool):
         names, sizes = np.unique(c, return_counts=True)
-        largest = names[sizes.argmax()]
-        out = []
+        if len(names) < 2:
+            return
+        largest, at = names[sizes.argmax()], np.arange(len(c))
         for i in np.flatnonzero(c != largest):
+            same = s == s[i]
             # Pairs with the largest component, and each other pair once.
-            other = np.flatnonzero((c == largest) | ((c != c[i]) & (np.arange(len(c)) > i)))
+            other = (same.sum(1) > least * s.shape[1]) & ((c == largest) | ((c != c[i]) & (at > i)))
             if across:
-                other = other[own[other] != own[i]]
-            agree = (s[other] == s[i]).sum(1) > least * s.shape[1]
-            out += [(min(n[i], m), max(n[i], m)) for m in n[other[agree]]]
-        return pd.DataFrame(out, columns=["x", "y"])
+                other &= own != own[i]
+            where = np.flatnonzero(other)
+            if len(where):
+                groups = same[where].reshape(len(where), 2, tables, rows).all(3)
+                first = groups[:, 0].argmax(1) * tables + groups[:, 1].argmax(1)
+                for m in n[where[first == table]].tolist():
+                    yield (min(n[i], m), max(n[i], m))
 
-    return dealt.groupBy("bucket", "lo", "hi").applyInPandas(compare, f"x {kind}, y {kind}").distinct()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            t = t.combine_chunks()
+            key = np.stack([t.column(c).to_numpy() for c in ("bucket", "lo", "hi")], 1)
+            edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
+            held = t.slice(int(edges[-1]))
+            if len(edges) > 1:
+                yield found(t, edges)
+        if held is not None and held.num_rows:
+            yield found(held.combine_chunks(), np.array([0]), True)
+
+    def found(t: pa.Table, edges: np.ndarray, last: bool = False) -> pa.RecordBatch:
+        lo, hi, own, table, n, c = (t.column(x).to_numpy() for x in ("lo", "hi", "own", "table", "node", "component"))
+        s = t.column("signature").chunk(0).flatten().to_numpy().reshape(len(n), 2 * tables * rows)
+        ends = np.r_[edges[1:], len(n)] if last else edges[1:]
+        out = [p for a, e in zip(edges, ends, strict=False) if e - a > 1 for p in pairs(own[a:e], c[a:e], n[a:e], s[a:e], table[a], lo[a] != hi[a])]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], t.schema.field("node").type), pa.array([y for _, y in out], t.schema.field("node").type)], names=["x", "y"])
+
+    sorted_ = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return sorted_.mapInArrow(compare, f"x {kind}, y {kind}").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = SHINGLE_WORDS, percent: int = PERCENT, rows: int = ROWS, tables: int = TABLES, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
@@ -164,20 +197,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with a null id links with nothing, has a null component and is kept.  An empty table gives no rows.
     """
     docs = cut(signatures(df, id_col, text_col, k, rows, tables))
-    sets = docs.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.any_value("signature").alias("signature"))
-    nodes = cut(sets)
+    nodes = cut(docs.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.any_value("signature").alias("signature")))
     met = cut(buckets(nodes, rows, tables))
     hubs = met.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("bucket", "hub")
-    shared = cut(met.join(hubs, "bucket"))
-    stars = shared.where("node > hub").select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct()
-    stars = cut(likely(stars, nodes, least_agreement))
-    links = cut(verified(stars, df, id_col, text_col, k, percent))
-    found = components(links, "x", "y")
-    named = shared.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    members = named.join(mixed, "bucket", "left_semi").join(nodes.select("node", "signature"), "node")
-    rest = cut(unlike(members, least_agreement).join(stars, ["x", "y"], "left_anti"))
-    more = verified(rest, df, id_col, text_col, k, percent)
+    shared = cut(met.join(hubs, "bucket").where("node > hub"))
+    stars = cut(likely(shared.select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct(), nodes, least_agreement))
+    sets = cut(shingle_sets(shared.select("node").unionByName(shared.select(F.col("hub").alias("node"))), df, id_col, text_col, k))
+    links = verified(stars, sets, percent)
+
+    # A second hub for buckets whose other members are not yet one component.
+    named = lambda members, links: members.join(components(links, "x", "y"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    others = named(shared.select("bucket", "table", "node"), links)
+    order = F.xxhash64("bucket", "node")
+    mixed = others.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct(F.col("node").alias("hub"), F.col("component").alias("of")), order).alias("h")).where("lo < hi").select("bucket", "h.*")
+    members = cut(others.join(mixed, "bucket"))
+    second = members.where("component <> of").select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct()
+    second = cut(likely(second.join(stars, ["x", "y"], "left_anti"), nodes, least_agreement))
+    links = cut(links.unionByName(verified(second, sets, percent)))
+
+    # The rest, block against block.
+    others = named(members.where("node <> hub").select("bucket", "table", "node"), links)
+    mixed = others.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    rest = unlike(others.join(mixed, "bucket", "left_semi").join(nodes.select("node", "signature"), "node"), least_agreement, rows, tables)
+    more = verified(rest.join(stars.unionByName(second), ["x", "y"], "left_anti"), sets, percent)
     # Rows that repeat an id tie the sets of that id together.
     versions = docs.where("doc_id IS NOT NULL AND set_id IS NOT NULL").join(nodes.select("set_id", "node"), "set_id")
     repeated = versions.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y")
