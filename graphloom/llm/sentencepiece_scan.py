@@ -11,6 +11,7 @@ unigram.py), and results are those of the SentencePiece library for that model.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from .unigram import NEVER, SPACE, Unigram
 
 CHUNK = 16384
 GROUP = 64
+PRIME, BASE = (1 << 31) - 1, 1_000_003
+POWERS = np.array([pow(BASE, i, PRIME) for i in range(1 << 15)], np.int64)
 
 
 def transfer(model: Unigram, text: str, size: int) -> np.ndarray:
@@ -71,17 +74,17 @@ def states(matrices: list[np.ndarray], entry: np.ndarray, exit_state: int) -> li
     return out[::-1]
 
 
-def backtrace(model: Unigram, text: str, size: int, entry: int, exit_state: int) -> list[int]:
+def backtrace(model: Unigram, text: str, size: int, entry: int, exit_state: int) -> bytes:
     end = size + exit_state
     marks = [i for i in range(max(entry, 1), size) if text[i] == SPACE and text[i - 1] != SPACE]
     if not marks:
         _, back = model.paths(text, {entry: 0}, size)
-        return model.ids_back(text, back, entry, end)
+        return ids_bytes(model.ids_back(text, back, entry, end))
     a, b = marks[0], marks[-1]
     _, back = model.paths(text[:a], {entry: 0}, a)
-    out = model.ids_back(text[:a], back, entry, a) + model.encode(text[a:b])[1]
+    out = ids_bytes(model.ids_back(text[:a], back, entry, a)) + model.encode(text[a:b])[1]
     _, back = model.paths(text[b:], {0: 0}, size - b)
-    return out + model.ids_back(text[b:], back, 0, end - b)
+    return out + ids_bytes(model.ids_back(text[b:], back, 0, end - b))
 
 
 def ids_bytes(ids: list[int]) -> bytes:
@@ -89,7 +92,10 @@ def ids_bytes(ids: list[int]) -> bytes:
 
 
 def encode_giants(texts: DataFrame, model_path: str, chunk: int, group: int) -> DataFrame:
-    """(key, part, ids) of distinct texts (key, text), by the scan."""
+    """(key, part, ids, source) of texts (key, text), by the scan; equal texts count once.
+
+    source is the SHA-256 of the stretch of text that the ids of a chunk stand for.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ahead = Unigram(model_path).longest - 1
@@ -137,16 +143,20 @@ def encode_giants(texts: DataFrame, model_path: str, chunk: int, group: int) ->
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Unigram(model_path)
         for b in batches:
-            found = [ids_bytes(backtrace(model, *x)) for x in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["key", "part", "ids"])
-
-    chunks = cut(texts.mapInArrow(split, "key binary, part long, size long, text string, last boolean").repartition("key", "part"))
+            ids, sources = [], []
+            for part, text, size, enter, leave in zip(*(b.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                ids.append(backtrace(model, text, size, enter, leave))
+                sources.append(hashlib.sha256(text[enter : size + leave].replace(SPACE, " ")[part == 0 :].encode("utf-8", "surrogatepass")).digest())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(sources, pa.binary())], names=["key", "part", "ids", "source"])
+
+    # Dealt by (key, part): the chunks of one text spread over all tasks.
+    chunks = texts.mapInArrow(split, "key binary, part long, size long, text string, last boolean").groupBy("key", "part").agg(*(F.any_value(c).alias(c) for c in ("size", "text", "last")))
     steps = cut(chunks.mapInArrow(matrices, "key binary, part long, last boolean, matrix array<long>"))
     grouped = steps.withColumn("g", F.expr(f"part div {group}"))
     whole = grouped.groupBy("key", "g").applyInPandas(combine, "key binary, g long, last boolean, matrix array<long>")
     ends = whole.groupBy("key").applyInPandas(between_groups, "key binary, g long, enter long, leave long")
     bounds = grouped.groupBy("key", "g").cogroup(ends.groupBy("key", "g")).applyInPandas(within_group, "key binary, part long, enter long, leave long")
-    return chunks.join(bounds, ["key", "part"]).select("key", "part", "text", "size", "enter", "leave").mapInArrow(trace, "key binary, part long, ids binary")
+    return chunks.join(bounds, ["key", "part"]).select("key", "part", "text", "size", "enter", "leave").mapInArrow(trace, "key binary, part long, ids binary, source binary")
 
 
 def marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -164,7 +174,7 @@ def encode_whole(rows: DataFrame, model_path: str) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                found = [ids_bytes(model.encode(t)[1]) for t in part.column(2).to_pylist()]
+                found = model.encode_all(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([0] * len(found), pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "key", "part", "ids"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -175,8 +185,7 @@ def parts(df: DataFrame, id_col: str, text_col: str, model_path: str, chunk: int
     """Short rows encoded; the chunks of each distinct giant text by key; (doc_id, key) of the rows with a giant text."""
     rows = marked(df, id_col, text_col)
     giant = rows.where(F.length("text") > chunk)
-    distinct = giant.groupBy("key").agg(F.any_value("text").alias("text"))
-    return encode_whole(rows.where(F.length("text") <= chunk), model_path), encode_giants(distinct, model_path, chunk, group), giant.select("doc_id", "key")
+    return encode_whole(rows.where(F.length("text") <= chunk), model_path), encode_giants(giant.select("key", "text"), model_path, chunk, group), giant.select("doc_id", "key")
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model_path: str | None = None, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
@@ -190,7 +199,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, mod
 
 
 def decode(pieces: DataFrame, model_path: str | None = None) -> DataFrame:
-    """pieces with a column text: what the ids of each chunk stand for; a text is its chunks' texts joined in order."""
+    """pieces (with part and ids) and a column text: what the ids of each chunk stand for; a text is its chunks' texts joined in order."""
     model_path = model_path or default_model()
     names, kinds = pieces.columns, pieces.schema
 
@@ -205,6 +214,28 @@ def decode(pieces: DataFrame, model_path: str | None = None) -> DataFrame:
     return pieces.mapInArrow(run, T.StructType([*kinds, T.StructField("text", T.StringType())]))
 
 
+def id_hash(ids: np.ndarray) -> int:
+    """Polynomial hash of ids modulo PRIME; that of joined sequences follows from theirs: h(a + b) = h(a) * BASE**len(b) + h(b)."""
+    h = 0
+    for i in range(0, len(ids), 1 << 15):
+        part = ids[i : i + (1 << 15)].astype(np.int64) + 1
+        h = (h * pow(BASE, len(part), PRIME) + int((part * POWERS[len(part) - 1 :: -1][: len(part)]).sum())) % PRIME
+    return h
+
+
+def summary(pieces: DataFrame, model_path: str) -> DataFrame:
+    """Of pieces (their columns stay but ids): n, hash and whether decoding gives the text of source back."""
+    names = [c for c in pieces.columns if c not in ("ids", "source")]
+    texts = decode(pieces, model_path).withColumn("right", F.unhex(F.sha2("text", 256)) == F.col("source")).select(*names, "ids", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [np.frombuffer(i.as_buffer(), "<u4") for i in b.column("ids")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), b.column("right"), pa.array([len(i) for i in ids], pa.int64()), pa.array([id_hash(i) for i in ids], pa.int64())], names=[*names, "right", "n", "hash"])
+
+    return texts.mapInArrow(run, T.StructType([*texts.select(*names, "right").schema, T.StructField("n", T.LongType()), T.StructField("hash", T.LongType())]))
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -212,16 +243,23 @@ def default_model() -> str:
 
 
 def digest(df: DataFrame, model_path: str | None = None, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
-    """doc_id, n_tokens, n_chunks, ids_sha256 and round_trip (decoding gives the text back) per row of df.
+    """doc_id, n_tokens, n_chunks, ids_hash and round_trip (decoding gives the text back) per row of df.
 
-    Only the chunks of giant texts are gathered, once per distinct text.
+    Of the chunks of a giant text only their hashes are gathered.
     """
-    short, chunks, giant = parts(df, "doc_id", "text", model_path or default_model(), chunk, group)
-    row = lambda ids, n, text: (F.expr(f"length({ids}) div 4").alias("n_tokens"), n.cast("long").alias("n_chunks"), F.sha2(F.col(ids), 256).alias("ids_sha256"), (F.unhex(F.sha2(text, 256)) == F.col("key")).alias("round_trip"))
-    one = decode(short, model_path).select("doc_id", *row("ids", F.lit(1), F.col("text")))
-    long = decode(chunks, model_path).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part", "ids", "text"))).alias("p"))
-    whole = long.select("key", F.aggregate("p.ids", F.lit(b""), lambda a, b: F.concat(a, b)).alias("ids"), F.array_join("p.text", "").alias("text"), F.size("p").alias("n"))
-    return one.unionByName(giant.join(whole.select("key", *row("ids", F.col("n"), F.col("text"))), "key").drop("key"))
+    model_path = model_path or default_model()
+    short, chunks, giant = parts(df, "doc_id", "text", model_path, chunk, group)
+    one = summary(short.withColumn("source", F.col("key")), model_path).select("doc_id", F.col("n").alias("n_tokens"), F.lit(1).cast("long").alias("n_chunks"), F.col("hash").alias("ids_hash"), F.col("right").alias("round_trip"))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        h = 0
+        for n, x in zip(pdf["n"].tolist(), pdf["hash"].tolist(), strict=True):
+            h = (h * pow(BASE, n, PRIME) + x) % PRIME
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "n_tokens": pdf["n"].sum(), "n_chunks": len(pdf), "ids_hash": h, "round_trip": bool(pdf["right"].all())})
+
+    long = summary(chunks, model_path).groupBy("key").applyInPandas(join, "key binary, n_tokens long, n_chunks long, ids_hash long, round_trip boolean")
+    return one.unionByName(giant.join(long, "key").drop("key"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

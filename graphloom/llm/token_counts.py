@@ -1,8 +1,8 @@
 """Token counts by dynamic programming that a trie of pre-tokens shares.
 
-The distinct pre-tokens of a task go into a trie.  The best unigram score of a prefix depends on the prefix alone, so it
-and its number of pieces are computed once per trie node, from the nodes above; a pre-token's count stands at its last
-node.  A text's count is the sum over its pre-tokens.
+The distinct pre-tokens of a task go into tries.  The best unigram score of a prefix depends on the prefix alone, so it
+and its number of pieces are computed once per trie node, from the nodes above, level by level; a pre-token's count
+stands at its last node.  A text's count is the sum over its pre-tokens.
 """
 
 from __future__ import annotations
@@ -14,63 +14,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sentencepiece_scan import default_model, marked
-from .unigram import NEVER, Unigram, split_words
+from .unigram import LONG_WORD, TOGETHER, PrefixTrie, Unigram, split_words
 
-#: Nodes after which a task starts a new trie (a memory bound: results do not depend on it).
-NODES = 300_000
-#: Longer pre-tokens take the same recurrence without nodes of their own.
-DEEPEST = 256
+#: Terminal counts after which a task forgets them (a memory bound: results do not depend on it).
+TERMINALS = 400_000
 
 
-class PrefixTrie:
+class Terminals(dict):
+    """Pre-token: number of tokens."""
+
     def __init__(self, model: Unigram):
+        super().__init__()
         self.model = model
-        self.clear()
-
-    def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
-        self.best, self.count = [0], [0]
-        self.terminal: dict[str, int] = {}
-
-    def node(self, word: str, end: int, best: list[int], count: list[int]) -> tuple[int, int]:
-        """Best score and pieces of word[:end] from those of all its shorter prefixes."""
-        top, n, model = NEVER, 0, self.model
-        get = model.by_text.get
-        for start in range(max(0, end - model.longest), end):
-            s = get(word[start:end])
-            if s is not None and best[start] + s > top:
-                top, n = best[start] + s, count[start] + 1
-        c = word[end - 1]
-        if get(c) is None and best[end - 1] + model.unknown > top:
-            top, n = best[end - 1] + model.unknown, count[end - 1] + len(c.encode("utf-8", "replace"))
-        return top, n
-
-    def tokens(self, word: str) -> int:
-        known = self.terminal.get(word)
-        if known is not None:
-            return known
-        best, count = [0], [0]
-        if len(word) > DEEPEST:
-            for end in range(1, len(word) + 1):
-                s, n = self.node(word, end, best, count)
-                best.append(s)
-                count.append(n)
-            return count[-1]
-        if len(self.best) > NODES:
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > TERMINALS:
             self.clear()
-        at = 0
-        for end, c in enumerate(word, 1):
-            below = self.child.get((at, c))
-            if below is None:
-                s, n = self.node(word, end, best, count)
-                below = self.child[at, c] = len(self.best)
-                self.best.append(s)
-                self.count.append(n)
-            at = below
-            best.append(self.best[at])
-            count.append(self.count[at])
-        self.terminal[word] = count[-1]
-        return count[-1]
+            new = list(words)
+        short = sorted(w for w in new if len(w) <= LONG_WORD)
+        for at in range(0, len(short), TOGETHER):
+            part = short[at : at + TOGETHER]
+            self.update(zip(part, PrefixTrie(self.model, part).counts().tolist(), strict=True))
+        # A pre-token of great length shares no long prefix worth keeping: the same recurrence on its own.
+        self.update((w, len(self.model.alone(w)[1]) // 4) for w in new if len(w) > LONG_WORD)
 
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
@@ -82,13 +49,14 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = marked(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = None
+        held = None
         for b in batches:
-            trie = trie or PrefixTrie(Unigram(model_path))
+            held = held if held is not None else Terminals(Unigram(model_path))
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 words = [split_words(t) for t in part.column(1).to_pylist()]
-                tokens = [sum(map(trie.tokens, w)) for w in words]
+                held.learn(set().union(*words))
+                tokens = [sum(map(held.__getitem__, w)) for w in words]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(w) for w in words], pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_chars", "n_pretokens", "n_tokens"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -15,9 +15,11 @@ ONE = 1 << 20
 #: Minus infinity of the max-plus semiring; sums of two stay far from overflow.
 NEVER = -(1 << 61)
 UNKNOWN_PENALTY = 10.0
-WORD_CACHE = 200_000
+WORD_CACHE = 300_000
 #: Words longer than this are not remembered.
 LONG_WORD = 64
+#: Words whose trie is built at a time.
+TOGETHER = 16_384
 
 
 class Unigram:
@@ -48,7 +50,12 @@ class Unigram:
             node[""] = (self.score[i], i)
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece has a space mark after another character: words are not independent")
-        self.words: dict[str, tuple[int, tuple[int, ...]]] = {}
+        #: ids of ASCII characters as bytes; -2 for all others.
+        self.ascii = np.array([*(self.byte[b] for b in range(0x80)), -2])
+        self.is_byte = np.array([i in self.value for i in range(n)])
+        self.words: dict[str, tuple[int, bytes]] = {}
+        texts = sorted(self.id)
+        self.tables = [PieceTable(texts, [self.score[self.id[t]] for t in texts], [self.id[t] for t in texts], seed) for seed in (0, 1)]
 
     def paths(self, text: str, starts: dict[int, int], last: int) -> tuple[list[int], list[tuple[int, int]]]:
         """Best scores of reaching each position up to last, and (start, id) of the last piece (-1: none, -2: unknown character).
@@ -90,44 +97,183 @@ class Unigram:
             end = i
         return out[::-1]
 
-    def word(self, w: str) -> tuple[int, tuple[int, ...]]:
-        """Best score and ids of one word."""
-        known = self.words.get(w)
-        if known is None:
-            best, back = self.paths(w, {0: 0}, len(w))
-            known = best[len(w)], tuple(self.ids_back(w, back, 0, len(w)))
-            if len(w) <= LONG_WORD:
-                if len(self.words) >= WORD_CACHE:
-                    self.words.clear()
-                self.words[w] = known
-        return known
-
-    def encode(self, text: str) -> tuple[int, list[int]]:
-        """Score and ids of a text in which spaces are space marks already."""
-        total, out = 0, []
-        for w in split_words(text):
-            s, ids = self.word(w)
-            total += s
-            out += ids
-        return total, out
+    def learn(self, words: set[str]) -> None:
+        """Scores and ids of words that are not known yet, the shorter ones together over the trie of their prefixes."""
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > WORD_CACHE:
+            self.words.clear()
+            new = list(words)
+        short = sorted(w for w in new if len(w) <= LONG_WORD)
+        for at in range(0, len(short), TOGETHER):
+            part = short[at : at + TOGETHER]
+            forward = PrefixTrie(self, part)
+            raw, edges = forward.ids()
+            for w, score, a, b, odd in zip(part, forward.scores().tolist(), edges[:-1], edges[1:], forward.odd().tolist(), strict=True):
+                self.words[w] = self.alone(w) if odd else (score, raw[4 * a : 4 * b])
+        for w in new:
+            if len(w) > LONG_WORD:
+                self.words[w] = self.alone(w)
+
+    def alone(self, w: str) -> tuple[int, bytes]:
+        best, back = self.paths(w, {0: 0}, len(w))
+        return best[len(w)], np.array(self.ids_back(w, back, 0, len(w)), "<u4").tobytes()
+
+    def encode(self, text: str) -> tuple[int, bytes]:
+        """Score and ids (little-endian unsigned 32-bit) of a text in which spaces are space marks already."""
+        words = split_words(text)
+        self.learn(set(words))
+        found = [self.words[w] for w in words]
+        return sum(s for s, _ in found), b"".join([i for _, i in found])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = [split_words(t) for t in texts]
+        self.learn(set().union(*split))
+        known = self.words
+        return [b"".join([known[w][1] for w in words]) for words in split]
 
     def decode(self, ids: np.ndarray, first: bool) -> str:
         """Text of ids; the mark that encoding put before the text goes if first."""
-        out, raw = [], bytearray()
-        for i in ids.tolist():
-            b = self.value.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.piece[i])
-        out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        if not self.is_byte[ids].any():
+            text = "".join(map(self.piece.__getitem__, ids.tolist()))
+        else:
+            out, raw = [], bytearray()
+            for i in ids.tolist():
+                if i in self.value:
+                    raw.append(self.value[i])
+                    continue
+                if raw:
+                    out.append(raw.decode("utf-8", "replace"))
+                    raw.clear()
+                out.append(self.piece[i])
+            text = "".join(out) + raw.decode("utf-8", "replace")
+        text = text.replace(SPACE, " ")
         return text[1:] if first and text.startswith(" ") else text
 
 
+class PieceTable:
+    """Finds pieces by a 64-bit polynomial hash; two tables with different multipliers confirm each other."""
+
+    def __init__(self, texts: list[str], scores: list[int], ids: list[int], seed: int):
+        draw = np.random.default_rng(100 + seed)
+        self.base, self.mix = (draw.integers(0, 2**63, 2, np.uint64) << np.uint64(1)) | np.uint64(1)
+        self.power = np.cumprod(np.r_[np.uint64(1), np.full(LONG_WORD, self.base)], dtype=np.uint64)
+        h = np.array([self.hash(t) for t in texts], np.uint64)
+        order = np.argsort(h)
+        self.hashes, self.scores, self.ids = h[order], np.array(scores, np.int64)[order], np.array(ids, np.int64)[order]
+        if len(np.unique(h)) != len(h):
+            raise ValueError("two pieces share a hash")
+        self.bits = np.zeros(1 << 21, bool)
+        self.bits[(self.hashes * self.mix) >> np.uint64(43)] = True
+
+    def hash(self, text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * int(self.base) + ord(c) + 1) & (2**64 - 1)
+        return h
+
+    def maybe(self, h: np.ndarray) -> np.ndarray:
+        """Where a piece with this hash may be."""
+        return np.flatnonzero(self.bits[(h * self.mix) >> np.uint64(43)])
+
+    def place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return at, self.hashes[at] == h
+
+
+class PrefixTrie:
+    """Forward scores over the trie of sorted distinct words, level by level: each shared prefix is computed once.
+
+    A node's best score follows from the nodes above it, and so does its number of pieces; of equal scores the longest
+    last piece stays.
+    """
+
+    def __init__(self, model: Unigram, words: list[str]):
+        self.size = np.array([len(w) for w in words])
+        depth, n = int(self.size.max(initial=0)), len(words)
+        chars = np.zeros((n, depth), np.uint32)
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4") + np.uint32(1)
+        chars[np.arange(depth)[None, :] < self.size[:, None]] = flat
+        one, two = model.tables
+        hash1, hash2 = np.zeros((depth + 1, n), np.uint64), np.zeros((depth + 1, n), np.uint64)
+        same = np.ones(n, bool)
+        same[:1] = False
+        #: By depth: the node of each word (of those above its end), counted over all depths.
+        self.node = np.zeros((depth + 1, n), np.int64)
+        best, count, length, piece, made = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.full(1, -1)], 1
+        for d in range(1, depth + 1):
+            c = chars[:, d - 1]
+            hash1[d] = hash1[d - 1] * one.base + c
+            hash2[d] = hash2[d - 1] * two.base + c
+            same[1:] &= c[1:] == c[:-1]
+            rows = np.flatnonzero((self.size >= d) & ~same)
+            self.node[d] = made - 1 + np.cumsum((self.size >= d) & ~same)
+            top, pieces = np.full(len(rows), NEVER, np.int64), np.zeros(len(rows), np.int64)
+            last, which = np.zeros(len(rows), np.int64), np.full(len(rows), -1)
+            flat_best, flat_count = np.concatenate(best), np.concatenate(count)
+            for k in range(min(d, model.longest), 0, -1):
+                h = hash1[d, rows] - hash1[d - k, rows] * one.power[k]
+                maybe = one.maybe(h)
+                at, hit = one.place(h[maybe])
+                maybe, at = maybe[hit], at[hit]
+                r = rows[maybe]
+                sure = two.place(hash2[d, r] - hash2[d - k, r] * two.power[k])[1]
+                maybe, at, r = maybe[sure], at[sure], r[sure]
+                above = self.node[d - k, r]
+                total = flat_best[above] + one.scores[at]
+                better = total > top[maybe]
+                maybe, at, above = maybe[better], at[better], above[better]
+                top[maybe], pieces[maybe], last[maybe], which[maybe] = total[better], flat_count[above] + 1, k, one.ids[at]
+                if k == 1:
+                    lone = np.ones(len(rows), bool)
+                    lone[one.maybe(h)[hit][sure]] = False
+                    lone = np.flatnonzero(lone)
+                    above = self.node[d - 1, rows[lone]]
+                    total = flat_best[above] + model.unknown
+                    better = total > top[lone]
+                    lone, above = lone[better], above[better]
+                    code = c[rows[lone]].astype(np.int64) - 1
+                    # An unknown character stands for the bytes of its UTF-8 form.
+                    top[lone], pieces[lone], last[lone], which[lone] = total[better], flat_count[above] + 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF), 1, model.ascii[np.minimum(code, 0x80)]
+            best.append(top)
+            count.append(pieces)
+            length.append(last)
+            piece.append(which)
+            made += len(rows)
+        self.best, self.count, self.length, self.piece = (np.concatenate(x) for x in (best, count, length, piece))
+        self.ends = self.node[self.size, np.arange(n)] if n else np.zeros(0, np.int64)
+
+    def scores(self) -> np.ndarray:
+        return self.best[self.ends]
+
+    def counts(self) -> np.ndarray:
+        return self.count[self.ends]
+
+    def steps(self):
+        """(words, piece ids) from the last pieces to the first."""
+        at, word = self.size.copy(), np.arange(len(self.size))
+        while len(word):
+            node = self.node[at[word], word]
+            yield word, self.piece[node]
+            at[word] -= self.length[node]
+            word = word[at[word] > 0]
+
+    def odd(self) -> np.ndarray:
+        """Words with an unknown character of several bytes on their best path."""
+        out = np.zeros(len(self.size), bool)
+        for word, piece in self.steps():
+            out[word[piece == -2]] = True
+        return out
+
+    def ids(self) -> tuple[bytes, list[int]]:
+        """ids of all words together, and where each word's begin and end; what odd() names is not to be used."""
+        found = list(self.steps())
+        if not found:
+            return b"", [0]
+        word, piece = np.concatenate([w for w, _ in found]), np.concatenate([p for _, p in found])
+        order = np.lexsort((-np.arange(len(word)), word))
+        return np.maximum(piece[order], 0).astype("<u4").tobytes(), np.r_[0, np.cumsum(np.bincount(word, minlength=len(self.size)))].tolist()
+
+
 def split_words(text: str) -> list[str]:
     """Cut before each space mark that follows another character: no piece crosses such a place."""
     parts = text.split(SPACE)

@@ -17,7 +17,7 @@ import public_tokenizers as P  # noqa: E402
 
 from graphloom.llm import chat_format, embedding_dedup, exact_dedup, language_id, license_scan, minhash_dedup, packing, secret_scan, sentencepiece_scan, token_counts  # noqa: E402
 from graphloom.llm.common import components  # noqa: E402
-from graphloom.llm.unigram import ONE, SPACE, Unigram  # noqa: E402
+from graphloom.llm.unigram import ONE, SPACE, PrefixTrie, Unigram  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, digest string, node string, component string, key string, part long, blob string, score string"
 
@@ -306,6 +306,10 @@ def model():
     return Unigram(P.path("piece_bpe_32k.model"))
 
 
+def ids_of(model, text):
+    return np.frombuffer(model.encode(text)[1], "<u4").tolist()
+
+
 def test_unigram_equals_the_library(model):
     from sentencepiece import SentencePieceProcessor
     from sentencepiece import sentencepiece_model_pb2 as pb
@@ -322,7 +326,7 @@ def test_unigram_equals_the_library(model):
     r = random.Random(4)
     for n in range(300):
         text = "".join(r.choice("aabcdeeéhilmnorstuüw   \n.,T漢😀x") for _ in range(r.randint(1, 60)))
-        mine, theirs = model.encode(SPACE + text.replace(" ", SPACE))[1], lib.encode(text)
+        mine, theirs = ids_of(model, SPACE + text.replace(" ", SPACE)), lib.encode(text)
         assert mine == theirs or abs(score(mine) - score(theirs)) < 64, text  # ties, as the library sums in single precision
         assert model.decode(np.array(mine), True) == text == lib.decode(theirs)
 
@@ -337,7 +341,7 @@ def test_chunked_scan_equals_one_pass(spark, model):
         score = lambda ids: sum(model.score.get(i, 0) for i in ids)
         for i, t in rows:
             t = t or ""
-            want = model.encode(SPACE + t.replace(" ", SPACE) if t else "")[1]
+            want = ids_of(model, SPACE + t.replace(" ", SPACE) if t else "")
             parts = [(p, np.frombuffer(x, "<u4")) for p, x in sorted(got[i])]
             ids = [int(x) for _, part in parts for x in part]
             assert score(ids) == score(want) and len(ids) == len(want)
@@ -349,10 +353,28 @@ def test_chunked_scan_equals_one_pass(spark, model):
 def test_token_counts_equal_encoding(spark, model, corpus):
     got = {r.doc_id: r for r in token_counts.count_tokens(docs(spark, corpus)).collect()}
     for i, t in corpus:
-        ids = model.encode(SPACE + t.replace(" ", SPACE))[1] if t else []
+        ids = ids_of(model, SPACE + t.replace(" ", SPACE)) if t else []
         assert got[i].n_tokens == len(ids) and got[i].n_chars == len(t or "")
-    trie = token_counts.PrefixTrie(model)
-    assert [trie.tokens(w) for w in ("▁the", "▁then", "▁the", "漢", "▁" + "q" * 300)] == [len(model.encode(w)[1]) for w in ("▁the", "▁then", "▁the", "漢", "▁" + "q" * 300)]
+
+
+def test_trie_equals_single_words(model):
+    r = random.Random(8)
+    many = sorted({SPACE * r.randint(0, 2) + "".join(r.choice("aabcdeilnorst漢é\n😀\x00") for _ in range(r.randint(1, 20))) for _ in range(3000)} | {SPACE, "a", "漢" * 64})
+    trie = PrefixTrie(model, many)
+    raw, edges = trie.ids()
+    for n, w in enumerate(many):
+        score, ids = model.alone(w)
+        assert trie.scores()[n] == score and trie.counts()[n] == len(ids) // 4
+        assert trie.odd()[n] or raw[4 * edges[n] : 4 * edges[n + 1]] == ids
+    assert PrefixTrie(model, []).counts().tolist() == []
+
+
+def test_hash_of_joined_ids():
+    a = np.random.default_rng(1).integers(0, 32000, 70001).astype("<u4")
+    h = sentencepiece_scan.id_hash
+    for cut in (0, 1, 32768, 70000):
+        x, y = a[:cut], a[cut:]
+        assert h(a) == (h(x) * pow(sentencepiece_scan.BASE, len(y), sentencepiece_scan.PRIME) + h(y)) % sentencepiece_scan.PRIME
 
 
 def test_license_scan(spark):
