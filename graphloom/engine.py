@@ -17,12 +17,19 @@ from .operators.authorization import authorize
 from .operators.links import Verb, exists, expand, reachable
 from .operators.views import resolve
 from .plans.compiler import Compiler
-from .plans.schema import Schema, contract_types, links_of, parse
+from .plans.schema import Schema, contract_types, links_of, parse, without_mandatory_links
 from .plans.selection import render, selection
 
 MOST = 1000
 
 
+def root_of(df: DataFrame) -> Typed:
+    """The document as a whole: always there, its fields the columns."""
+    root = Typed(None, df.schema)
+    root.exists = root.present = lambda: True
+    return root
+
+
 class Engine:
     """Queries over documents.
 
@@ -89,20 +96,24 @@ class Engine:
             flags.append((f"__flag{len(flags)}", keys, key))
             return F.col(flags[-1][0]).isNotNull()
 
-        root = Typed(None, df.schema)
-        root.exists = root.present = lambda: True
-        p = Compiler(link).predicate(schema, root)
+        # Mandatory links are semi joins from the start, so that pruning reaches nested columns below them.
+        schema, mandatory = without_mandatory_links(schema)
+        p = Compiler(link).predicate(schema, root_of(df))
         names = df.columns
         for flag, keys, key in flags:
             own = keys.distinct().select(F.col("__key").alias(f"{flag}key"), F.lit(True).alias(flag))
             df = df.join(own, F.col(key) == F.col(f"{flag}key"), "left")
         if outer:
             df = df.withColumns(outer)
-        return df.where(column(p)).select(*names) if flags or outer else df.where(column(p))
+        df = df.where(column(p)).select(*names) if flags or outer else df.where(column(p))
+        for name, sub in mandatory:
+            verb = self.verb(kind, name)
+            keys, key = reachable(verb, self.filtered(*self.target(verb, sub), sub))
+            df = df.join(keys, F.col(key) == F.col("__key"), "left_semi")
+        return df
 
     def _fields(self, df: DataFrame, kind: str | None, schema: Schema):
-        root = Typed(None, df.schema)
-        root.exists = root.present = lambda: True
+        root = root_of(df)
         # Of a branch of anyOf with a link the rest decides about the fields it adds.
         compiler = Compiler(lambda name, sub, inside: True)
         return root, selection(schema, root, compiler.predicate)

@@ -177,6 +177,17 @@ def links_of(schema: Schema, inside: bool = False):
         yield from links_of(s)
 
 
+def without_mandatory_links(schema: Schema) -> tuple[Schema, list[tuple[str, Schema]]]:
+    """schema apart from the links that every result must have, and those links."""
+    found = list(schema.get("$$links", {}).items())
+    words = {k: v for k, v in schema.words.items() if k != "$$links"}
+    if "allOf" in words:
+        parts = [without_mandatory_links(s) for s in words["allOf"]]
+        words["allOf"] = tuple(s for s, _ in parts)
+        found += [x for _, more in parts for x in more]
+    return (Schema(schema.always, words, schema.path), found) if found else (schema, [])
+
+
 def contract_types(schema: Schema) -> set[str] | None:
     """Types that a document of the result can have, from const and enum on `type`; None if any."""
     found: set[str] | None = None
