@@ -115,19 +115,30 @@ def strings(value) -> list[str]:
     return [s for x in value for s in strings(x)]
 
 
+def finder(wanted: set[str]) -> re.Pattern:
+    """Words that may have one of these stems: stemming keeps the first letter, and of longer stems the first three."""
+    heads = sorted({re.escape(w[:3] if len(w) > 3 else w[:1]) for w in wanted})
+    return re.compile(rf"(?<![^\W_])(?:{'|'.join(heads)})[^\W_]*", re.IGNORECASE)
+
+
 def matches(text: Column, term: str, is_json: bool = False) -> Column | bool:
     """Whether text holds every lexeme of term; a term without lexemes matches nothing.
 
-    Stemming runs in Arrow batches, and only on texts in which a word begins like each longer lexeme.
+    Stemming runs in Arrow batches, only on texts in which a word begins like each longer lexeme, and there only on words
+    that begin like one.
     """
     wanted = lexemes(term)
     if not wanted:
         return False
+    words = finder(wanted)
 
     @F.pandas_udf("boolean")
     def holds(column: pd.Series) -> pd.Series:
         def one(t):
-            return t is not None and wanted <= lexemes(" ".join(strings(json.loads(t))) if is_json else t)
+            if t is None:
+                return False
+            found = words.findall(" ".join(strings(json.loads(t))) if is_json else t)
+            return wanted <= {stem(w.lower()) for w in found if w.lower() not in STOP_WORDS}
 
         return column.map(one).astype(bool)
 

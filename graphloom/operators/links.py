@@ -74,7 +74,8 @@ def expand(verb: Verb, parents: DataFrame, children: DataFrame, payload: Column,
     kept = ranked.where(F.col("__seq") > skip)
     if limit is not None:
         kept = kept.where(F.col("__seq") <= skip + limit)
-    lists = kept.groupBy("__parent").agg(F.array_sort(F.collect_list(F.struct("__seq", "__payload"))).alias("__all"))
+    # Compared by place alone: payloads need not be orderable (VARIANT is not).
+    lists = kept.groupBy("__parent").agg(F.array_sort(F.collect_list(F.struct("__seq", "__payload")), lambda a, b: a["__seq"] - b["__seq"]).alias("__all"))
     return lists.select("__parent", F.col("__all.__payload").alias(name))
 
 

@@ -152,3 +152,27 @@ def _write(df: DataFrame, path: str) -> None:
     fs.mkdirs(p.getParent())
     if not fs.rename(_path(spark, beside)[1], p):
         raise OSError(f"cannot put {path} in place")
+
+
+def roots_of(edges: Callable[[], DataFrame], verbs: list[str], depth: int = 1) -> Callable[[DataFrame], DataFrame]:
+    """Parents for LiveQuery: the documents from which a changed one is reached along these verbs, up to depth links away.
+
+    Changes of link documents count for both of their ends: edges has link_id, from_id, name, to_id.
+    """
+
+    def parents(touched: DataFrame) -> DataFrame:
+        e = edges().where(F.col("name").isin(verbs)).select(F.col("link_id").cast("string"), F.col("from_id").cast("string"), F.col("to_id").cast("string"))
+        ids = touched.select(F.col("id").alias("__c"))
+        found = e.join(ids, F.col("link_id") == F.col("__c"), "left_semi").select(F.col("from_id").alias("id"))
+        level = touched.select("id")
+        for _ in range(depth):
+            level = e.join(level.select(F.col("id").alias("__c")), F.col("to_id") == F.col("__c"), "left_semi").select(F.col("from_id").alias("id"))
+            found = found.unionByName(level)
+        return found.distinct()
+
+    return parents
+
+
+def inverse_schema(verb_inverse: str, schema: Any, child: Any) -> dict:
+    """What a changed linked document must be for its roots to be looked at: the link's own schema, linked back to the root's."""
+    return {"allOf": [child, {"$$links": {verb_inverse: schema}}]}
