@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
+from ..functions.merge import merged
 from ..functions.versions import part
 from ..operators import authorization, links, store
 from ..operators.links import Verb
+from ..operators.present import payloads
 from ..operators.views import view_schema
+from ..sources import layout
 from ..sources.tables import contract, engine, kind, load
 from ..streaming import changes
 
@@ -314,6 +317,14 @@ register("p07_authorized_select", "SELECT c_custkey FROM customer WHERE c_mktseg
 register("p08_linked_payload", "SELECT o_orderkey AS id, count(*) AS n_lines, min(l_linenumber) AS first_line, sum(l_quantity) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 400000 GROUP BY 1")(
     lambda spark, d: run(spark, d, of("order", props(o_totalprice={"exclusiveMinimum": 400000}), **{"$$links": {"has line": of("lineitem")}}), "id", F.col("links.`has line`").alias("l")).select("id", F.size("l").cast("long").alias("n_lines"), F.array_min("l.data.l_linenumber").alias("first_line"), F.aggregate("l.data.l_quantity", F.lit(0.0), lambda a, x: a + x).alias("quantity"))
 )
+register("p05_deep_merge", "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE event_id END AS k, event_id % 3 AS m FROM events")(
+    lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", merged(F.when(F.col("event_id") % 2 == 0, F.parse_json("props")).otherwise(F.parse_json(F.lit("{}"))), F.parse_json(F.format_string('{"k":%d,"o":{"m":%d}}', F.col("event_id"), F.col("event_id") % 3))).alias("v"))
+    .select(F.col("event_id").alias("id"), F.try_variant_get("v", "$.k", "bigint").alias("k"), F.try_variant_get("v", "$.o.m", "bigint").alias("m"))
+)
+register("p09_payloads", "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS created, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS has_lines FROM orders WHERE o_totalprice > 300000")(
+    lambda spark, d: payloads(run(spark, d, of("order", props(o_totalprice={"exclusiveMinimum": 300000}), anyOf=[{"$$links": {"has line": {"additionalProperties": False, "required": ["id"]}}}, True]), "id", "created_at", "links"))
+    .select(F.get_json_object("payload", "$.id").cast("long").alias("id"), F.get_json_object("payload", "$.created_at").alias("created"), F.get_json_object("payload", "$.links['has line']").isNotNull().alias("has_lines"))
+)
 register("p10_mask", "SELECT c_custkey AS id FROM customer WHERE c_acctbal > 9000 AND c_nationkey = 3")(
     lambda spark, d: run(spark, d, of("customer", props(c_acctbal={"exclusiveMinimum": 9000})), "id", mask={"properties": {"data": props(c_nationkey={"const": 3})}})
 )
@@ -413,6 +424,10 @@ register("r04_prefiltered_changes", "SELECT event_id AS id, CASE WHEN event_type
 
 # Layout.
 
+register("d03_stored_lexemes", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\\blicens(e|es|ed|ing|er)\\b')")(
+    lambda spark, d: layout.with_lexemes(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "text").where(layout.holds("lexemes", "licensed")).select("doc_id")
+)
+
 register("d01_version_parts", f"SELECT p_partkey AS id, p_size % 3 AS major, (p_partkey % 11)::INT AS minor, CASE p_partkey % 4 WHEN 0 THEN 'beta' WHEN 1 THEN 'alpha' ELSE '' END AS prerelease FROM part")(
     lambda spark, d: versions(spark, d).query(of("part"), limit=None).select("id", *(part(F.col("version"), p).alias(p) for p in ("major", "minor", "prerelease")))
 )

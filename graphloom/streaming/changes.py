@@ -176,3 +176,33 @@ def roots_of(edges: Callable[[], DataFrame], verbs: list[str], depth: int = 1) -
 def inverse_schema(verb_inverse: str, schema: Any, child: Any) -> dict:
     """What a changed linked document must be for its roots to be looked at: the link's own schema, linked back to the root's."""
     return {"allOf": [child, {"$$links": {verb_inverse: schema}}]}
+
+
+class Dispatcher:
+    """Many live queries over one change log: each micro-batch is read once and goes to all of them."""
+
+    def __init__(self):
+        self.queries: dict[str, LiveQuery] = {}
+        self.query = None
+
+    def attach(self, name: str, live: LiveQuery) -> None:
+        self.queries[name] = live
+
+    def detach(self, name: str) -> None:
+        self.queries.pop(name, None)
+
+    def process(self, changes: DataFrame, batch: int) -> None:
+        changes = changes.persist()
+        try:
+            for live in list(self.queries.values()):
+                live.process(changes, batch)
+        finally:
+            changes.unpersist()
+
+    def start(self, changes: DataFrame, checkpoint: str, **trigger):
+        self.query = changes.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        return self.query
+
+    def close(self) -> None:
+        if self.query is not None:
+            self.query.stop()

@@ -116,3 +116,25 @@ def test_merge(spark):
     assert merge({"a": {"b": 1, "c": 2}, "l": [1]}, {"a": {"b": 9, "d": 3}, "l": [2], "z": 0}) == {"a": {"b": 1, "c": 2, "d": 3}, "l": [1], "z": 0}
     df = spark.sql("""SELECT parse_json('{"a":{"x":1}}') AS p, parse_json('{"a":{"x":2,"y":3}}') AS q""")
     assert df.select(F.to_json(merged(F.col("p"), F.col("q"))).alias("m")).first().m == '{"a":{"x":1,"y":3}}'
+
+
+def test_builtin_types_and_payloads(spark):
+    from graphloom.operators.present import payloads
+    from graphloom.sources import builtin
+
+    r = TypeRegistry(builtin.types(), builtin.relationships())
+    assert "link@1.0.0" in r.schemas and r.data_type("event@1.0.0")["actor"].dataType == T.StringType()
+    df = spark.sql("SELECT 1 AS id, TIMESTAMP_NTZ '2024-01-02 03:04:05' AS at, CAST(NULL AS string) AS name, named_struct('v', array(named_struct('t', TIMESTAMP_NTZ '2024-01-01')), 'w', cast(array() AS array<int>)) AS links")
+    assert payloads(df).first().payload == '{"id":1,"at":"2024-01-02T03:04:05.000Z","links":{"v":[{"t":"2024-01-01T00:00:00.000Z"}]}}'
+
+
+def test_dispatcher_serves_several_queries(world, tmp_path):
+    k, docs = world
+    got = {}
+    both = changes.Dispatcher()
+    for name, slug in (("a", "card-open"), ("b", "card-org")):
+        got[name] = []
+        both.attach(name, changes.LiveQuery(k.engine, {"required": ["slug"], "properties": {"slug": {"const": slug}}}, f"{tmp_path}/{name}", lambda df, b, name=name: got[name].append({r.id for r in df.collect()})))
+    both.start(k.contracts.changes(streaming=True), f"{tmp_path}/checkpoint").awaitTermination()
+    assert got == {"a": [{docs["card-open"]["id"]}], "b": [{docs["card-org"]["id"]}]}
+    assert k.engine().profile({"properties": {"slug": {"const": "card-open"}}, "required": ["slug"]})["rows"] == 1
