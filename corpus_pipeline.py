@@ -16,7 +16,7 @@ from graphloom.llm.common import shared_dir
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or whose language is less likely than not, go."""
+    """Documents without letters, or whose best language is less likely than 0.35, go."""
     return language_id.accepted(docs)
 
 
