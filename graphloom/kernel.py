@@ -1,13 +1,13 @@
 """Documents in a folder with sessions on top: validated inserts, replacements and patches, and authorized reads.
 
-Every write is one commit: a new folder of the whole table, made current by writing its number to a new pointer file, and
-a row in the change log that live queries read.  One writer at a time; readers keep the version they opened.
+Every write is one commit: a folder that holds the documents it changed, put in place by one rename, and rows in the change
+log that live queries read.  The table is its last compacted base with, of each changed document, the latest state.  One
+writer at a time; readers keep the version they opened.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 from datetime import UTC, datetime
 from typing import Any
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
-from .errors import ElementAlreadyExists, NoElement, NoLinkTarget, PermissionsError, SchemaMismatch
+from .errors import NoElement, NoLinkTarget, PermissionsError, SchemaMismatch
 from .operators import patch as patches
 from .operators import store
 from .operators.authorization import permission
@@ -35,21 +35,41 @@ class ContractStore:
         self.spark, self.path = spark, path.rstrip("/")
 
     def version(self) -> int:
-        return max(_batches(self.spark, f"{self.path}/versions"), default=-1)
+        return max([*_batches(self.spark, f"{self.path}/commits"), *_batches(self.spark, f"{self.path}/base")], default=-1)
 
     def now(self) -> DataFrame:
-        v = self.version()
-        if v < 0:
-            return self.spark.createDataFrame([], ENVELOPE_TYPE)
-        return self.spark.read.schema(ENVELOPE_TYPE).parquet(f"{self.path}/versions/{v}")
-
-    def commit(self, new: DataFrame, changes: list[tuple[str, str, str]]) -> None:
-        """changes: (id, op, type)."""
+        base = max(_batches(self.spark, f"{self.path}/base"), default=-1)
+        newer = [v for v in _batches(self.spark, f"{self.path}/commits") if v > base]
+        read = self.spark.read.schema(ENVELOPE_TYPE)
+        df = read.parquet(f"{self.path}/base/{base}") if base >= 0 else self.spark.createDataFrame([], ENVELOPE_TYPE)
+        if not newer:
+            return df
+        seq = F.regexp_extract(F.input_file_name(), "/commits/([0-9]+)/", 1).cast("long")
+        rows = read.parquet(*(f"{self.path}/commits/{v}" for v in newer)).withColumn("__seq", seq)
+        last = rows.groupBy(F.col("id").alias("__id")).agg(F.max("__seq").alias("__last"))
+        latest = rows.join(last, (F.col("id") == F.col("__id")) & (F.col("__seq") == F.col("__last"))).select(*df.columns)
+        return df.join(last.select("__id"), F.col("id") == F.col("__id"), "left_anti").unionByName(latest)
+
+    def commit(self, changed: DataFrame, changes: list[tuple[str, str, str]]) -> None:
+        """changed: the new state of each document that changes; changes: (id, op, type)."""
         v = self.version() + 1
-        _write(new, f"{self.path}/versions/{v}")
+        _write(changed, f"{self.path}/commits/{v}")
         rows = [(v * 1_000_000 + i, *c) for i, c in enumerate(changes)]
         self.spark.createDataFrame(rows, "seq long, id string, op string, type string").coalesce(1).write.mode("append").parquet(f"{self.path}/changes")
 
+    def compact(self) -> None:
+        """A new base with all commits so far; older folders stay for readers that have them open."""
+        v = self.version()
+        if v >= 0:
+            _write(self.now(), f"{self.path}/base/{v}")
+
+    def reset(self) -> None:
+        """An empty table from now on."""
+        v = self.version() + 1
+        gone = self.now().select(F.lit(v * 1_000_000).cast("long").alias("seq"), "id", F.lit("delete").alias("op"), "type")
+        gone.write.mode("append").parquet(f"{self.path}/changes")
+        _write(self.spark.createDataFrame([], ENVELOPE_TYPE), f"{self.path}/base/{v}")
+
     def changes(self, streaming: bool = False) -> DataFrame:
         reader = self.spark.readStream if streaming else self.spark.read
         return reader.schema("seq long, id string, op string, type string").parquet(f"{self.path}/changes")
@@ -128,38 +148,38 @@ class Kernel:
             self.types.check_link(doc)
         return doc
 
-    def _stored(self, df: DataFrame, doc: dict) -> DataFrame:
-        """With linked_at of both ends of a new link."""
-        if doc["type"] != LINK:
-            return df
-        d = doc["data"]
-        one = self.contracts.spark.createDataFrame([(doc["id"], doc["name"], True, doc["created_at"], (d["inverseName"], (d["from"]["id"],), (d["to"]["id"],)))], "id string, name string, active boolean, created_at string, data struct<inverseName:string,from:struct<id:string>,to:struct<id:string>>")
-        at = linked_at(one).select(F.col("id").alias("__id"), F.col("linked_at").alias("__at"))
-        both = df.join(F.broadcast(at), F.col("id") == F.col("__id"), "left")
-        kept = F.map_zip_with(F.coalesce("linked_at", F.create_map().cast("map<string,string>")), F.coalesce("__at", F.create_map().cast("map<string,string>")), lambda k, a, b: F.coalesce(a, b))
-        return both.withColumn("linked_at", kept).select(*df.columns)
+    def _with_ends(self, changed: DataFrame, docs: list[dict]) -> DataFrame:
+        """changed, and both ends of the links among docs with linked_at; a time that is set stays."""
+        rows = [(d["id"], d["name"], True, d["created_at"], (d["data"]["inverseName"], (d["data"]["from"]["id"],), (d["data"]["to"]["id"],))) for d in docs if d["type"] == LINK]
+        if not rows:
+            return changed
+        links = self.contracts.spark.createDataFrame(rows, "id string, name string, active boolean, created_at string, data struct<inverseName:string,from:struct<id:string>,to:struct<id:string>>")
+        at = linked_at(links).select(F.col("id").alias("__id"), F.col("linked_at").alias("__at"))
+        mine = [d["id"] for d in docs]
+        now = self.contracts.now().where(~F.col("id").isin(mine)).unionByName(changed)
+        empty = F.create_map().cast("map<string,string>")
+        kept = F.map_zip_with(F.coalesce("linked_at", empty), F.coalesce("__at", empty), lambda k, a, b: F.coalesce(a, b))
+        ends = now.join(at, F.col("id") == F.col("__id")).withColumn("linked_at", kept).select(*changed.columns)
+        return changed.join(at, F.col("id") == F.col("__id"), "left_anti").unionByName(ends)
 
     def insert(self, doc: dict, actor: dict | None = None) -> dict:
-        doc = self._checked(doc, actor)
-        now, new = self.contracts.now(), self.contracts.rows([doc])
-        if now.where((F.col("slug") == doc["slug"]) & (F.col("version") == doc["version"])).limit(1).count():
-            raise ElementAlreadyExists(f"{doc['slug']}@{doc['version']}")
-        self.contracts.commit(self._stored(now.unionByName(new), doc), [(doc["id"], "insert", doc["type"])])
-        return doc
+        return self.insert_many([doc], actor)[0]
 
     def insert_many(self, documents: list[dict], actor: dict | None = None) -> list[dict]:
         docs = [self._checked(d, actor) for d in documents]
-        out = store.insert(self.contracts.now(), self.contracts.rows(docs))
-        for d in docs:
-            out = self._stored(out, d)
-        self.contracts.commit(out, [(d["id"], "insert", d["type"]) for d in docs])
+        new = self.contracts.rows(docs)
+        store.insert(self.contracts.now(), new)
+        self.contracts.commit(self._with_ends(new, docs), [(d["id"], "insert", d["type"]) for d in docs])
         return docs
 
     def replace(self, doc: dict, actor: dict | None = None) -> dict:
         doc = self._checked(doc, actor)
-        now = self.contracts.now()
+        same = self.contracts.now().where((F.col("slug") == doc["slug"]) & (F.col("version") == doc["version"]))
         there = self.get(f"{doc['slug']}@{doc['version']}")
-        self.contracts.commit(self._stored(store.replace(now, self.contracts.rows([doc]), datetime.now(UTC).isoformat()), doc), [(there["id"] if there else doc["id"], "update" if there else "insert", doc["type"])])
+        changed = store.replace(same, self.contracts.rows([doc]), datetime.now(UTC).isoformat())
+        if there:
+            doc = doc | {"id": there["id"]}
+        self.contracts.commit(self._with_ends(changed, [doc]), [(doc["id"], "update" if there else "insert", doc["type"])])
         return self.get(f"{doc['slug']}@{doc['version']}")
 
     def patch(self, slug: str, operations: list[dict], actor: dict | None = None) -> dict:
@@ -171,9 +191,5 @@ class Kernel:
         new, seen, changed = patches.patched(full, seen, operations, self.types.schema(full["type"]), True if allowed is None else allowed)
         if changed:
             new = new | {"updated_at": datetime.now(UTC).isoformat()}
-            rest = self.contracts.now().where(F.col("id") != full["id"])
-            self.contracts.commit(rest.unionByName(self.contracts.rows([new])), [(full["id"], "update", full["type"])])
+            self.contracts.commit(self.contracts.rows([new]), [(full["id"], "update", full["type"])])
         return seen
-
-    def reset(self) -> None:
-        self.contracts.commit(self.contracts.now().where(F.lit(False)), [(str(uuid.uuid4()), "delete", "*")])

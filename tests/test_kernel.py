@@ -138,3 +138,18 @@ def test_dispatcher_serves_several_queries(world, tmp_path):
     both.start(k.contracts.changes(streaming=True), f"{tmp_path}/checkpoint").awaitTermination()
     assert got == {"a": [{docs["card-open"]["id"]}], "b": [{docs["card-org"]["id"]}]}
     assert k.engine().profile({"properties": {"slug": {"const": "card-open"}}, "required": ["slug"]})["rows"] == 1
+
+
+def test_compaction_and_reset(spark, tmp_path):
+    k = Kernel(ContractStore(spark, f"{tmp_path}/s"), TypeRegistry(TYPES, RELATIONSHIPS))
+    k.insert({"type": "card", "slug": "one", "data": {"n": 1}})
+    k.patch("one@1.0.0", [{"op": "replace", "path": "/data/n", "value": 2}])
+    k.contracts.compact()
+    k.insert({"type": "card", "slug": "two"})
+    k.patch("one@1.0.0", [{"op": "replace", "path": "/data/n", "value": 3}])
+    assert k.get("one@1.0.0")["data"] == {"n": 3} and k.contracts.now().count() == 2
+    assert [r.op for r in k.contracts.changes().orderBy("seq").collect()] == ["insert", "update", "insert", "update"]
+    k.contracts.reset()
+    assert k.contracts.now().count() == 0 and k.contracts.changes().where("op = 'delete'").count() == 2
+    k.insert({"type": "card", "slug": "one"})
+    assert k.contracts.now().count() == 1
