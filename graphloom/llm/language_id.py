@@ -26,8 +26,8 @@ EPOCHS, ALPHA, BETA, L1, L2 = 4, 2.0, 0.1, 1e-5, 1e-6
 #: Texts are worked on in groups of about so many characters.
 BLOCK = 1 << 18
 UNKNOWN = "und"
-#: Below this calibrated probability a filter rejects a text: the best language is then less likely than not.
-MIN_SCORE = 0.5
+#: Below this calibrated probability a filter rejects a text. Low, as texts in two languages at once are worth keeping.
+MIN_SCORE = 0.35
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 

@@ -158,3 +158,23 @@ def digest(found: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), new_ledger(spark)))
+
+
+def _sql() -> str:
+    """The same spans in DuckDB: lengths of the pieces between matches and of the matches give the offsets."""
+    words = "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token"))
+    # Letters in either case are spelled out: (?i) would also take letters beyond ASCII there.
+    spelled = {"assign": rf"""({words}|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""}
+    parts = []
+    for no, r in enumerate(RULES):
+        p = f"'{spelled.get(r.kind, r.pattern)}'"
+        lists = f"list_transform(regexp_split_to_array(t, {p}), lambda x: length(x)) AS g, list_transform(regexp_extract_all(t, {p}, 0), lambda x: length(x)) AS m, list_transform(regexp_extract_all(t, {p}, {r.group}), lambda x: length(x)) AS v"
+        parts.append(f"SELECT doc_id, {no} AS no, '{r.kind}' AS kind, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'s': coalesce(list_sum(g[1:i]), 0) + coalesce(list_sum(m[1:i-1]), 0), 'n': m[i], 'v': v[i]}}), lambda x: x.v >= {max(r.least, 1)})) AS x FROM (SELECT doc_id, {lists} FROM d)")
+    found = " UNION ALL ".join(parts)
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    text = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no)"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, no, kind, x.s::BIGINT AS s, (x.s + x.n)::BIGINT AS e FROM ({found})) SELECT d.doc_id, {counts}, sha256(coalesce({text} FILTER (WHERE kind IN ({base})), '')) AS base_sha256, coalesce({text}, '') AS spans FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id"
+
+
+SQL = _sql()
