@@ -12,6 +12,7 @@ unigram.py), and results are those of the SentencePiece library for that model.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,35 +23,51 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut
-from .unigram import NEVER, SPACE, Unigram
+from .unigram import NEVER, SPACE, Unigram, split_words
 
 CHUNK = 16384
 GROUP = 64
+#: Chunks whose words are learned together.
+TOGETHER = 64
+_CUT = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 PRIME, BASE = (1 << 31) - 1, 1_000_003
 POWERS = np.array([pow(BASE, i, PRIME) for i in range(1 << 15)], np.int64)
 
 
-def transfer(model: Unigram, text: str, size: int) -> np.ndarray:
-    """Best scores from each entry state to each exit state of a chunk of size characters; text goes on past it."""
+def cuts(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The first and last place in [start, end) that no piece crosses: a space mark after another character."""
+    found = _CUT.search(text, start, end)
+    if found is None:
+        return None
+    last = end
+    while True:
+        last = text.rindex(SPACE, start, last)
+        if text[last - 1] != SPACE:
+            return found.end() - 1, last
+
+
+def transfer(model: Unigram, text: str, size: int, middle: list[str] | None, edges: tuple[int, int] | None) -> np.ndarray:
+    """Best scores from each entry state to each exit state of a chunk of size characters; text goes on past it.
+
+    middle: the learned words between the edges, which cuts() gives.
+    """
     states = model.longest
     out = np.full((states, states), NEVER, np.int64)
-    first = next((i for i in range(1, size) if text[i] == SPACE and text[i - 1] != SPACE), None)
-    if first is None:
+    if edges is None:
         for s in range(min(states, size + 1)):
             best, _ = model.paths(text, {s: 0}, size)
             out[s, : len(best) - size] = best[size:][:states]
         return out
     # No piece crosses the first and last word boundary, so the matrix is an outer sum of a head, a middle and a tail.
-    last = next(i for i in range(size - 1, 0, -1) if text[i] == SPACE and text[i - 1] != SPACE)
+    first, last = edges
     head = np.full(states, NEVER, np.int64)
     for s in range(min(states, first + 1)):
         head[s] = model.paths(text[:first], {s: 0}, first)[0][first]
-    middle = model.encode(text[first:last])[0]
     best, _ = model.paths(text[last:], {0: 0}, size - last)
     tail = np.full(states, NEVER, np.int64)
     ends = best[size - last :][:states]
     tail[: len(ends)] = ends
-    return plus(head[:, None], plus(tail, middle)[None, :])
+    return plus(head[:, None], plus(tail, model.joined(middle)[0])[None, :])
 
 
 def plus(x, y) -> np.ndarray:
@@ -74,19 +91,27 @@ def states(matrices: list[np.ndarray], entry: np.ndarray, exit_state: int) -> li
     return out[::-1]
 
 
-def backtrace(model: Unigram, text: str, size: int, entry: int, exit_state: int) -> bytes:
+def backtrace(model: Unigram, text: str, size: int, entry: int, exit_state: int, middle: list[str] | None, edges: tuple[int, int] | None) -> bytes:
+    """ids of a chunk between its boundary states."""
     end = size + exit_state
-    marks = [i for i in range(max(entry, 1), size) if text[i] == SPACE and text[i - 1] != SPACE]
-    if not marks:
+    if edges is None:
         _, back = model.paths(text, {entry: 0}, size)
         return ids_bytes(model.ids_back(text, back, entry, end))
-    a, b = marks[0], marks[-1]
+    a, b = edges
     _, back = model.paths(text[:a], {entry: 0}, a)
-    out = ids_bytes(model.ids_back(text[:a], back, entry, a)) + model.encode(text[a:b])[1]
+    out = ids_bytes(model.ids_back(text[:a], back, entry, a)) + model.joined(middle)[1]
     _, back = model.paths(text[b:], {0: 0}, size - b)
     return out + ids_bytes(model.ids_back(text[b:], back, 0, end - b))
 
 
+def learned(model: Unigram, chunks: list[tuple[str, int, int]]):
+    """(middle words, edges) of chunks (text, first place of a cut, size), all their words learned together."""
+    edges = [cuts(text, start, size) for text, start, size in chunks]
+    middles = [None if e is None else split_words(text[e[0] : e[1]]) for (text, _, _), e in zip(chunks, edges, strict=True)]
+    model.learn(set().union(*(m for m in middles if m)))
+    return list(zip(middles, edges, strict=True))
+
+
 def ids_bytes(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
@@ -97,8 +122,9 @@ def encode_giants(texts: DataFrame, model_path: str, chunk: int, group: int) ->
     source is the SHA-256 of the stretch of text that the ids of a chunk stand for.
     """
 
+    ahead = Unigram(model_path).longest - 1
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ahead = Unigram(model_path).longest - 1
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py()
@@ -110,8 +136,12 @@ def encode_giants(texts: DataFrame, model_path: str, chunk: int, group: int) ->
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Unigram(model_path)
         for b in batches:
-            found = [transfer(model, t, n).ravel().tolist() for n, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array(found, pa.list_(pa.int64()))], names=["key", "part", "last", "matrix"])
+            for at in range(0, b.num_rows, TOGETHER):
+                part = b.slice(at, TOGETHER)
+                sizes, texts = part.column(2).to_pylist(), part.column(3).to_pylist()
+                known = learned(model, [(t, 1, n) for t, n in zip(texts, sizes, strict=True)])
+                found = [transfer(model, t, n, *k).ravel() for t, n, k in zip(texts, sizes, known, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(4), pa.array(found, pa.list_(pa.int64()))], names=["key", "part", "last", "matrix"])
 
     def square(m) -> np.ndarray:
         n = int(len(m) ** 0.5)
@@ -143,11 +173,15 @@ def encode_giants(texts: DataFrame, model_path: str, chunk: int, group: int) ->
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Unigram(model_path)
         for b in batches:
-            ids, sources = [], []
-            for part, text, size, enter, leave in zip(*(b.column(i).to_pylist() for i in range(1, 6)), strict=True):
-                ids.append(backtrace(model, text, size, enter, leave))
-                sources.append(hashlib.sha256(text[enter : size + leave].replace(SPACE, " ")[part == 0 :].encode("utf-8", "surrogatepass")).digest())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(sources, pa.binary())], names=["key", "part", "ids", "source"])
+            for at in range(0, b.num_rows, TOGETHER):
+                rows = b.slice(at, TOGETHER)
+                parts, texts, sizes, enters, leaves = (rows.column(i).to_pylist() for i in range(1, 6))
+                known = learned(model, [(t, max(1, e), n) for t, n, e in zip(texts, sizes, enters, strict=True)])
+                ids, sources = [], []
+                for part, text, size, enter, leave, k in zip(parts, texts, sizes, enters, leaves, known, strict=True):
+                    ids.append(backtrace(model, text, size, enter, leave, *k))
+                    sources.append(hashlib.sha256(text[enter : size + leave].replace(SPACE, " ")[part == 0 :].encode("utf-8", "surrogatepass")).digest())
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, pa.binary()), pa.array(sources, pa.binary())], names=["key", "part", "ids", "source"])
 
     # Dealt by (key, part): the chunks of one text spread over all tasks.
     chunks = texts.mapInArrow(split, "key binary, part long, size long, text string, last boolean").groupBy("key", "part").agg(*(F.any_value(c).alias(c) for c in ("size", "text", "last")))
@@ -159,11 +193,15 @@ def encode_giants(texts: DataFrame, model_path: str, chunk: int, group: int) ->
     return chunks.join(bounds, ["key", "part"]).select("key", "part", "text", "size", "enter", "leave").mapInArrow(trace, "key binary, part long, ids binary, source binary")
 
 
-def marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key (SHA-256 of the text), text with space marks; null counts as empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    with_marks = F.when(text == "", "").otherwise(F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE))))
-    return df.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("key"), with_marks.alias("text"))
+def marked(rows: DataFrame) -> DataFrame:
+    """(doc_id, text) with key (SHA-256 of the text) and space marks in the text."""
+    with_marks = F.when(F.col("text") == "", "").otherwise(F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE))))
+    return rows.select("doc_id", F.unhex(F.sha2("text", 256)).alias("key"), with_marks.alias("text"))
+
+
+def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) with null as empty."""
+    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def encode_whole(rows: DataFrame, model_path: str) -> DataFrame:
@@ -183,9 +221,11 @@ def encode_whole(rows: DataFrame, model_path: str) -> DataFrame:
 
 def parts(df: DataFrame, id_col: str, text_col: str, model_path: str, chunk: int, group: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Short rows encoded; the chunks of each distinct giant text by key; (doc_id, key) of the rows with a giant text."""
-    rows = marked(df, id_col, text_col)
-    giant = rows.where(F.length("text") > chunk)
-    return encode_whole(rows.where(F.length("text") <= chunk), model_path), encode_giants(giant.select("key", "text"), model_path, chunk, group), giant.select("doc_id", "key")
+    rows = texts(df, id_col, text_col)
+    # Lengths are asked of the stored text, before it is hashed and marked.
+    giant = marked(rows.where(F.length("text") >= chunk))
+    short = marked(rows.where(F.length("text") < chunk))
+    return encode_whole(short, model_path), encode_giants(giant.select("key", "text"), model_path, chunk, group), giant.select("doc_id", "key")
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model_path: str | None = None, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
@@ -226,14 +266,20 @@ def id_hash(ids: np.ndarray) -> int:
 def summary(pieces: DataFrame, model_path: str) -> DataFrame:
     """Of pieces (their columns stay but ids): n, hash and whether decoding gives the text of source back."""
     names = [c for c in pieces.columns if c not in ("ids", "source")]
-    texts = decode(pieces, model_path).withColumn("right", F.unhex(F.sha2("text", 256)) == F.col("source")).select(*names, "ids", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Unigram(model_path)
         for b in batches:
-            ids = [np.frombuffer(i.as_buffer(), "<u4") for i in b.column("ids")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), b.column("right"), pa.array([len(i) for i in ids], pa.int64()), pa.array([id_hash(i) for i in ids], pa.int64())], names=[*names, "right", "n", "hash"])
-
-    return texts.mapInArrow(run, T.StructType([*texts.select(*names, "right").schema, T.StructField("n", T.LongType()), T.StructField("hash", T.LongType())]))
+            n, hashes, right = [], [], []
+            for i, part, source in zip(b.column("ids"), b.column("part").to_pylist(), b.column("source").to_pylist(), strict=True):
+                ids = np.frombuffer(i.as_buffer(), "<u4")
+                n.append(len(ids))
+                hashes.append(id_hash(ids))
+                right.append(hashlib.sha256(model.decode(ids, part == 0).encode("utf-8", "surrogatepass")).digest() == source)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(right, pa.bool_()), pa.array(n, pa.int64()), pa.array(hashes, pa.int64())], names=[*names, "right", "n", "hash"])
+
+    more = [T.StructField("right", T.BooleanType()), T.StructField("n", T.LongType()), T.StructField("hash", T.LongType())]
+    return pieces.mapInArrow(run, T.StructType([*pieces.select(*names).schema, *more]))
 
 
 def default_model() -> str:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sentencepiece_scan import default_model, marked
+from .sentencepiece_scan import default_model, marked, texts
 from .unigram import LONG_WORD, TOGETHER, PrefixTrie, Unigram, split_words
 
 #: Terminal counts after which a task forgets them (a memory bound: results do not depend on it).
@@ -46,7 +46,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null or empty text has none.  Repeated rows count alike, null ids stay null; an empty table gives no rows.
     """
     model_path = model_path or default_model()
-    rows = marked(df, id_col, text_col)
+    rows = marked(texts(df, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None

@@ -7,6 +7,8 @@ associative exactly.
 from __future__ import annotations
 
 import math
+import re
+from functools import cached_property
 
 import numpy as np
 
@@ -23,7 +25,7 @@ TOGETHER = 16_384
 
 
 class Unigram:
-    """Pieces and scores. Words are maximal runs of a leading space mark and what follows it up to the next."""
+    """Pieces and scores. No piece reaches over the edge of a word (split_words), so words are encoded on their own."""
 
     def __init__(self, model_path: str):
         from sentencepiece import SentencePieceProcessor
@@ -42,20 +44,28 @@ class Unigram:
         self.by_text = {p: self.score[i] for p, i in self.id.items()}
         self.longest = max(map(len, self.id))
         self.unknown = min(self.score.values()) - round(UNKNOWN_PENALTY * ONE)
-        self.trie: dict = {}
-        for p, i in self.id.items():
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = (self.score[i], i)
-        if any(SPACE in p.lstrip(SPACE) for p in self.id):
-            raise ValueError("a piece has a space mark after another character: words are not independent")
+        if not all(map(is_word, self.id)):
+            raise ValueError("a piece reaches over the edge of a word: words are not independent")
         #: ids of ASCII characters as bytes; -2 for all others.
         self.ascii = np.array([*(self.byte[b] for b in range(0x80)), -2])
         self.is_byte = np.array([i in self.value for i in range(n)])
         self.words: dict[str, tuple[int, bytes]] = {}
+
+    @cached_property
+    def trie(self) -> dict:
+        """Nested by character; (score, id) of a piece stands under the empty string."""
+        root: dict = {}
+        for p, i in self.id.items():
+            node = root
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = (self.score[i], i)
+        return root
+
+    @cached_property
+    def tables(self) -> list[PieceTable]:
         texts = sorted(self.id)
-        self.tables = [PieceTable(texts, [self.score[self.id[t]] for t in texts], [self.id[t] for t in texts], seed) for seed in (0, 1)]
+        return [PieceTable(texts, [self.score[self.id[t]] for t in texts], [self.id[t] for t in texts], seed) for seed in (0, 1)]
 
     def paths(self, text: str, starts: dict[int, int], last: int) -> tuple[list[int], list[tuple[int, int]]]:
         """Best scores of reaching each position up to last, and (start, id) of the last piece (-1: none, -2: unknown character).
@@ -122,8 +132,12 @@ class Unigram:
         """Score and ids (little-endian unsigned 32-bit) of a text in which spaces are space marks already."""
         words = split_words(text)
         self.learn(set(words))
+        return self.joined(words)
+
+    def joined(self, words: list[str]) -> tuple[int, bytes]:
+        """Of learned words."""
         found = [self.words[w] for w in words]
-        return sum(s for s, _ in found), b"".join([i for _, i in found])
+        return sum([s for s, _ in found]), b"".join([i for _, i in found])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         split = [split_words(t) for t in texts]
@@ -274,15 +288,15 @@ class PrefixTrie:
         return np.maximum(piece[order], 0).astype("<u4").tobytes(), np.r_[0, np.cumsum(np.bincount(word, minlength=len(self.size)))].tolist()
 
 
+#: A word: leading space marks, then letters and digits, or other characters (in the vocabulary a superscript two goes with those).
+_WORD = re.compile(rf"{SPACE}*(?:[^\W_²]+|(?:[^\w{SPACE}]|[_²])+)|{SPACE}+")
+
+
 def split_words(text: str) -> list[str]:
-    """Cut before each space mark that follows another character: no piece crosses such a place."""
-    parts = text.split(SPACE)
-    out, marks = [], 0
-    for n, p in enumerate(parts):
-        marks += n > 0
-        if p:
-            out.append(SPACE * marks + p)
-            marks = 0
-    if marks:
-        out.append(SPACE * marks)
-    return out
+    """Cut before space marks that follow another character, and between letters or digits and other characters: no piece
+    crosses such a place."""
+    return _WORD.findall(text)
+
+
+def is_word(piece: str) -> bool:
+    return _WORD.fullmatch(piece) is not None
