@@ -38,6 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_and_free(df: DataFrame) -> DataFrame:
+    """cut(), and what led to df goes at once: Spark drops shuffle files and stored tables of plans that nothing refers to
+    any more only when the driver collects its garbage, which a driver with little to do may not do for half an hour."""
+    out = cut(df)
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node that each node of an edge reaches.
 

@@ -5,12 +5,12 @@ combines one group of either collection, so tables**2 keys of 2 * rows minhashes
 A pair of similarity s meets in some table unless one whole collection fails: 1 - (1 - (1 - s**rows)**tables)**2.  With 3
 and 15 that is 0.0005 at s = 0.75 and 0.00004 at 0.8.  Documents with the same shingle set are one node throughout.
 
-Candidates never come as all pairs of a bucket.  First each bucket's members are compared with its smallest node, then, in
-buckets that still hold several components, with one drawn by hash: members of a large group meet other hubs in each of
-their buckets.  Verified links are contracted to components after each step.  What still differs is split into blocks, and
-tasks compare the signatures of block against block, skipping what is connected, and emit a pair in the first table only
-that it shares.  Pairs go on if their signatures agree on more than `least_agreement` of the minhashes (0.58: 3.7 standard
-deviations below 0.75).  Every link is verified on the full shingle sets.
+Candidates never come as all pairs of a bucket.  First each bucket's members are compared with its smallest node; verified
+links are contracted to components.  Groups that still hold several components are split into blocks, and tasks compare
+the signatures of block against block, skipping what is connected, each pair in one group only.  Members with a likely
+partner meet once more with their shingle sets, and tasks give the links that tie components together.  Pairs are likely if
+their signatures agree on more than `least_agreement` of the minhashes (0.58: 3.7 standard deviations below 0.75).  Every
+link is verified on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, WordHashes, components, cut, shingles
+from .common import SHINGLE_WORDS, WordHashes, components, cut, cut_and_free, shingles
 
 ROWS, TABLES = 3, 15
 PERCENT = 75
 LEAST_AGREEMENT = 0.58
-BLOCK = 512
+BLOCK = 1024
 #: Shingles hashed at a time.
 CHUNK = 2048
 
@@ -73,19 +73,24 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, rows: int, tab
 
 
 def buckets(nodes: DataFrame, rows: int, tables: int) -> DataFrame:
-    """(bucket, table, node): a row for each table in which a node can meet another.
+    """(bucket, node): a row for each table in which a node can meet another.
 
     A key of the tensored tables is shared only where both its factors are, so factors that one node alone has are
     dropped before the factors are combined.
     """
     group = lambda side, i: F.xxhash64(F.lit(side), F.lit(i), *(F.col("signature")[side * tables * rows + i * rows + r] for r in range(rows)))
-    each = F.array(*(F.struct(F.lit(side * tables + i).cast("short").alias("place"), group(side, i).alias("factor")) for side in (0, 1) for i in range(tables)))
+    each = F.array(*(F.struct(F.lit(side == 1).alias("second"), group(side, i).alias("factor")) for side in (0, 1) for i in range(tables)))
     factors = nodes.select("node", F.explode(each).alias("f")).select("node", "f.*")
     shared = factors.groupBy("factor").agg(F.count("*").alias("n")).where("n > 1").select("factor")
-    factor = F.struct("place", "factor")
-    met = factors.join(shared, "factor", "left_semi").groupBy("node").agg(F.collect_set(F.when(F.col("place") < tables, factor)).alias("a"), F.collect_set(F.when(F.col("place") >= tables, factor)).alias("b"))
+    met = factors.join(shared, "factor", "left_semi").groupBy("node").agg(F.collect_set(F.when(~F.col("second"), F.col("factor"))).alias("a"), F.collect_set(F.when(F.col("second"), F.col("factor"))).alias("b"))
     both = met.select("node", F.explode("a").alias("a"), "b").select("node", "a", F.explode("b").alias("b"))
-    return both.select(F.xxhash64("a.factor", "b.factor").alias("bucket"), (F.col("a.place") * tables + F.col("b.place") - tables).cast("int").alias("table"), "node")
+    return both.select(F.xxhash64("a", "b").alias("bucket"), "node")
+
+
+def first_groups(members: DataFrame, rows: int, tables: int) -> DataFrame:
+    """(bucket, table, node, component): a row for each hash group of the first collection."""
+    each = F.array(*(F.struct(F.lit(i).alias("table"), F.xxhash64(F.lit(i), *(F.col("signature")[i * rows + r] for r in range(rows))).alias("bucket")) for i in range(tables)))
+    return members.select("node", "component", F.explode(each).alias("g")).select("g.bucket", "g.table", "node", "component")
 
 
 def agreement(x, y) -> F.Column:
@@ -114,56 +119,61 @@ def shingle_sets(wanted: DataFrame, df: DataFrame, id_col: str, text_col: str, k
     return texts.mapInArrow(sets, f"node {texts.schema['node'].dataType.simpleString()}, shingles binary")
 
 
+def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """100 * |intersection| >= percent * |union| of two sets given as sorted distinct numbers."""
+    if percent * max(len(p), len(q)) > 100 * min(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) with 100 * |intersection| >= percent * |union| of their full shingle sets."""
+    """Pairs (x, y) that are linked by their full shingle sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for p, q in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True)) if percent * max(len(p), len(q)) <= 100 * min(len(p), len(q)) else 0
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            keep = pa.array(keep, pa.bool_())
+            keep = pa.array([linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(b.column(2), b.column(3), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["x", "y"])
 
     kind = sets.schema["node"].dataType.simpleString()
     both = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), "y")
-    return cut(both.select("x", "y", "sx", "sy").mapInArrow(compare, f"x {kind}, y {kind}").distinct())
+    return cut_and_free(both.select("x", "y", "sx", "sy").mapInArrow(compare, f"x {kind}, y {kind}").distinct())
 
 
-def unlike(members: DataFrame, least: float, rows: int = ROWS, tables: int = TABLES, block: int | None = None) -> DataFrame:
-    """Pairs of different components that share a bucket and whose signatures agree often enough, each once.
-
-    members: bucket, table, node, component, signature.  A bucket of n members is dealt into n / block blocks by node
-    hash, and block meets block in groups of their own, so no group holds more than about two blocks.
-    """
-    block = block or BLOCK
-    kind = members.schema["node"].dataType.simpleString()
+def dealt(members: DataFrame, block: int) -> DataFrame:
+    """members (bucket, table, node, component) with lo, hi, own: n members of a bucket are dealt into n / block blocks by
+    node hash, and block meets block in groups of their own, so no group holds more than about two blocks."""
     sized = members.join(members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "bucket")
     own = F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int")
-    dealt = sized.withColumn("own", own).select("bucket", "table", "node", "component", "signature", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "table", "node", "component", "signature")
-
-    def pairs(own, c, n, s, table, across: bool):
-        names, sizes = np.unique(c, return_counts=True)
-        if len(names) < 2:
-            return
-        largest, at = names[sizes.argmax()], np.arange(len(c))
-        for i in np.flatnonzero(c != largest):
-            same = s == s[i]
-            # Pairs with the largest component, and each other pair once.
-            other = (same.sum(1) > least * s.shape[1]) & ((c == largest) | ((c != c[i]) & (at > i)))
-            if across:
-                other &= own != own[i]
-            where = np.flatnonzero(other)
+    each = sized.withColumn("own", own).select("bucket", "table", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return each.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "table", "node", "component")
+
+
+def candidates(own, c, s, table: int, across: bool, least: float, rows: int, tables: int):
+    """(i, others) of one group: members of different components whose signatures agree often enough, that share a table key,
+    and for which this group of the first collection is the first that they share.  Each pair comes once."""
+    names, sizes = np.unique(c, return_counts=True)
+    if len(names) < 2:
+        return
+    largest, at = names[sizes.argmax()], np.arange(len(c))
+    for i in np.flatnonzero(c != largest):
+        same = s == s[i]
+        # Pairs with the largest component, and each other pair once.
+        other = (same.sum(1) > least * s.shape[1]) & ((c == largest) | ((c != c[i]) & (at > i)))
+        if across:
+            other &= own != own[i]
+        where = np.flatnonzero(other)
+        if len(where):
+            groups = same[where].reshape(len(where), 2, tables, rows).all(3)
+            where = where[(groups[:, 0].argmax(1) == table) & groups[:, 0, table] & groups[:, 1].any(1)]
             if len(where):
-                groups = same[where].reshape(len(where), 2, tables, rows).all(3)
-                first = groups[:, 0].argmax(1) * tables + groups[:, 1].argmax(1)
-                for m in n[where[first == table]].tolist():
-                    yield (min(n[i], m), max(n[i], m))
+                yield i, where
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def by_group(work):
+    """An Arrow function over rows sorted by (bucket, lo, hi): work(table, edges) per batch of whole groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
             if not b.num_rows:
@@ -174,19 +184,65 @@ def unlike(members: DataFrame, least: float, rows: int = ROWS, tables: int = TAB
             edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
             held = t.slice(int(edges[-1]))
             if len(edges) > 1:
-                yield found(t, edges)
-        if held is not None and held.num_rows:
-            yield found(held.combine_chunks(), np.array([0]), True)
+                yield work(t, edges)
+        if held is not None:
+            yield work(held.combine_chunks(), np.array([0, held.num_rows]))
+
+    return run
+
+
+def group_arrays(t: pa.Table, width: int) -> list[np.ndarray]:
+    return [*(t.column(x).to_numpy() for x in ("lo", "hi", "own", "table", "component")), t.column("signature").chunk(0).flatten().to_numpy().reshape(t.num_rows, width)]
 
-    def found(t: pa.Table, edges: np.ndarray, last: bool = False) -> pa.RecordBatch:
-        lo, hi, own, table, n, c = (t.column(x).to_numpy() for x in ("lo", "hi", "own", "table", "node", "component"))
-        s = t.column("signature").chunk(0).flatten().to_numpy().reshape(len(n), 2 * tables * rows)
-        ends = np.r_[edges[1:], len(n)] if last else edges[1:]
-        out = [p for a, e in zip(edges, ends, strict=False) if e - a > 1 for p in pairs(own[a:e], c[a:e], n[a:e], s[a:e], table[a], lo[a] != hi[a])]
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], t.schema.field("node").type), pa.array([y for _, y in out], t.schema.field("node").type)], names=["x", "y"])
 
-    sorted_ = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return sorted_.mapInArrow(compare, f"x {kind}, y {kind}").distinct()
+def unlike(members: DataFrame, least: float, rows: int = ROWS, tables: int = TABLES) -> DataFrame:
+    """The rows of members (dealt(), with signature) that have a candidate in their group, without the signature."""
+    names = [c for c in members.columns if c != "signature"]
+
+    def find(t: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+        lo, hi, own, table, c, s = group_arrays(t, 2 * tables * rows)
+        hit = np.zeros(t.num_rows, bool)
+        for a, e in zip(edges[:-1], edges[1:], strict=True):
+            if e - a > 1:
+                for i, where in candidates(own[a:e], c[a:e], s[a:e], table[a], lo[a] != hi[a], least, rows, tables):
+                    hit[a + i] = hit[a + where] = True
+        return t.select(names).filter(pa.array(hit)).combine_chunks().to_batches()[0] if hit.any() else pa.RecordBatch.from_pylist([], schema=t.select(names).schema)
+
+    sorted_ = members.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return sorted_.mapInArrow(by_group(find), members.select(*names).schema)
+
+
+def links_within(members: DataFrame, least: float, percent: int, rows: int = ROWS, tables: int = TABLES) -> DataFrame:
+    """Links (x, y) between components in groups of members (dealt(), with signature and shingles).
+
+    Once a link has tied two components of a group together, their other pairs are not compared.
+    """
+    kind = members.schema["node"].dataType.simpleString()
+
+    def find(t: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+        lo, hi, own, table, c, s = group_arrays(t, 2 * tables * rows)
+        n, sets, out = t.column("node").to_numpy(), t.column("shingles").chunk(0), []
+        of = lambda i: np.frombuffer(sets[int(i)].as_buffer(), np.uint64)
+        for a, e in zip(edges[:-1], edges[1:], strict=True):
+            above: dict = {}
+
+            def top(x):
+                while x in above:  # noqa: B023
+                    x = above[x]  # noqa: B023
+                return x
+
+            for i, where in candidates(own[a:e], c[a:e], s[a:e], table[a], lo[a] != hi[a], least, rows, tables):
+                p, x = of(a + i), top(c[a + i])
+                for m in where:
+                    y = top(c[a + m])
+                    if x != y and linked(p, of(a + m), percent):
+                        out.append((n[a + i], n[a + m]))
+                        above[x] = x = y
+        node = t.schema.field("node").type
+        return pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], node), pa.array([max(p) for p in out], node)], names=["x", "y"])
+
+    sorted_ = members.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return sorted_.mapInArrow(by_group(find), f"x {kind}, y {kind}").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = SHINGLE_WORDS, percent: int = PERCENT, rows: int = ROWS, tables: int = TABLES, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
@@ -197,33 +253,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with a null id links with nothing, has a null component and is kept.  An empty table gives no rows.
     """
     docs = cut(signatures(df, id_col, text_col, k, rows, tables))
-    nodes = cut(docs.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.any_value("signature").alias("signature")))
-    met = cut(buckets(nodes, rows, tables))
+    nodes = cut_and_free(docs.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.any_value("signature").alias("signature")))
+    met = cut_and_free(buckets(nodes, rows, tables))
     hubs = met.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("bucket", "hub")
-    shared = cut(met.join(hubs, "bucket").where("node > hub"))
+    shared = cut_and_free(met.join(hubs, "bucket").where("node > hub"))
+    del met, hubs
     stars = cut(likely(shared.select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct(), nodes, least_agreement))
-    sets = cut(shingle_sets(shared.select("node").unionByName(shared.select(F.col("hub").alias("node"))), df, id_col, text_col, k))
+    sets = cut_and_free(shingle_sets(shared.select("node").unionByName(shared.select(F.col("hub").alias("node"))), df, id_col, text_col, k))
     links = verified(stars, sets, percent)
 
-    # A second hub for buckets whose other members are not yet one component.
-    named = lambda members, links: members.join(components(links, "x", "y"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    others = named(shared.select("bucket", "table", "node"), links)
-    order = F.xxhash64("bucket", "node")
-    mixed = others.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct(F.col("node").alias("hub"), F.col("component").alias("of")), order).alias("h")).where("lo < hi").select("bucket", "h.*")
-    members = cut(others.join(mixed, "bucket"))
-    second = members.where("component <> of").select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).distinct()
-    second = cut(likely(second.join(stars, ["x", "y"], "left_anti"), nodes, least_agreement))
-    links = cut(links.unionByName(verified(second, sets, percent)))
-
-    # The rest, block against block.
-    others = named(members.where("node <> hub").select("bucket", "table", "node"), links)
-    mixed = others.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    rest = unlike(others.join(mixed, "bucket", "left_semi").join(nodes.select("node", "signature"), "node"), least_agreement, rows, tables)
-    more = verified(rest.join(stars.unionByName(second), ["x", "y"], "left_anti"), sets, percent)
+    # The rest, block against block, by the first collection's groups: 15 rows a node instead of up to 225.
+    wanted = shared.select("node").unionByName(shared.select(F.col("hub").alias("node"))).distinct()
+    left = wanted.join(components(links, "x", "y"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    near = first_groups(left.join(nodes.select("node", "signature"), "node"), rows, tables)
+    mixed = near.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    signed = lambda df: df.join(nodes.select("node", "signature"), "node")
+    rest = cut_and_free(unlike(signed(dealt(near.join(mixed, "bucket", "left_semi"), BLOCK)), least_agreement, rows, tables))
+    more = cut_and_free(links_within(signed(rest).join(sets, "node"), least_agreement, percent, rows, tables))
     # Rows that repeat an id tie the sets of that id together.
-    versions = docs.where("doc_id IS NOT NULL AND set_id IS NOT NULL").join(nodes.select("set_id", "node"), "set_id")
-    repeated = versions.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y")
-    tied = versions.join(repeated.select("doc_id", "x"), "doc_id").select("x", F.col("node").alias("y")).where("x < y")
+    held = docs.where("doc_id IS NOT NULL AND set_id IS NOT NULL").select("doc_id", "set_id")
+    repeated = held.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a < b").select("doc_id")
+    versions = held.join(repeated, "doc_id", "left_semi").join(nodes.select("set_id", "node"), "set_id")
+    tied = versions.select("doc_id", "node").join(versions.groupBy("doc_id").agg(F.min("node").alias("x")), "doc_id").select("x", F.col("node").alias("y")).where("x < y")
     final = components(links.unionByName(more).unionByName(tied), "x", "y")
     labelled = nodes.select("set_id", "node").join(final, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     out = docs.select("doc_id", "n_shingles", "set_id").join(labelled, "set_id", "left")
@@ -239,3 +290,19 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Brute force over an inverted index of shingles: for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) END AS s FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS total, count(*) AS c FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2, 3),
+o AS (SELECT x, y FROM p WHERE 100 * c >= 75 * (total - c)),
+l AS (SELECT x, y FROM o UNION ALL SELECT y, x FROM o),
+r AS (SELECT DISTINCT x AS n, x AS c FROM l UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.n),
+c AS (SELECT n, min(c) AS c FROM r GROUP BY n)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(c.c, s.doc_id) AS component_id, coalesce(c.c, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON c.n = s.doc_id
+"""

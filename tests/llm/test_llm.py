@@ -105,19 +105,24 @@ def test_minhash_near_dedup(spark, corpus, block, monkeypatch):
 
 
 def test_mixed_buckets_find_links_away_from_the_hub(spark):
-    """x - y is a likely pair of different components; it is emitted in the first table that it shares, whatever the blocks."""
+    """2 - 3 is a likely pair of different components; it comes in the first group that it shares, whatever the blocks."""
     sig = lambda seed: np.random.default_rng(seed).integers(0, 10**6, 90).tolist()
     a, b = sig(1), sig(2)
     c = b[:]
     c[0:3] = sig(3)[0:3]
-    first = 1 * 15 + 0
-    rows = [(t, t, i, i, s) for t in (first, first + 1) for i, s in ((1, a), (2, b), (3, c))]
-    members = spark.createDataFrame(rows, "bucket long, table int, node long, component long, signature array<int>")
+    full = {1: np.arange(10, 20), 2: np.arange(100), 3: np.arange(5, 101)}
+    rows = [(t, t, i, i, s, full[i].astype(np.uint64).tobytes()) for t in (1, 2) for i, s in ((1, a), (2, b), (3, c))]
+    members = spark.createDataFrame(rows, "bucket long, table int, node long, component long, signature array<int>, shingles binary")
+    held = members.select("bucket", "node", "signature", "shingles")
     for block in (512, 1):
-        got = minhash_dedup.unlike(members, 0.5, block=block)
-        assert [tuple(r) for r in got.collect()] == [(2, 3)]
-    assert minhash_dedup.unlike(members.where(f"table <> {first}"), 0.5).count() == 0
-    assert minhash_dedup.unlike(members.withColumn("component", F.lit(0)), 0.5).count() == 0
+        given = minhash_dedup.dealt(members.select("bucket", "table", "node", "component"), block).join(held, ["bucket", "node"])
+        found = minhash_dedup.unlike(given.drop("shingles"), 0.5)
+        assert {(r.table, r.node) for r in found.collect()} == {(1, 2), (1, 3)}
+        again = found.join(held, ["bucket", "node"])
+        assert [tuple(r) for r in minhash_dedup.links_within(again, 0.5, 75).collect()] == [(2, 3)]
+        assert minhash_dedup.links_within(again, 0.5, 99).count() == 0
+    one = minhash_dedup.dealt(members.select("bucket", "table", "node", F.lit(0).alias("component")), 512).join(held, ["bucket", "node"])
+    assert minhash_dedup.unlike(one.drop("shingles"), 0.5).count() == 0
 
 
 def test_components(spark):
