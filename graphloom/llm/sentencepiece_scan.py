@@ -46,19 +46,20 @@ def cuts(text: str, start: int, end: int) -> tuple[int, int] | None:
             return found.end() - 1, last
 
 
-def transfer(model: Unigram, text: str, size: int, middle: list[str] | None, edges: tuple[int, int] | None) -> np.ndarray:
-    """Best scores from each entry state to each exit state of a chunk of size characters; text goes on past it.
+def transfer(model: Unigram, text: str, size: int) -> np.ndarray:
+    """Best scores from each entry state to each exit state of a chunk of size characters, up to a constant; text goes on past it.
 
-    middle: the learned words between the edges, which cuts() gives.
+    No piece crosses the edges that cuts() gives, so the matrix is an outer sum of a head, a middle and a tail.  The
+    middle is one number on all paths alike: it has no say in which states are best and is left out.
     """
     states = model.longest
     out = np.full((states, states), NEVER, np.int64)
+    edges = cuts(text, 1, size)
     if edges is None:
         for s in range(min(states, size + 1)):
             best, _ = model.paths(text, {s: 0}, size)
             out[s, : len(best) - size] = best[size:][:states]
         return out
-    # No piece crosses the first and last word boundary, so the matrix is an outer sum of a head, a middle and a tail.
     first, last = edges
     head = np.full(states, NEVER, np.int64)
     for s in range(min(states, first + 1)):
@@ -67,7 +68,7 @@ def transfer(model: Unigram, text: str, size: int, middle: list[str] | None, edg
     tail = np.full(states, NEVER, np.int64)
     ends = best[size - last :][:states]
     tail[: len(ends)] = ends
-    return plus(head[:, None], plus(tail, model.joined(middle)[0])[None, :])
+    return plus(head[:, None], tail[None, :])
 
 
 def plus(x, y) -> np.ndarray:
@@ -138,9 +139,7 @@ def encode_giants(texts: DataFrame, model_path: str, chunk: int, group: int) ->
         for b in batches:
             for at in range(0, b.num_rows, TOGETHER):
                 part = b.slice(at, TOGETHER)
-                sizes, texts = part.column(2).to_pylist(), part.column(3).to_pylist()
-                known = learned(model, [(t, 1, n) for t, n in zip(texts, sizes, strict=True)])
-                found = [transfer(model, t, n, *k).ravel() for t, n, k in zip(texts, sizes, known, strict=True)]
+                found = [transfer(model, t, n).ravel() for n, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(4), pa.array(found, pa.list_(pa.int64()))], names=["key", "part", "last", "matrix"])
 
     def square(m) -> np.ndarray:
