@@ -2,8 +2,9 @@
 
 The neighbour graph starts from random-hyperplane cells, each split into blocks of bounded size; then rounds of local
 joins compare the neighbours (and reverse neighbours) of every node with each other and keep the best.  A node whose list
-is full of links is saturated: its list is enlarged, in the end to all members of its component, which blocks of exact
-products count without listing pairs.  Recall is audited against brute force for a set of query vectors over all rows; while it is
+is full of links is saturated: its list is enlarged by all members of its component, which are not listed any more, and
+the descent goes on among the saturated nodes for others outside, until none is saturated.  Blocks of exact products
+count the links inside components without listing pairs.  Recall is audited against brute force for a set of query vectors over all rows; while it is
 below the target, further cells and rounds follow.
 """
 
@@ -27,7 +28,7 @@ FORESTS, ROUNDS = 4, 2
 RECALL, MOST_PASSES = 0.99, 4
 #: Query vectors of the audit, each against all rows (a documented bound).
 AUDIT = 256
-VECTOR = "node long, vector array<double>"
+VECTOR = "node long, vector array<double>, component long"
 
 
 def matrix(column) -> np.ndarray:
@@ -51,12 +52,10 @@ def best(lists: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("place") <= k).select("node", "other", "score")
 
 
-def top_pairs(ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best others of each row of x among the rows."""
+def top_pairs(ids: np.ndarray, groups: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best others of each row of x among the rows of other groups; rows of one id are of one group."""
     g = x @ x.T
-    np.fill_diagonal(g, -np.inf)
-    # The same vector id twice: not its own neighbour.
-    g[ids[:, None] == ids[None, :]] = -np.inf
+    g[groups[:, None] == groups[None, :]] = -np.inf
     k = min(k, len(ids) - 1)
     if k < 1:
         return pd.DataFrame({"node": [], "other": [], "score": []}).astype({"node": "int64", "other": "int64", "score": "float64"})
@@ -66,29 +65,31 @@ def top_pairs(ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
     return out[np.isfinite(out["score"])]
 
 
-def cells(vectors: DataFrame, n: int, size: int, mean: np.ndarray, seeds: range, k: int) -> DataFrame:
-    """First lists: for each seed the vectors are dealt by the signs of random projections of their offset from the mean.
+def cells(vectors: DataFrame, n: int, centres: list[np.ndarray], seeds: range, k: int) -> DataFrame:
+    """First lists: for each seed the vectors are dealt by the signs of random projections of their offset from a centre.
 
-    A cell over BLOCK vectors (copies all fall into one) is dealt into blocks by id; a block is one task's work.
+    Seeds take the centres in turn.  About the mean cells are of like size, but two groups on opposite sides of it share
+    none, however close they are; about the origin they do.  A cell over BLOCK vectors (copies all fall into one) is dealt into blocks by id; a block is one task's work.
     """
     bits = max(0, math.ceil(math.log2(max(n, 1) / CELL)))
-    planes = [np.random.default_rng(s).standard_normal((size, bits)) for s in seeds]
+    planes = [np.random.default_rng(s).standard_normal((len(centres[0]), bits)) for s in seeds]
+    offsets = [centres[i % len(centres)] @ p for i, p in enumerate(planes)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(bits)
         for b in batches:
-            x = matrix(b.column(1).to_pylist()) - mean
-            codes = np.stack([((x @ p) > 0) @ weights if bits else np.zeros(len(x), np.int64) for p in planes], 1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes.tolist(), pa.list_(pa.int64()))], names=["node", "vector", "codes"])
+            x = matrix(b.column(1).to_pylist())
+            codes = np.stack([((x @ p) > o) @ weights if bits else np.zeros(len(x), np.int64) for p, o in zip(planes, offsets, strict=True)], 1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes.tolist(), pa.list_(pa.int64()))], names=["node", "vector", "component", "codes"])
 
-    dealt = cut(vectors.mapInArrow(deal, f"{VECTOR}, codes array<long>").select("node", "vector", F.posexplode("codes").alias("seed", "code")))
+    dealt = cut(vectors.mapInArrow(deal, f"{VECTOR}, codes array<long>").select("node", "vector", "component", F.posexplode("codes").alias("seed", "code")))
     blocks = dealt.groupBy("seed", "code").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     parts = dealt.join(blocks, ["seed", "code"]).withColumn("block", F.pmod(F.xxhash64("node", "seed"), "blocks"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        return top_pairs(pdf["node"].to_numpy(), matrix(pdf["vector"]), k)
+        return top_pairs(pdf["node"].to_numpy(), pdf["component"].to_numpy(), matrix(pdf["vector"]), k)
 
-    return best(parts.select("seed", "code", "block", "node", "vector").groupBy("seed", "code", "block").applyInPandas(compare, "node long, other long, score double"), k)
+    return best(parts.select("seed", "code", "block", "node", "vector", "component").groupBy("seed", "code", "block").applyInPandas(compare, "node long, other long, score double"), k)
 
 
 def local_join(lists: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -102,7 +103,7 @@ def local_join(lists: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     floor = lists.groupBy("node").agg(F.min("score").alias("floor"), F.count("*").alias("n"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        return top_pairs(pdf["other"].to_numpy(), matrix(pdf["vector"]), k)
+        return top_pairs(pdf["other"].to_numpy(), pdf["component"].to_numpy(), matrix(pdf["vector"]), k)
 
     found = held.groupBy("node").applyInPandas(compare, "node long, other long, score double")
     # Only what can enter a list goes on.
@@ -149,24 +150,55 @@ def within(members: DataFrame, threshold: float) -> DataFrame:
     return dealt.groupBy("component", "lo", "hi").applyInPandas(count, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
+def descent(vectors: DataFrame, n: int, centres: list[np.ndarray], seeds: range, k: int, lists: DataFrame | None = None) -> DataFrame:
+    """(node, other, score): lists of the k best others outside each node's component, from new cells and the given lists."""
+    new = cells(vectors, n, centres, seeds, k)
+    lists = cut(new if lists is None else best(lists.unionByName(new), k))
+    for _ in range(ROUNDS):
+        lists = cut(local_join(lists, vectors, k))
+    return lists
+
+
+def merged(vectors: DataFrame, links: DataFrame) -> DataFrame:
+    """vectors with the components that links (node, other) join made one."""
+    stars = vectors.select("node", F.col("component").alias("other"))
+    found = components(stars.unionByName(links.select("node", "other")), "node", "other")
+    return cut(vectors.select("node", "vector").join(found, "node", "left").select("node", "vector", F.coalesce("component", "node").alias("component")))
+
+
+def enlarged(vectors: DataFrame, lists: DataFrame, centres: list[np.ndarray], threshold: float, k: int, seed: int) -> DataFrame:
+    """vectors with the components of the links in lists and of those that full lists had no room for.
+
+    A link that both its ends had no room for joins two saturated nodes.  They search on among themselves, with lists for
+    others outside their component only; a list full of links again merges k nodes or more, so the turns come to an end.
+    """
+    while True:
+        links = cut(lists.where(F.col("score") >= threshold))
+        vectors = merged(vectors, links)
+        full = cut(links.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("node"))
+        n = full.count()
+        if not n:
+            return vectors
+        lists = descent(cut(vectors.join(full, "node", "left_semi")), n, [np.zeros_like(centres[0]), *centres], range(seed, seed + FORESTS), k)
+        seed += FORESTS
+
+
 def neighbour_graph(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> tuple[DataFrame, float]:
-    """(node, other, score) lists, k long, and the audited recall of links at the threshold."""
+    """(node, vector, component) and the audited recall of links at the threshold; vectors that link with nothing are components of their own."""
     first = vectors.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("size"), F.min(F.size("vector")).alias("least")).first()
-    n, size = first["n"], first["size"] or 0
+    n = first["n"]
     if first["least"] != first["size"]:
         raise ValueError("vectors of different lengths")
     mean = np.array([r["m"] for r in vectors.select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()])
+    vectors = vectors.select("node", "vector", F.col("node").alias("component"))
     lists, recall = None, 0.0
     for turn in range(MOST_PASSES):
-        new = cells(vectors, n, size, mean, range(1000 * turn, 1000 * turn + FORESTS), k)
-        lists = cut(new if lists is None else best(lists.unionByName(new), k))
-        for _ in range(ROUNDS):
-            lists = cut(local_join(lists, vectors, k))
+        lists = descent(vectors, n, [mean], range(1000 * turn, 1000 * turn + FORESTS), k, lists)
         true, found = audit(vectors, lists, threshold, k, AUDIT)
         recall = found / true if true else 1.0
         if recall >= RECALL:
             break
-    return lists, recall
+    return enlarged(vectors, lists, [mean], threshold, k, 1000 * MOST_PASSES), recall
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
@@ -180,9 +212,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = df.select(F.col(id_col).alias("vec_id"))
     if vectors.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    lists, _ = neighbour_graph(vectors, threshold, k)
-    found = components(lists.where(F.col("score") >= threshold), "node", "other")
-    members = vectors.join(found, "node")
+    grouped, _ = neighbour_graph(vectors, threshold, k)
+    found = grouped.select("node", "component").distinct()
+    members = grouped.join(grouped.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component", "left_semi")
     counts = within(members, threshold)
     labelled = found.join(counts, "node", "left").withColumnRenamed("node", "linked")
     out = rows.join(labelled, F.col("vec_id").cast("long") == F.col("linked"), "left")

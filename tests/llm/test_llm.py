@@ -417,6 +417,16 @@ def test_embedding_dedup(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(1, 7)) and got[None].kept and got[None].component_id is None
 
 
+def test_saturated_groups_are_joined(spark):
+    r = np.random.default_rng(3)
+    a, b = np.eye(16)[0], 0.95 * np.eye(16)[0] + math.sqrt(1 - 0.95**2) * np.eye(16)[1]
+    x = np.concatenate([r.standard_normal((200, 16)), a + 0.002 * r.standard_normal((90, 16)), b + 0.002 * r.standard_normal((70, 16))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = {row.vec_id: row for row in embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert [got[i].n_links for i in range(360)] == ((x @ x.T >= 0.9).sum(1) - 1).tolist()
+    assert len({got[i].component_id for i in range(200, 360)}) == 1 and sum(got[i].kept for i in range(200, 360)) == (got[200].component_id == 200)
+
+
 def test_blocks_inside_a_component_count_alike(spark, monkeypatch):
     r = np.random.default_rng(2)
     x = r.standard_normal(8) + 0.35 * r.standard_normal((60, 8))
