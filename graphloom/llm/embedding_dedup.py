@@ -4,12 +4,13 @@ The neighbour graph starts from random-hyperplane cells, each split into blocks
 joins compare the neighbours (and reverse neighbours) of every node with each other and keep the best.  A node whose list
 is full of links is saturated: its list is enlarged by all members of its component, which are not listed any more, and
 the descent goes on among the saturated nodes for others outside, until none is saturated.  Blocks of exact products
-count the links inside components without listing pairs.  Recall is audited against brute force for a set of query vectors over all rows; while it is
-below the target, further cells and rounds follow.
+count the links inside components without listing pairs.  Recall is audited against brute force for a set of query vectors over all rows: a link
+is found when both its ends are in one component; while recall is below the target, further cells and rounds follow.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import components, cut
 
+log = logging.getLogger(__name__)
 THRESHOLD = 0.9
 NEIGHBOURS = 12
 CELL, BLOCK = 128, 512
 FORESTS, ROUNDS = 4, 2
 RECALL, MOST_PASSES = 0.99, 4
-#: Query vectors of the audit, each against all rows (a documented bound).
-AUDIT = 256
+#: Query vectors of the audit, each against all rows, so many of one component at most; more and more, up to MOST_AUDIT
+#: (a documented bound), until LINKED of them have links.
+AUDIT, MOST_AUDIT, PER_COMPONENT, LINKED = 256, 32768, 4, 32
 VECTOR = "node long, vector array<double>, component long"
 
 
@@ -111,26 +114,43 @@ def local_join(lists: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return best(lists.unionByName(better), k)
 
 
-def audit(vectors: DataFrame, lists: DataFrame, threshold: float, k: int, queries: int) -> tuple[int, int]:
-    """Links of the query vectors by brute force over all rows, and how many of them lists has; up to k for a query.
+def audit(vectors: DataFrame, threshold: float, k: int, seed: int = 17) -> float | None:
+    """Recall of links as returned: those of query vectors by brute force over all rows whose ends are in one component.
 
-    Queries are the `queries` vectors of smallest hash, a stated set, sent to every task; a full list counts as found,
-    as its node is saturated and counted exactly later.
+    Queries are the vectors of smallest hash, PER_COMPONENT of a component at most, sent to every task: a large group cannot
+    stand for the table.  Each query with links counts once, with the share found of its links, at most the k least
+    similar ones, so that its own close group does not hide what is lost.  If fewer than LINKED queries have links, eight
+    times as many are asked.  None says that MOST_AUDIT queries were too few; if all rows were asked and none has a link,
+    recall is 1.
     """
-    asked = vectors.orderBy(F.xxhash64("node", F.lit(17)), "node").limit(queries).toPandas()
-    ids, q = asked["node"].to_numpy(), matrix(asked["vector"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node = b.column(0).to_numpy()
-            at, of = np.nonzero(matrix(b.column(1).to_pylist()) @ q.T >= threshold)
-            other = ids[of] != node[at]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[of][other]), pa.array(node[at][other])], names=["node", "other"])
-
-    true = vectors.mapInArrow(run, "node long, other long").distinct()
-    full = lists.where(F.col("score") >= threshold).groupBy("node").agg((F.count("*") >= k).alias("full"))
-    row = true.join(lists.select("node", "other", F.lit(1).alias("hit")), ["node", "other"], "left").join(full, "node", "left").agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("hit").isNotNull() | F.coalesce("full", F.lit(False)), 1)), F.lit(0))).first()
-    return int(row[0]), int(row[1])
+    ranked = vectors.withColumn("hash", F.xxhash64("node", F.lit(seed))).selectExpr("*", "row_number() OVER (PARTITION BY component ORDER BY hash, node) AS place")
+    spread = ranked.where(F.col("place") <= PER_COMPONENT).select("node", "vector", "component", "hash")
+    queries = AUDIT
+    while True:
+        asked = spread.orderBy("hash", "node").limit(queries).toPandas()
+        ids, q, own = asked["node"].to_numpy(), matrix(asked["vector"]), asked["component"].to_numpy()
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q, own=own) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                node, x, component = b.column(0).to_numpy(), matrix(b.column(1).to_pylist()), b.column(2).to_numpy()
+                for at in range(0, len(ids), AUDIT):
+                    part = slice(at, at + AUDIT)
+                    score = q[part] @ x.T
+                    of, to = np.nonzero((score >= threshold) & (ids[part, None] != node[None, :]))
+                    found = pd.DataFrame({"query": of + at, "score": score[of, to], "found": own[part][of] == component[to]})
+                    # Only the k least similar links of a query count.
+                    found = found.sort_values(["query", "score", "found"]).groupby("query").head(k)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[c].to_numpy()) for c in found], names=list(found))
+
+        links = vectors.mapInArrow(run, "query long, score double, found boolean").selectExpr("*", "row_number() OVER (PARTITION BY query ORDER BY score, found) AS place")
+        shares = links.where(F.col("place") <= k).groupBy("query").agg(F.avg(F.col("found").cast("int")).alias("share"))
+        row = shares.agg(F.count("*"), F.avg("share")).first()
+        # Fewer queries came than were asked for: there are no more.
+        if row[0] >= LINKED or len(asked) < queries:
+            return row[1] if row[0] else 1.0
+        if queries >= MOST_AUDIT:
+            return None
+        queries *= 8
 
 
 def within(members: DataFrame, threshold: float) -> DataFrame:
@@ -183,22 +203,25 @@ def enlarged(vectors: DataFrame, lists: DataFrame, centres: list[np.ndarray], th
         seed += FORESTS
 
 
-def neighbour_graph(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> tuple[DataFrame, float]:
-    """(node, vector, component) and the audited recall of links at the threshold; vectors that link with nothing are components of their own."""
+def neighbour_graph(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> tuple[DataFrame, float | None]:
+    """(node, vector, component) and the audited recall of links at the threshold (None: not known); vectors that link with nothing are components of their own."""
     first = vectors.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("size"), F.min(F.size("vector")).alias("least")).first()
     n = first["n"]
     if first["least"] != first["size"]:
         raise ValueError("vectors of different lengths")
     mean = np.array([r["m"] for r in vectors.select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()])
     vectors = vectors.select("node", "vector", F.col("node").alias("component"))
-    lists, recall = None, 0.0
+    lists, recall = None, None
     for turn in range(MOST_PASSES):
         lists = descent(vectors, n, [mean], range(1000 * turn, 1000 * turn + FORESTS), k, lists)
-        true, found = audit(vectors, lists, threshold, k, AUDIT)
-        recall = found / true if true else 1.0
-        if recall >= RECALL:
+        vectors = enlarged(vectors, lists, [mean], threshold, k, 1000 * turn + FORESTS)
+        recall = audit(vectors, threshold, k, 17 + turn)
+        if recall is not None and recall >= RECALL:
             break
-    return enlarged(vectors, lists, [mean], threshold, k, 1000 * MOST_PASSES), recall
+        # Links are inside components now and leave room for others.
+        lists = lists.where(F.col("score") < threshold)
+    log.info("recall of links at %s: %s", threshold, recall)
+    return vectors, recall
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:

@@ -427,6 +427,26 @@ def test_saturated_groups_are_joined(spark):
     assert len({got[i].component_id for i in range(200, 360)}) == 1 and sum(got[i].kept for i in range(200, 360)) == (got[200].component_id == 200)
 
 
+def test_audit_sees_losses_beside_a_large_group(spark):
+    r = np.random.default_rng(4)
+    pairs = r.standard_normal((100, 16))
+    group = r.standard_normal(16) + 0.01 * r.standard_normal((400, 16))
+    x = np.concatenate([pairs, pairs + 0.01 * r.standard_normal((100, 16)), group])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+
+    def recall(component):
+        return embedding_dedup.audit(spark.createDataFrame([(i, v.tolist(), c) for i, (v, c) in enumerate(zip(x, component, strict=True))], embedding_dedup.VECTOR), 0.9, 12)
+
+    right = [*range(100), *range(100), *[200] * 400]
+    assert recall(right) == 1
+    # All pairs lost; the group cut in two.
+    assert recall([*range(200), *[200] * 400]) < 0.1
+    assert recall([*range(100), *range(100), *[200] * 200, *[400] * 200]) < 0.99
+    # Nothing is linked: right when all rows were asked, else not known.
+    far = spark.createDataFrame([(i, v.tolist(), i) for i, v in enumerate(np.eye(64))], embedding_dedup.VECTOR)
+    assert embedding_dedup.audit(far, 0.9, 12) == 1
+
+
 def test_blocks_inside_a_component_count_alike(spark, monkeypatch):
     r = np.random.default_rng(2)
     x = r.standard_normal(8) + 0.35 * r.standard_normal((60, 8))
