@@ -6,6 +6,7 @@ is full of links is saturated: its list is enlarged by all members of its compon
 the descent goes on among the saturated nodes for others outside, until none is saturated.  Blocks of exact products
 count the links inside components without listing pairs.  Recall is audited against brute force for a set of query vectors over all rows: a link
 is found when both its ends are in one component; while recall is below the target, further cells and rounds follow.
+If they help no more, or recall is not known, blocks of exact products over all rows join what is left.
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ log = logging.getLogger(__name__)
 THRESHOLD = 0.9
 NEIGHBOURS = 12
 CELL, BLOCK = 128, 512
+#: Rows of a block of the exact finish, and of a slice of it.
+WHOLE, SLICE = 4096, 128
 FORESTS, ROUNDS = 4, 2
-RECALL, MOST_PASSES = 0.99, 4
+#: The search goes on until the audit finds RECALL, while a pass leaves at most HELPS of the loss before it.
+RECALL, HELPS = 0.99, 0.9
 #: Query vectors of the audit, each against all rows, so many of one component at most; more and more, up to MOST_AUDIT
 #: (a documented bound), until LINKED of them have links.
 AUDIT, MOST_AUDIT, PER_COMPONENT, LINKED = 256, 32768, 4, 32
@@ -153,12 +157,48 @@ def audit(vectors: DataFrame, threshold: float, k: int, seed: int = 17) -> float
         queries *= 8
 
 
-def within(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, n_links): exact numbers of links inside components, block by block, without a row per link."""
-    sized = members.join(members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "component")
+def paired(sized: DataFrame) -> DataFrame:
+    """(component, lo, hi, own, node, vector) for each pair of blocks (lo, hi) that rows of own, one of the two, meet in; blocks is their number."""
     own = F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int")
     dealt = sized.select("component", "node", "vector", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "vector")
+    return dealt.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "vector")
+
+
+def links_between(vectors: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(node, other): components, as their smallest nodes, that links join, by exact products over all n rows.
+
+    A pair of blocks gives a forest of its links only, no row per link.
+    """
+    dealt = paired(vectors.withColumn("blocks", F.lit(math.ceil(n / WHOLE))))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, own = matrix(pdf["vector"]), pdf["own"].to_numpy()
+        names, label = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+        left, right = np.flatnonzero(own == pdf["lo"].iloc[0]), np.flatnonzero(own == pdf["hi"].iloc[0])
+        y, root, out = x[right].T, np.arange(len(names)), []
+
+        def top(a: int) -> int:
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            return a
+
+        for at in range(0, len(left), SLICE):
+            rows = left[at : at + SLICE]
+            i, j = np.nonzero((x[rows] @ y >= threshold) & (label[rows, None] != label[None, right]))
+            for a, b in zip(*np.divmod(np.unique(label[rows][i] * len(names) + label[right][j]), len(names)), strict=True):
+                u, v = top(a), top(b)
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+                    out.append((names[a], names[b]))
+            label = np.array([top(a) for a in range(len(names))])[label]
+        return pd.DataFrame(out, columns=["node", "other"]).astype("int64")
+
+    return dealt.groupBy("lo", "hi").applyInPandas(join, "node long, other long").distinct()
+
+
+def within(members: DataFrame, threshold: float) -> DataFrame:
+    """(node, n_links): exact numbers of links inside components, block by block, without a row per link."""
+    dealt = paired(members.join(members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "component"))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids, own = matrix(pdf["vector"]), pdf["node"].to_numpy(), pdf["own"].to_numpy()
@@ -203,25 +243,27 @@ def enlarged(vectors: DataFrame, lists: DataFrame, centres: list[np.ndarray], th
         seed += FORESTS
 
 
-def neighbour_graph(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> tuple[DataFrame, float | None]:
-    """(node, vector, component) and the audited recall of links at the threshold (None: not known); vectors that link with nothing are components of their own."""
+def neighbour_graph(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> tuple[DataFrame, float]:
+    """(node, vector, component) and the audited recall of links at the threshold; vectors that link with nothing are components of their own."""
     first = vectors.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("size"), F.min(F.size("vector")).alias("least")).first()
     n = first["n"]
     if first["least"] != first["size"]:
         raise ValueError("vectors of different lengths")
     mean = np.array([r["m"] for r in vectors.select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()])
     vectors = vectors.select("node", "vector", F.col("node").alias("component"))
-    lists, recall = None, None
-    for turn in range(MOST_PASSES):
-        lists = descent(vectors, n, [mean], range(1000 * turn, 1000 * turn + FORESTS), k, lists)
+    lists, turn, centres, before = None, 0, [mean], math.inf
+    while True:
+        lists = descent(vectors, n, centres, range(1000 * turn, 1000 * turn + FORESTS), k, lists)
         vectors = enlarged(vectors, lists, [mean], threshold, k, 1000 * turn + FORESTS)
         recall = audit(vectors, threshold, k, 17 + turn)
+        log.info("recall of links at %s after pass %s: %s", threshold, turn + 1, recall)
         if recall is not None and recall >= RECALL:
-            break
+            return vectors, recall
+        if recall is None or 1 - recall > HELPS * before:
+            log.warning("recall of links at %s is %s: exact products over all %s rows follow", threshold, recall, n)
+            return merged(vectors, links_between(vectors, n, threshold)), 1.0
         # Links are inside components now and leave room for others.
-        lists = lists.where(F.col("score") < threshold)
-    log.info("recall of links at %s: %s", threshold, recall)
-    return vectors, recall
+        lists, before, turn, centres = lists.where(F.col("score") < threshold), 1 - recall, turn + 1, [mean, np.zeros_like(mean)]
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:

@@ -447,6 +447,25 @@ def test_audit_sees_losses_beside_a_large_group(spark):
     assert embedding_dedup.audit(far, 0.9, 12) == 1
 
 
+def test_a_search_below_the_target_ends_exactly(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = r.standard_normal((300, 16))
+    x = np.concatenate([x, x[:100] + 0.4 * r.standard_normal((100, 16))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    linked = x @ x.T >= 0.9
+    component = list(range(400))
+    for _ in range(20):
+        component = [min(component[j] for j in np.flatnonzero(row)) for row in linked]
+    # A poor search, whose recall stays below the target.
+    for name, value in {"FORESTS": 1, "ROUNDS": 0, "CELL": 1, "WHOLE": 150, "SLICE": 40}.items():
+        monkeypatch.setattr(embedding_dedup, name, value, raising=False)
+    monkeypatch.setattr(embedding_dedup, "audit", lambda *_: 0.5)
+    got = {row.vec_id: row for row in embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert linked.sum() > 450
+    assert [got[i].n_links for i in range(400)] == (linked.sum(1) - 1).tolist()
+    assert [got[i].component_id for i in range(400)] == component
+
+
 def test_blocks_inside_a_component_count_alike(spark, monkeypatch):
     r = np.random.default_rng(2)
     x = r.standard_normal(8) + 0.35 * r.standard_normal((60, 8))
