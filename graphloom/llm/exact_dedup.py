@@ -78,9 +78,14 @@ def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counte
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that decide() drops; columns and their order stay."""
-    lost = decide(df, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__lost_id")).distinct()
-    return df.join(lost.hint("shuffle_hash"), df[id_col].eqNullSafe(lost["__lost_id"]), "left_anti")
+    """df without the rows that decide() drops; columns and their order stay.
+
+    A row goes by its id and its text: ids may be null or repeat.
+    """
+    lost = decide(df, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__lost_id"), F.unhex("text_sha256").alias("__lost_digest")).distinct()
+    rows = df.withColumn("__digest", F.unhex(F.sha2(normalised(text_col), 256)))
+    gone = rows[id_col].eqNullSafe(lost["__lost_id"]) & (rows["__digest"] == lost["__lost_digest"])
+    return rows.join(lost.hint("shuffle_hash"), gone, "left_anti").drop("__digest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

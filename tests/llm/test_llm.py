@@ -81,6 +81,13 @@ def sets_of(corpus):
     return [(i, shingles(t)) for i, t in corpus]
 
 
+def test_exact_dedup_drops_rows_not_ids(spark):
+    rows = [(1, "copied text"), (None, "copied\ttext"), (None, "a text of its own"), (None, None), (5, "A"), (5, "B"), (3, "B ")]
+    left = exact_dedup.deduplicate(docs(spark, rows))
+    assert left.columns == docs(spark, []).columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == sorted((str(i), str(t)) for i, t in (rows[0], rows[2], rows[3], rows[4], rows[6]))
+
+
 @pytest.mark.parametrize("block", [512, 3])
 def test_minhash_near_dedup(spark, corpus, block, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK", block)
