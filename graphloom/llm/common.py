@@ -1,10 +1,14 @@
-"""What several operators share: the shared folder, lineage cuts, connected components, word shingles."""
+"""What several operators share: the shared folder, lineage cuts, joins on hot keys, groups in Arrow, connected components, word shingles."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +16,8 @@ from pyspark.sql import functions as F
 SHINGLE_WORDS = 5
 #: Entries after which a task's word cache starts anew (a cache only: results do not depend on it).
 CACHE_WORDS = 400_000
+#: A key is hot if more than one row in HOT holds it, so fewer than HOT keys are.
+HOT = 256
 _HORNER = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2, _S33 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
 
@@ -27,11 +33,27 @@ def shared_dir(spark: SparkSession) -> str:
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="graphloom-")
+        removed_at_exit(spark, path)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(path)
+        removed_at_exit(spark, sc._jsc.sc().getCheckpointDir().get())
     return path
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> str:
+    """path, a folder of intermediate data that goes when the driver ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it goes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return removed_at_exit(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and stored in the shared folder: its lineage ends there and survives lost executors."""
     shared_dir(df.sparkSession)
@@ -46,22 +68,75 @@ def cut_and_free(df: DataFrame) -> DataFrame:
     return out
 
 
+def hot_keys(counted: DataFrame, key: str) -> list:
+    """Values of key that more than one row in HOT holds: fewer than HOT of them. counted must be stored, as it is read again."""
+    total = counted.count()
+    counts = counted.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    return [r[0] for r in counts.where(F.col("n") * HOT > total).limit(HOT).collect()]
+
+
+def joined(wide: DataFrame, narrow: DataFrame, key: str, hot: list | None = None) -> DataFrame:
+    """wide left joined with narrow, which has one row per key.
+
+    Rows of hot keys (those of hot_keys(wide, key), unless given) meet their narrow rows, fewer than HOT, by broadcast; rows
+    without a key meet nothing; only the others are shuffled.
+    """
+    hot = hot_keys(wide, key) if hot is None else hot
+    added = [F.lit(None).cast(f.dataType).alias(f.name) for f in narrow.schema if f.name != key]
+    out = wide.where(F.col(key).isNull()).select("*", *added)
+    among = lambda df: F.coalesce(df[key].isin([F.lit(k) for k in hot]), F.lit(False)) if hot else F.lit(False)
+    if hot:
+        out = out.unionByName(wide.where(among(wide)).join(F.broadcast(narrow.where(among(narrow))), key, "left"))
+    return out.unionByName(wide.where(F.col(key).isNotNull() & ~among(wide)).join(narrow.where(~among(narrow)), key, "left"))
+
+
+def in_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarray], Iterable[pa.RecordBatch]], schema, order: Iterable[str] = ()) -> DataFrame:
+    """work(table, edges) over batches of whole groups of rows with equal keys; group i is rows edges[i] to edges[i + 1].
+
+    Groups must be of bounded size.  Many small ones come at a time, so that a group costs no call of its own; the fixed
+    number of partitions keeps small inputs of long work from being put together in one task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
+            other = np.zeros(t.num_rows - 1, bool)
+            for k in keys:
+                c = t.column(k).chunk(0)
+                other |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+            edges = np.r_[0, np.flatnonzero(other) + 1]
+            held = t.slice(int(edges[-1])).combine_chunks()
+            if len(edges) > 1:
+                yield from work(t.slice(0, int(edges[-1])).combine_chunks(), edges)
+        if held is not None:
+            yield from work(held, np.array([0, held.num_rows]))
+
+    return dealt.mapInArrow(run, schema)
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node that each node of an edge reaches.
 
-    Alternates large-star and small-star steps until the edge set is a forest of stars (logarithmically many rounds);
-    every round is two aggregations with map-side combine and is written to the shared folder.  Nulls and loops
-    contribute nothing.
+    Alternates large-star and small-star steps until the edge set is a forest of stars (logarithmically many rounds).
+    Every round looks up smallest neighbours twice, those of hot star centres by broadcast, and is written to the shared
+    folder.  Nulls and loops contribute nothing.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        hot = hot_keys(e.select(F.explode(F.array("u", "v")).alias("k")), "k")
+        # Every edge's lower end gives way to its own smallest neighbour, if that is lower still.
+        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        large = joined(e, low.withColumnRenamed("u", "v"), "v", hot).select("u", F.coalesce("m", "v").alias("v")).distinct()
+        # All lower neighbours of a node, and it, go to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.*")
+        small = joined(large, low, "u", hot).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.*")
         e = cut(small.where("u <> v").distinct())
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 7))")).first()
         if now == before:

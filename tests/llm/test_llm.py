@@ -442,7 +442,7 @@ def test_audit_sees_losses_beside_a_large_group(spark):
     x /= np.linalg.norm(x, axis=1)[:, None]
 
     def recall(component):
-        return embedding_dedup.audit(spark.createDataFrame([(i, v.tolist(), c) for i, (v, c) in enumerate(zip(x, component, strict=True))], embedding_dedup.VECTOR), 0.9, 12)
+        return embedding_dedup.audit(spark.createDataFrame([(i, v.astype(np.float32).tobytes(), c) for i, (v, c) in enumerate(zip(x, component, strict=True))], embedding_dedup.VECTOR), 0.9, 12)
 
     right = [*range(100), *range(100), *[200] * 400]
     assert recall(right) == 1
@@ -450,7 +450,7 @@ def test_audit_sees_losses_beside_a_large_group(spark):
     assert recall([*range(200), *[200] * 400]) < 0.1
     assert recall([*range(100), *range(100), *[200] * 200, *[400] * 200]) < 0.99
     # Nothing is linked: right when all rows were asked, else not known.
-    far = spark.createDataFrame([(i, v.tolist(), i) for i, v in enumerate(np.eye(64))], embedding_dedup.VECTOR)
+    far = spark.createDataFrame([(i, v.astype(np.float32).tobytes(), i) for i, v in enumerate(np.eye(64))], embedding_dedup.VECTOR)
     assert embedding_dedup.audit(far, 0.9, 12) == 1
 
 
@@ -477,11 +477,34 @@ def test_blocks_inside_a_component_count_alike(spark, monkeypatch):
     r = np.random.default_rng(2)
     x = r.standard_normal(8) + 0.35 * r.standard_normal((60, 8))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    members = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "node long, vector array<double>, component long")
-    want = ((x @ x.T >= 0.9).sum(1) - 1).tolist()
+    members = spark.createDataFrame([(i, v.tobytes(), 0, i.to_bytes(2, "big"), 1 + i % 3) for i, v in enumerate(x)], "node long, vector binary, component long, key binary, weight long")
+    linked = (x @ x.T >= 0.9) & ~np.eye(60, dtype=bool)
+    want = (linked @ (1 + np.arange(60) % 3)).tolist()
     for block in (512, 7):
         monkeypatch.setattr(embedding_dedup, "BLOCK", block)
-        assert [n for _, n in sorted(embedding_dedup.within(members, 0.9).collect())] == want
+        assert [n for _, n in sorted((bytes(key), n) for key, n in embedding_dedup.within(members, 0.9).collect())] == want
+
+
+def test_two_clusters_beside_noise(spark):
+    """Links between clusters that fill each other's lists: each of 400 vectors has 399 links, and one component holds all."""
+    r = np.random.default_rng(6)
+    a, b = np.eye(32)[0], 0.93 * np.eye(32)[0] + math.sqrt(1 - 0.93**2) * np.eye(32)[1]
+    x = np.concatenate([a + 0.001 * r.standard_normal((200, 32)), b + 0.001 * r.standard_normal((200, 32)), r.standard_normal((1000, 32))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {row.vec_id: row for row in embedding_dedup.near_duplicates(df).collect()}
+    linked = (x @ x.T >= 0.9) & ~np.eye(1400, dtype=bool)
+    found = sum(got[i].n_links for i in range(1400))
+    assert found >= 0.99 * linked.sum() and [got[i].n_links for i in range(400)] == [399] * 400
+    assert {got[i].component_id for i in range(400)} == {0}
+
+
+def test_equal_vectors_and_repeated_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.95, math.sqrt(1 - 0.95**2), 0.0]
+    rows = [(5, a), (6, a), (6, a), (7, [2.0, 0.0, 0.0]), (8, b), (9, c), (3, [0.0, 0.0, 1.0]), (20, a), (20, b)]
+    got = {row.vec_id: (row.n_links, row.component_id, row.kept) for row in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    # 20 is a and b, so b's 8 is of the same component.
+    assert got == {5: (4, 5, True), 6: (4, 5, False), 7: (4, 5, False), 8: (1, 5, False), 9: (4, 5, False), 3: (0, 3, True), 20: (5, 5, False)}
 
 
 def test_empty_tables(spark):
