@@ -404,6 +404,66 @@ def test_license_scan(spark):
     assert got[4] == got[5] == got[6] == got[7] == [[]] and got[None][0][0][0] == "GPL-3.0"
 
 
+def copies_by_brute_force(text, template, least=0.75, k=5):
+    """All stretches compared: most template shingles, then shortest, then first; then what is left on both sides."""
+    cut = lambda t: [tuple(w[i : i + k]) for w in [license_scan.plain(t.encode()).lower().split()] for i in range(len(w) - k + 1)]
+    s, wanted = cut(text), set(cut(template))
+
+    def best(lo, hi):
+        found = None
+        for a in range(lo, hi - k + 1):
+            for b in range(a + 1, min(a + license_scan.reach(len(wanted)), hi - k + 1) + 1):
+                n = len(set(s[a:b]) & wanted)
+                if n >= least * len(wanted) and (found is None or (n, a - b, -a) > found[:3]):
+                    found = (n, a - b, -a, a, b - 1 + k)
+        return best(lo, found[3]) + [(found[3], found[4], found[0])] + best(found[4], hi) if found else []
+
+    return best(0, len(s) + k - 1)
+
+
+def test_license_copies_equal_brute_force():
+    r = random.Random(12)
+    template = " ".join(words(24, 50))
+    known = license_scan.Templates({"x": (template,)}, license_scan.BANDS, 5)
+    sizes = []
+    for n in range(150):
+        parts = []
+        for _ in range(r.randint(1, 5)):
+            w = template.split()
+            for _ in range(r.randint(0, 2)):
+                w[r.randrange(len(w))] = "other"
+            lo = r.choice([0, 0, 3])
+            parts.append(" ".join(w[lo : r.choice([24, 24, 20, 12])]) + " " + " ".join(words(r.choice([0, 0, 1, 4, 40]), n)))
+        text = " ".join(parts)
+        shingles = license_scan.shingles(license_scan.WordHashes().of(license_scan.plain(text.encode())), 5)
+        want = copies_by_brute_force(text, template)
+        assert known.copies(shingles, 0, 0.75) == want
+        # Windows retrieve the template wherever there is a copy.
+        assert not want or known.retrieved([shingles[:0], shingles, shingles[:3]]) >= {(1, 0)}
+        sizes.append(len(want))
+    assert {0, 1, 2} <= set(sizes) and max(sizes) > 2
+
+
+def test_license_spans_depend_on_the_text_alone(spark):
+    mit = license_scan.TEMPLATES["MIT"][1]
+    n = len(license_scan.plain(mit.encode()).split())
+    text = f"{mit} {' '.join(words(60, 9))} {' '.join(mit.split()[:20])}"
+    rows = [(i, text if i % 2 else " ".join(words(i, i))) for i in range(200)] + [(999, text), (1000, f"{license_scan.TEMPLATES['GPL-3.0'][0]} " * 2)]
+    for parts in (1, 7):
+        got = {r.doc_id: [(m.license, m.word_start, m.word_end, m.containment) for m in r.matches] for r in license_scan.scan(docs(spark, rows).repartition(parts)).collect()}
+        assert all(got[i] == [("MIT", 0, n, 1.0)] for i in [*range(1, 200, 2), 999]) and not any(got[i] for i in range(0, 200, 2))
+        assert got[1000] == [("GPL-3.0", 0, 12, 1.0), ("GPL-3.0", 12, 24, 1.0)]
+
+
+@pytest.mark.parametrize("name", list(license_scan.TEMPLATES))
+def test_every_license_is_told_from_the_others(name):
+    known, w = license_scan.Templates(license_scan.TEMPLATES, license_scan.BANDS, 5), license_scan.WordHashes()
+    for text in license_scan.TEMPLATES[name]:
+        filled = f"{' '.join(words(30, 3))} {text} {' '.join(words(50, 4))}"
+        found = license_scan.matches(known, [license_scan.shingles(w.of(license_scan.plain(filled.encode())), 5)], 0.75)
+        assert [m["license"] for m in found[0]] == [name] and found[0][0]["containment"] == 1
+
+
 def test_embedding_dedup(spark):
     r = np.random.default_rng(1)
     x = r.standard_normal((600, 16))
