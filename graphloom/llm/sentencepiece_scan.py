@@ -2,8 +2,12 @@
 
 A text of up to `chunk` characters is encoded in one task.  A giant one is cut into chunks anywhere; at a boundary the
 state is how many characters of the next chunk the crossing piece covers.  Each chunk gives a matrix of best scores from
-entry state to exit state.  Matrices are combined associatively, in groups and then per text; the best states at all
-boundaries follow, and each chunk then traces its own pieces back, apart from the others.
+entry state to exit state.  Matrices are combined associatively, in groups and then per text, which gives the best scores
+of all states at every boundary.  With them a chunk knows from which entry state the best path to each exit state comes;
+these tables are composed associatively from the end, and each chunk then traces its own pieces back, apart from the others.
+
+Of equal scores the longest last piece stays, as in one pass over the whole text: at every place of a chunk the scores and
+the pieces they come from are those of that pass (up to a constant), so the ids do not depend on where the cuts lie.
 
 The vocabulary file at hand is of the BPE kind, whose merges are no best-path problem; it is read as a unigram model (see
 unigram.py), and results are those of the SentencePiece library for that model.
@@ -13,22 +17,23 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, in_groups, joined
 from .unigram import NEVER, SPACE, Unigram, split_words
 
 CHUNK = 16384
 GROUP = 64
 #: Chunks whose words are learned together.
 TOGETHER = 64
+#: Keys of giant texts that a task remembers, so as not to cut the same text again.
+KNOWN_KEYS = 100_000
 _CUT = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 PRIME, BASE = (1 << 31) - 1, 1_000_003
 POWERS = np.array([pow(BASE, i, PRIME) for i in range(1 << 15)], np.int64)
@@ -80,35 +85,61 @@ def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return plus(x[..., :, None], y[None, ...] if x.ndim > 1 else y).max(-2)
 
 
-def states(matrices: list[np.ndarray], entry: np.ndarray, exit_state: int) -> list[int]:
-    """States before each matrix on a best path: entry holds the score of each first state, the last state is exit_state."""
-    reach = [entry]
+def reached(matrices: list[np.ndarray], entry: np.ndarray) -> list[np.ndarray]:
+    """Best scores of all states before each matrix, from those before the first one."""
+    out = [entry]
     for m in matrices[:-1]:
-        reach.append(product(reach[-1], m))
-    out = []
-    for v, m in zip(reversed(reach), reversed(matrices), strict=True):
-        exit_state = int(plus(v, m[:, exit_state]).argmax())
-        out.append(exit_state)
-    return out[::-1]
+        out.append(product(out[-1], m))
+    return out
+
+
+def head_of(text: str, size: int) -> str:
+    """What of a chunk its best paths have to be known for, to tell where they come in: up to the first place that no piece crosses."""
+    edges = cuts(text, 1, size)
+    return text if edges is None else text[: edges[0]]
+
+
+def origins(model: Unigram, head: str, size: int, reach: np.ndarray) -> np.ndarray:
+    """The entry state that the best path to each exit state of a chunk comes from; head is head_of() the chunk, reach the
+    scores of its entry states.  An exit state that no path reaches leads to state 0."""
+    last = min(size, len(head))
+    best, back = model.paths(head, starts(reach, len(head)), last)
+    if len(head) < size:
+        # All paths pass the end of the head.
+        return np.full(len(reach), entry_of(back, last), np.int64)
+    ends = range(size, min(size + len(reach), len(best)))
+    return np.array([entry_of(back, e) if best[e] > NEVER else 0 for e in ends] + [0] * (len(reach) - len(ends)), np.int64)
+
 
+def starts(reach: np.ndarray, most: int) -> dict[int, int]:
+    return {i: x for i, x in enumerate(reach.tolist()) if x > NEVER and i <= most}
 
-def backtrace(model: Unigram, text: str, size: int, entry: int, exit_state: int, middle: list[str] | None, edges: tuple[int, int] | None) -> bytes:
-    """ids of a chunk between its boundary states."""
+
+def entry_of(back: list[tuple[int, int]], at: int) -> int:
+    while back[at][1] != -1:
+        at = back[at][0]
+    return at
+
+
+def backtrace(model: Unigram, text: str, size: int, reach: np.ndarray, exit_state: int, middle: list[str] | None, edges: tuple[int, int] | None) -> tuple[int, bytes]:
+    """(entry state, ids) of a chunk that ends in exit_state."""
     end = size + exit_state
     if edges is None:
-        _, back = model.paths(text, {entry: 0}, size)
-        return ids_bytes(model.ids_back(text, back, entry, end))
+        _, back = model.paths(text, starts(reach, size), size)
+        entry = entry_of(back, end)
+        return entry, ids_bytes(model.ids_back(text, back, entry, end))
     a, b = edges
-    _, back = model.paths(text[:a], {entry: 0}, a)
+    _, back = model.paths(text[:a], starts(reach, a), a)
+    entry = entry_of(back, a)
     out = ids_bytes(model.ids_back(text[:a], back, entry, a)) + model.joined(middle)[1]
     _, back = model.paths(text[b:], {0: 0}, size - b)
-    return out + ids_bytes(model.ids_back(text[b:], back, 0, end - b))
+    return entry, out + ids_bytes(model.ids_back(text[b:], back, 0, end - b))
 
 
-def learned(model: Unigram, chunks: list[tuple[str, int, int]]):
-    """(middle words, edges) of chunks (text, first place of a cut, size), all their words learned together."""
-    edges = [cuts(text, start, size) for text, start, size in chunks]
-    middles = [None if e is None else split_words(text[e[0] : e[1]]) for (text, _, _), e in zip(chunks, edges, strict=True)]
+def learned(model: Unigram, chunks: list[tuple[str, int]]):
+    """(middle words, edges) of chunks (text, size), all their words learned together."""
+    edges = [cuts(text, 1, size) for text, size in chunks]
+    middles = [None if e is None else split_words(text[e[0] : e[1]]) for (text, _), e in zip(chunks, edges, strict=True)]
     model.learn(set().union(*(m for m in middles if m)))
     return list(zip(middles, edges, strict=True))
 
@@ -123,73 +154,119 @@ def encode_giants(texts: DataFrame, model_path: str, chunk: int, group: int) ->
     source is the SHA-256 of the stretch of text that the ids of a chunk stand for.
     """
 
-    ahead = Unigram(model_path).longest - 1
+    longest = Unigram(model_path).longest
+    entered = np.full(longest, NEVER, np.int64)
+    entered[0] = 0
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[bytes] = set()
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if key in known:
+                    continue
+                if len(known) >= KNOWN_KEYS:
+                    known.clear()
+                known.add(key)
                 text = text.as_py()
-                rows = [(i // chunk, len(text[i : i + chunk]), text[i : i + chunk + ahead], i + chunk >= len(text)) for i in range(0, len(text), chunk)]
+                rows = [(i // chunk, len(text[i : i + chunk]), text[i : i + chunk + longest - 1]) for i in range(0, len(text), chunk)]
                 for at in range(0, len(rows), 64):
                     part = list(zip(*rows[at : at + 64], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(part[0])), pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.string()), pa.array(part[3], pa.bool_())], names=["key", "part", "size", "text", "last"])
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(part[0])), pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.string())], names=["key", "part", "size", "text"])
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Unigram(model_path)
         for b in batches:
             for at in range(0, b.num_rows, TOGETHER):
                 part = b.slice(at, TOGETHER)
-                found = [transfer(model, t, n).ravel() for n, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(4), pa.array(found, pa.list_(pa.int64()))], names=["key", "part", "last", "matrix"])
-
-    def square(m) -> np.ndarray:
-        n = int(len(m) ** 0.5)
-        return np.asarray(m, np.int64).reshape(n, n)
-
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        ms = [square(m) for m in pdf.sort_values("part")["matrix"]]
-        while len(ms) > 1:
-            ms = [product(ms[i], ms[i + 1]) if i + 1 < len(ms) else ms[i] for i in range(0, len(ms), 2)]
-        return pd.DataFrame({"key": pdf["key"].iloc[:1], "g": pdf["part"].iloc[:1] // group, "last": [bool(pdf["last"].any())], "matrix": [ms[0].ravel().tolist()]})
-
-    def between_groups(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("g")
-        ms = [square(m) for m in pdf["matrix"]]
-        entry = np.full(len(ms[0]), NEVER, np.int64)
-        entry[0] = 0
-        found = states(ms, entry, 0)
-        return pd.DataFrame({"key": pdf["key"], "g": pdf["g"], "enter": found, "leave": found[1:] + [0]})
-
-    def within_group(key, chunks: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-        chunks = chunks.sort_values("part")
-        ms = [square(m) for m in chunks["matrix"]]
-        entry = np.full(len(ms[0]), NEVER, np.int64)
-        entry[int(ends["enter"].iloc[0])] = 0
-        leave = int(ends["leave"].iloc[0])
-        found = states(ms, entry, leave)
-        return pd.DataFrame({"key": chunks["key"], "part": chunks["part"], "enter": found, "leave": found[1:] + [leave]})
+                rows = list(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True))
+                found = pa.array([transfer(model, t, n).tobytes() for n, t in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), found, pa.array([head_of(t, n) for n, t in rows], pa.string())], names=["key", "part", "size", "matrix", "head"])
+
+    def arrays(t: pa.Table, column: str, a: int, e: int) -> list[np.ndarray]:
+        return [np.frombuffer(x.as_buffer(), np.int64).reshape(longest, -1) for x in t.column(column).slice(a, e - a)]
+
+    def rows_of(**columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    def vectors(found: Iterable[np.ndarray]) -> pa.Array:
+        return pa.array([x.tobytes() for x in found], pa.binary())
+
+    def combine(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        out = []
+        for a, e in zip(edges[:-1], edges[1:], strict=True):
+            ms = arrays(t, "matrix", a, e)
+            while len(ms) > 1:
+                ms = [product(ms[i], ms[i + 1]) if i + 1 < len(ms) else ms[i] for i in range(0, len(ms), 2)]
+            out.append(ms[0])
+        first = pa.array(edges[:-1])
+        yield rows_of(key=t.column("key").chunk(0).take(first), g=t.column("g").chunk(0).take(first), matrix=vectors(out))
+
+    def between_groups(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = [x for a, e in zip(edges[:-1], edges[1:], strict=True) for x in reached(arrays(t, "matrix", a, e), entered)]
+        yield rows_of(key=t.column("key").chunk(0), g=t.column("g").chunk(0), enter=vectors(found))
+
+    def within_group(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        model, size, head = Unigram(model_path), t.column("size").to_numpy(), t.column("head")
+        reach, table = [], []
+        for a, e in zip(edges[:-1], edges[1:], strict=True):
+            found = reached(arrays(t, "matrix", a, e), np.frombuffer(t.column("enter")[int(a)].as_buffer(), np.int64))
+            reach += found
+            table += [origins(model, head[i].as_py(), int(size[i]), r) for i, r in zip(range(a, e), found, strict=True)]
+        yield rows_of(key=t.column("key").chunk(0), part=t.column("part").chunk(0), g=t.column("g").chunk(0), reach=vectors(reach), table=vectors(table))
+
+    def composed(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The table of each group: of its chunks' tables, the last first."""
+        out = []
+        for a, e in zip(edges[:-1], edges[1:], strict=True):
+            at = np.arange(longest)
+            for x in reversed(arrays(t, "table", a, e)):
+                at = x[:, 0][at]
+            out.append(at)
+        first = pa.array(edges[:-1])
+        yield rows_of(key=t.column("key").chunk(0).take(first), g=t.column("g").chunk(0).take(first), table=vectors(out))
+
+    def leaving(t: pa.Table, edges: np.ndarray, exits) -> list[int]:
+        """The state after each row, from that after the last row of its group."""
+        out = []
+        for n, (a, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            at, own = exits[n], []
+            for x in reversed(arrays(t, "table", a, e)):
+                own.append(at)
+                at = int(x[at, 0])
+            out += own[::-1]
+        return out
+
+    def after_groups(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield rows_of(key=t.column("key").chunk(0), g=t.column("g").chunk(0), leave=pa.array(leaving(t, edges, [0] * (len(edges) - 1)), pa.int64()))
+
+    def after_chunks(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = leaving(t, edges, t.column("leave").to_numpy()[edges[:-1]].tolist())
+        yield rows_of(key=t.column("key").chunk(0), part=t.column("part").chunk(0), reach=t.column("reach").chunk(0), exit=pa.array(found, pa.int64()))
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Unigram(model_path)
         for b in batches:
             for at in range(0, b.num_rows, TOGETHER):
                 rows = b.slice(at, TOGETHER)
-                parts, texts, sizes, enters, leaves = (rows.column(i).to_pylist() for i in range(1, 6))
-                known = learned(model, [(t, max(1, e), n) for t, n, e in zip(texts, sizes, enters, strict=True)])
+                parts, texts, sizes, leaves = (rows.column(i).to_pylist() for i in (1, 2, 3, 5))
+                known = learned(model, list(zip(texts, sizes, strict=True)))
                 ids, sources = [], []
-                for part, text, size, enter, leave, k in zip(parts, texts, sizes, enters, leaves, known, strict=True):
-                    ids.append(backtrace(model, text, size, enter, leave, *k))
-                    sources.append(hashlib.sha256(text[enter : size + leave].replace(SPACE, " ")[part == 0 :].encode("utf-8", "surrogatepass")).digest())
+                for part, text, size, reach, leave, k in zip(parts, texts, sizes, rows.column(4), leaves, known, strict=True):
+                    entry, found = backtrace(model, text, size, np.frombuffer(reach.as_buffer(), np.int64), leave, *k)
+                    ids.append(found)
+                    sources.append(hashlib.sha256(text[entry : size + leave].replace(SPACE, " ")[part == 0 :].encode("utf-8", "surrogatepass")).digest())
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, pa.binary()), pa.array(sources, pa.binary())], names=["key", "part", "ids", "source"])
 
     # Dealt by (key, part): the chunks of one text spread over all tasks.
-    chunks = texts.mapInArrow(split, "key binary, part long, size long, text string, last boolean").groupBy("key", "part").agg(*(F.any_value(c).alias(c) for c in ("size", "text", "last")))
-    steps = cut(chunks.mapInArrow(matrices, "key binary, part long, last boolean, matrix array<long>"))
-    grouped = steps.withColumn("g", F.expr(f"part div {group}"))
-    whole = grouped.groupBy("key", "g").applyInPandas(combine, "key binary, g long, last boolean, matrix array<long>")
-    ends = whole.groupBy("key").applyInPandas(between_groups, "key binary, g long, enter long, leave long")
-    bounds = grouped.groupBy("key", "g").cogroup(ends.groupBy("key", "g")).applyInPandas(within_group, "key binary, part long, enter long, leave long")
-    return chunks.join(bounds, ["key", "part"]).select("key", "part", "text", "size", "enter", "leave").mapInArrow(trace, "key binary, part long, ids binary, source binary")
+    chunks = cut(texts.mapInArrow(split, "key binary, part long, size long, text string").groupBy("key", "part").agg(*(F.any_value(c).alias(c) for c in ("size", "text"))))
+    steps = cut(chunks.mapInArrow(matrices, "key binary, part long, size long, matrix binary, head string").withColumn("g", F.expr(f"part div {group}")))
+    whole = in_groups(steps.select("key", "g", "part", "matrix"), ["key", "g"], combine, "key binary, g long, matrix binary", ["part"])
+    enter = in_groups(whole, ["key"], between_groups, "key binary, g long, enter binary", ["g"])
+    tables = cut(in_groups(steps.join(enter, ["key", "g"]), ["key", "g"], within_group, "key binary, part long, g long, reach binary, table binary", ["part"]))
+    groups = in_groups(tables.select("key", "g", "part", "table"), ["key", "g"], composed, "key binary, g long, table binary", ["part"])
+    leave = in_groups(groups, ["key"], after_groups, "key binary, g long, leave long", ["g"])
+    bounds = in_groups(tables.join(leave, ["key", "g"]), ["key", "g"], after_chunks, "key binary, part long, reach binary, exit long", ["part"])
+    return chunks.join(bounds, ["key", "part"]).select("key", "part", "text", "size", "reach", "exit").mapInArrow(trace, "key binary, part long, ids binary, source binary")
 
 
 def marked(rows: DataFrame) -> DataFrame:
@@ -296,15 +373,19 @@ def digest(df: DataFrame, model_path: str | None = None, chunk: int = CHUNK, gro
     short, chunks, giant = parts(df, "doc_id", "text", model_path, chunk, group)
     one = summary(short.withColumn("source", F.col("key")), model_path).select("doc_id", F.col("n").alias("n_tokens"), F.lit(1).cast("long").alias("n_chunks"), F.col("hash").alias("ids_hash"), F.col("right").alias("round_trip"))
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        h = 0
-        for n, x in zip(pdf["n"].tolist(), pdf["hash"].tolist(), strict=True):
-            h = (h * pow(BASE, n, PRIME) + x) % PRIME
-        return pd.DataFrame({"key": pdf["key"].iloc[:1], "n_tokens": pdf["n"].sum(), "n_chunks": len(pdf), "ids_hash": h, "round_trip": bool(pdf["right"].all())})
-
-    long = summary(chunks, model_path).groupBy("key").applyInPandas(join, "key binary, n_tokens long, n_chunks long, ids_hash long, round_trip boolean")
-    return one.unionByName(giant.join(long, "key").drop("key"))
+    def join(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, x, right, hashes = t.column("n").to_pylist(), t.column("hash").to_pylist(), t.column("right").to_numpy(), []
+        for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            h = 0
+            for i in range(a, e):
+                h = (h * pow(BASE, n[i], PRIME) + x[i]) % PRIME
+            hashes.append(h)
+        first = edges[:-1]
+        columns = [t.column("key").chunk(0).take(pa.array(first)), pa.array(np.add.reduceat(np.array(n), first)), pa.array(np.diff(edges)), pa.array(hashes, pa.int64()), pa.array(np.logical_and.reduceat(right, first))]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "n_tokens", "n_chunks", "ids_hash", "round_trip"])
+
+    long = in_groups(summary(chunks, model_path), ["key"], join, "key binary, n_tokens long, n_chunks long, ids_hash long, round_trip boolean", ["part"])
+    return one.unionByName(joined(cut(giant), long, "key").drop("key"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
