@@ -2,9 +2,11 @@
 
 Every task packs the documents of its partition: whole windows are cut off a document first; the remainder goes to the
 fill level that minimises the sum over levels of (number of open windows at that level) squared, which one array of
-counts by level tracks.  When the open windows reach a limit, and at the end, their contents are re-cut into whole
-windows, so memory is bounded for any distribution of lengths; the last part of a task is cut at powers of two, which
-need no padding.  No shuffle takes place, and a task that is run again gives the same rows.
+counts by level tracks.  While the array has room, remainders stay whole and may open windows.  A full array, and the end
+of a task, take no new window: the same rule then also looks at levels where a remainder does not fit, at which it is cut
+to close the window and its rest stands at the level that is left over.  So memory is bounded for any distribution of
+lengths, and every sequence but a task's last is closed by the rule; that one ends in powers of two, which need no padding.
+No shuffle takes place, and a task that is run again gives the same rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW = 1024
-OPEN_WINDOWS = 512
+#: Windows that the level array of a task holds: a bound of its memory (16 MB), as windows of equal fills may never close.
+OPEN_WINDOWS = 4096
 END = 0
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Letters and marks whose classes all regex engines agree on; other texts take the library's own path.
@@ -52,10 +55,11 @@ class Encoder:
 class SumOfSquares:
     """Packs pieces (doc, start, ids, doc_tokens) of at most a window; done holds the closed sequences as lists of pieces."""
 
-    def __init__(self, window: int = WINDOW, limit: int = OPEN_WINDOWS):
-        self.window, self.limit = window, limit
-        self.count = np.zeros(window + 1, np.int64)
-        self.open: list[list[list]] = [[] for _ in range(window + 1)]
+    def __init__(self, window: int = WINDOW, capacity: int = OPEN_WINDOWS):
+        self.window, self.capacity = window, capacity
+        #: Open windows by level; those without ids are not counted, so the first entry stays 0.
+        self.count = np.zeros(window, np.int64)
+        self.open: list[list[list]] = [[] for _ in range(window)]
         self.n_open = 0
         self.done: list[list] = []
 
@@ -64,67 +68,71 @@ class SumOfSquares:
         whole = n - n % w
         self.done += [[(doc, a, ids[a : a + w], n)] for a in range(0, whole, w)]
         if n > whole:
-            self.place((doc, whole, ids[whole:], n))
-
-    def place(self, piece: tuple) -> None:
-        size, w, count = len(piece[2]), self.window, self.count
-        # Change of the sum of squares for each level h that has a window: one less at h, one more at h + size.
-        after = count[size : w + 1].copy()
-        after[-1] = 0  # a full window leaves the array: it adds nothing
-        change = 2 * (after - count[: w + 1 - size]) + 2
-        change[-1] -= 1
-        change[0] = 2 * after[0] + 1 if size < w else 0  # a new window
-        usable = count[: w + 1 - size] > 0
-        usable[0] = True
-        best = int(np.where(usable, change, np.iinfo(np.int64).max).argmin())
-        if best:
-            held = self.open[best].pop()
-            count[best] -= 1
-            self.n_open -= 1
-        else:
-            held = []
-        held.append(piece)
-        if best + size == w:
+            self.place([(doc, whole, ids[whole:], n)], n - whole, self.n_open < self.capacity)
+
+    def level_for(self, size: int, room: bool) -> int:
+        """The level at which size more ids leave the least sum of squares; 0 for a new window, which there is only with room.
+        Of equal levels the lowest counts."""
+        w, count = self.window, self.count
+        # A window moves from its level to the one size further on, past the end with what is left of size.
+        after = np.concatenate([count[size:], count[:size]])
+        change = 2 * (after - count) + 2
+        change[w - size] -= 1  # full windows leave the array
+        usable = count > 0
+        if room:
+            usable[w - size + 1 :] = False
+            usable[0], change[0] = True, 2 * count[size] + 1
+        return int(np.where(usable, change, np.iinfo(np.int64).max).argmin())
+
+    def place(self, pieces: list[tuple], size: int, room: bool) -> None:
+        level, w = self.level_for(size, room) if room or self.n_open else 0, self.window
+        held = self.taken(level) if level else []
+        if level + size <= w:
+            self.put(held + pieces, level + size)
+            return
+        first, rest = split(pieces, w - level)
+        self.put(held + first, w)
+        self.put(rest, level + size - w)
+
+    def taken(self, level: int) -> list:
+        self.count[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def put(self, held: list[tuple], level: int) -> None:
+        if level == self.window:
             self.done.append(held)
             return
-        self.open[best + size].append(held)
-        count[best + size] += 1
+        self.open[level].append(held)
+        self.count[level] += 1
         self.n_open += 1
-        if self.n_open > self.limit:
-            self.drain(last=False)
-
-    def drain(self, last: bool) -> None:
-        """Re-cuts what open windows hold into whole windows; what is left stays open, or ends at powers of two."""
-        held, fill, w = [], 0, self.window
-        pieces = [p for level in self.open for window in level for p in window]
-        self.open, self.n_open = [[] for _ in range(w + 1)], 0
-        self.count[:] = 0
-        for doc, start, ids, n in pieces:
-            while len(ids):
-                part = ids[: w - fill]
-                held.append((doc, start, part, n))
-                fill, start, ids = fill + len(part), start + len(part), ids[len(part) :]
-                if fill == w:
-                    self.done.append(held)
-                    held, fill = [], 0
-        if not held:
-            return
-        if not last:
-            self.open[fill].append(held)
-            self.count[fill], self.n_open = 1, 1
-            return
-        while fill:
-            size, sequence = 1 << (fill.bit_length() - 1), []
-            fill -= size
-            while size:
-                doc, start, ids, n = held[0]
-                part = ids[:size]
-                sequence.append((doc, start, part, n))
-                size -= len(part)
-                held[0] = (doc, start + len(part), ids[len(part) :], n)
-                if not len(held[0][2]):
-                    held.pop(0)
-            self.done.append(sequence)
+
+    def finish(self) -> None:
+        """Closes all windows: the emptiest one is placed again, until one is left, which ends in powers of two."""
+        while self.n_open > 1:
+            level = int(np.flatnonzero(self.count)[0])
+            self.place(self.taken(level), level, False)
+        if self.n_open:
+            fill = int(np.flatnonzero(self.count)[0])
+            held = self.taken(fill)
+            while fill:
+                size = 1 << (fill.bit_length() - 1)
+                first, held = split(held, size)
+                self.done.append(first)
+                fill -= size
+
+
+def split(pieces: list[tuple], size: int) -> tuple[list[tuple], list[tuple]]:
+    """The first size ids of pieces, and the others."""
+    first: list[tuple] = []
+    for n, (doc, start, ids, total) in enumerate(pieces):
+        if len(ids) > size:
+            if size:
+                first.append((doc, start, ids[:size], total))
+            return first, [(doc, start + size, ids[size:], total), *pieces[n + 1 :]]
+        first.append(pieces[n])
+        size -= len(ids)
+    return first, []
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str | None = None, ranks: str | None = None, pattern: str | None = None, window: int = WINDOW) -> DataFrame:
@@ -161,7 +169,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, token
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 packer.add(doc, encode(text.as_py() or ""))
                 yield from closed(1000)
-        packer.drain(last=True)
+        packer.finish()
         yield from closed(0)
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
