@@ -90,6 +90,16 @@ def joined(wide: DataFrame, narrow: DataFrame, key: str, hot: list | None = None
     return out.unionByName(wide.where(F.col(key).isNotNull() & ~among(wide)).join(narrow.where(~among(narrow)), key, "left"))
 
 
+def one_of_each(rows: DataFrame, repeated: DataFrame, keys: dict[str, str], order: list) -> DataFrame:
+    """rows, of which those of each repeated key become one, the greatest by order; keys: columns of rows and of repeated."""
+    again = repeated.select(*(F.col(c).alias(f"__again{i}") for i, c in enumerate(keys.values())), F.lit(True).alias("__again"))
+    same = [F.col(c).eqNullSafe(F.col(f"__again{i}")) for i, c in enumerate(keys)]
+    marked = rows.join(again.hint("shuffle_hash"), same, "left")
+    once = marked.where(F.col("__again").isNull()).select(*rows.columns)
+    one = marked.where("__again").groupBy(*(f"__again{i}" for i in range(len(keys)))).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("__row"))
+    return once.unionByName(one.select("__row.*"))
+
+
 def in_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarray], Iterable[pa.RecordBatch]], schema, order: Iterable[str] = ()) -> DataFrame:
     """work(table, edges) over batches of whole groups of rows with equal keys; group i is rows edges[i] to edges[i + 1].
 

@@ -283,9 +283,11 @@ def links_between(vectors: DataFrame, n: int, threshold: float) -> DataFrame:
 def within(members: DataFrame, threshold: float) -> DataFrame:
     """(key, n_links): exact numbers of links inside components, block by block, without a row per link.
 
-    members: node, component, key, weight (the vectors that a key stands for), vector.
+    members: node, component, key, weight (the vectors that a key stands for), vector; stored, as they are read twice.
     """
-    dealt = paired(members.join(members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "component"), "key", "weight")
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
+    several = joined(members, sizes, "component").where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = paired(several, "key", "weight")
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids, own = matrix(pdf["vector"]), pdf["node"].to_numpy(), pdf["own"].to_numpy()
@@ -387,9 +389,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     repeated = held.groupBy("vec_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("vec_id", "low")
     tied = cut(held.join(repeated, "vec_id").select(F.col("low").alias("node"), F.col("node").alias("other")))
     labels, _ = neighbour_graph(nodes, threshold, k, None if tied.isEmpty() else tied)
-    found = nodes.join(labels, "node")
-    several = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    counts = within(found.join(several, "component", "left_semi"), threshold)
+    found = cut(nodes.join(labels, "node").select("node", "key", "weight", "component", "vector"))
+    counts = within(found, threshold)
     by_key = found.join(counts, "key", "left").select("key", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component")
     labelled = joined(held.select("vec_id", "key"), by_key, "key").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component").alias("component"))
     out = joined(rows.withColumn("linked", F.col("vec_id").cast("long")), labelled.withColumnRenamed("vec_id", "linked"), "linked", [])

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, one_of_each
 
 #: ASCII white space [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -78,14 +78,20 @@ def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counte
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that decide() drops; columns and their order stay.
+    """df with one row of each group of equal texts, the one that decide() keeps; columns and their order stay.
 
-    A row goes by its id and its text: ids may be null or repeat.
+    A row goes by its id and its text: ids may be null or repeat.  Of several rows of that id and text one stays, the
+    longest as written.
     """
-    lost = decide(df, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__lost_id"), F.unhex("text_sha256").alias("__lost_digest")).distinct()
+    decided = cut(decide(df, id_col, text_col).select("doc_id", F.unhex("text_sha256").alias("digest"), "kept"))
+    lost = decided.where("not kept").select(F.col("doc_id").alias("__lost_id"), F.col("digest").alias("__lost_digest")).distinct()
     rows = df.withColumn("__digest", F.unhex(F.sha2(normalised(text_col), 256)))
-    gone = rows[id_col].eqNullSafe(lost["__lost_id"]) & (rows["__digest"] == lost["__lost_digest"])
-    return rows.join(lost.hint("shuffle_hash"), gone, "left_anti").drop("__digest")
+    gone = F.col(id_col).eqNullSafe(F.col("__lost_id")) & (F.col("__digest") == F.col("__lost_digest"))
+    left = rows.join(lost.hint("shuffle_hash"), gone, "left_anti")
+    repeated = cut(decided.where("kept").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1"))
+    if not repeated.isEmpty():
+        left = one_of_each(left, repeated, {id_col: "doc_id", "__digest": "digest"}, [F.length(text_col), F.col(text_col)])
+    return left.drop("__digest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,11 @@ A pair of similarity s meets in some table unless one whole collection fails: 1
 and 15 that is 0.0005 at s = 0.75 and 0.00004 at 0.8.  Documents with the same shingle set are one node throughout.
 
 Candidates never come as all pairs of a bucket.  First each bucket's members are compared with its smallest node; verified
-links are contracted to components.  Groups that still hold several components are split into blocks, and tasks compare
-the signatures of block against block, skipping what is connected, each pair in one group only.  Members with a likely
-partner meet once more with their shingle sets, and tasks give the links that tie components together.  Pairs are likely if
-their signatures agree on more than `least_agreement` of the minhashes (0.58: 3.7 standard deviations below 0.75).  Every
-link is verified on the full shingle sets.
+links are contracted to components.  Buckets of three or more that still hold several components are split into blocks,
+and tasks compare the signatures of block against block, skipping what is connected, each pair in one bucket only.  Members
+with a likely partner meet once more with their shingle sets, and tasks give the links that tie components together.  Pairs
+are likely if their signatures agree on more than `least_agreement` of the minhashes (0.58: 3.7 standard deviations below
+0.75).  Every link is verified on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, WordHashes, components, cut, cut_and_free, shingles
+from .common import SHINGLE_WORDS, WordHashes, components, cut, cut_and_free, in_groups, joined, one_of_each, shingles
 
 ROWS, TABLES = 3, 15
 PERCENT = 75
 LEAST_AGREEMENT = 0.58
-BLOCK = 1024
+BLOCK = 512
 #: Shingles hashed at a time.
 CHUNK = 2048
 
@@ -52,7 +52,7 @@ def shingle_set(text: bytes | None, words: WordHashes, k: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, k: int, rows: int, tables: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (128-bit hash of the set; null if empty), signature (2 * tables * rows minhashes)."""
+    """doc_id, text_hash, n_shingles, set_id (128-bit hash of the set; null if empty), signature (2 * tables * rows minhashes)."""
     a, b = hash_family(2 * tables * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,51 +61,56 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, rows: int, tab
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sizes, ids, found = [], [], []
-                for text in part.column(1).cast(pa.binary()).to_pylist():
+                for text in part.column(2).cast(pa.binary()).to_pylist():
                     s = shingle_set(text, words, k)
                     sizes.append(len(s))
-                    ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    ids.append(set_id(s) if len(s) else None)
                     found.append(minhashes(s, a, b) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "set_id", "signature"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "n_shingles", "set_id", "signature"])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id binary, signature array<int>")
+    return df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, set_id binary, signature array<int>")
+
+
+def set_id(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
+def table_bits(tables: int) -> int:
+    return (tables - 1).bit_length()
 
 
 def buckets(nodes: DataFrame, rows: int, tables: int) -> DataFrame:
-    """(bucket, node): a row for each table in which a node can meet another.
+    """(bucket, node): a row for each table in which a node can meet another; the lowest bits of a bucket name its table.
 
     A key of the tensored tables is shared only where both its factors are, so factors that one node alone has are
     dropped before the factors are combined.
     """
-    group = lambda side, i: F.xxhash64(F.lit(side), F.lit(i), *(F.col("signature")[side * tables * rows + i * rows + r] for r in range(rows)))
+    bits = table_bits(tables)
+    numbered = lambda h, width, n: h.bitwiseAND(F.lit(-1 << width)).bitwiseOR(n)
+    group = lambda side, i: numbered(F.xxhash64(F.lit(side), F.lit(i), *(F.col("signature")[side * tables * rows + i * rows + r] for r in range(rows))), bits, F.lit(i))
     each = F.array(*(F.struct(F.lit(side == 1).alias("second"), group(side, i).alias("factor")) for side in (0, 1) for i in range(tables)))
     factors = nodes.select("node", F.explode(each).alias("f")).select("node", "f.*")
-    shared = factors.groupBy("factor").agg(F.count("*").alias("n")).where("n > 1").select("factor")
-    met = factors.join(shared, "factor", "left_semi").groupBy("node").agg(F.collect_set(F.when(~F.col("second"), F.col("factor"))).alias("a"), F.collect_set(F.when(F.col("second"), F.col("factor"))).alias("b"))
+    shared = factors.groupBy("second", "factor").agg(F.count("*").alias("n")).where("n > 1").select("second", "factor")
+    met = factors.join(shared, ["second", "factor"], "left_semi").groupBy("node").agg(F.collect_set(F.when(~F.col("second"), F.col("factor"))).alias("a"), F.collect_set(F.when(F.col("second"), F.col("factor"))).alias("b"))
     both = met.select("node", F.explode("a").alias("a"), "b").select("node", "a", F.explode("b").alias("b"))
-    return both.select(F.xxhash64("a", "b").alias("bucket"), "node")
-
-
-def first_groups(members: DataFrame, rows: int, tables: int) -> DataFrame:
-    """(bucket, table, node, component): a row for each hash group of the first collection."""
-    each = F.array(*(F.struct(F.lit(i).alias("table"), F.xxhash64(F.lit(i), *(F.col("signature")[i * rows + r] for r in range(rows))).alias("bucket")) for i in range(tables)))
-    return members.select("node", "component", F.explode(each).alias("g")).select("g.bucket", "g.table", "node", "component")
+    low = F.lit((1 << bits) - 1)
+    table = F.shiftleft(F.col("a").bitwiseAND(low), bits).bitwiseOR(F.col("b").bitwiseAND(low))
+    return both.select(numbered(F.xxhash64("a", "b"), 2 * bits, table).alias("bucket"), "node")
 
 
 def agreement(x, y) -> F.Column:
     return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda e: e))
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+def likely(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     """Pairs (x, y) whose signatures agree often enough."""
-    s = nodes.select("node", "signature")
-    both = pairs.join(s.select(F.col("node").alias("x"), F.col("signature").alias("sx")), "x").join(s.select(F.col("node").alias("y"), F.col("signature").alias("sy")), "y")
+    both = pairs.join(signed.select(F.col("node").alias("x"), F.col("signature").alias("sx")), "x").join(signed.select(F.col("node").alias("y"), F.col("signature").alias("sy")), "y")
     return both.where(agreement("sx", "sy") > least * F.size("sx")).select("x", "y")
 
 
 def shingle_sets(wanted: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(node, shingles): the full sets of the wanted nodes, as sorted unsigned 64-bit numbers."""
+    """(node, shingles): the full sets of wanted (node, doc_id, text_hash), as sorted unsigned 64-bit numbers."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -114,9 +119,9 @@ def shingle_sets(wanted: DataFrame, df: DataFrame, id_col: str, text_col: str, k
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, words, k).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["node", "shingles"])
 
-    ids = wanted.select(F.col("node").alias("wanted")).distinct()
-    texts = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(ids.hint("shuffle_hash"), F.col("node") == F.col("wanted"), "left_semi")
-    return texts.mapInArrow(sets, f"node {texts.schema['node'].dataType.simpleString()}, shingles binary")
+    texts = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    found = texts.join(wanted.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("node", "text")
+    return found.mapInArrow(sets, "node long, shingles binary")
 
 
 def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -141,21 +146,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def dealt(members: DataFrame, block: int) -> DataFrame:
-    """members (bucket, table, node, component) with lo, hi, own: n members of a bucket are dealt into n / block blocks by
-    node hash, and block meets block in groups of their own, so no group holds more than about two blocks."""
+    """members (bucket, node, component) with lo, hi, own: n members of a bucket are dealt into n / block blocks by node hash,
+    and block meets block in groups of their own, so no group holds more than about two blocks."""
     sized = members.join(members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "bucket")
     own = F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int")
-    each = sized.withColumn("own", own).select("bucket", "table", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return each.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "table", "node", "component")
+    each = sized.withColumn("own", own).select("bucket", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return each.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component")
 
 
 def candidates(own, c, s, table: int, across: bool, least: float, rows: int, tables: int):
-    """(i, others) of one group: members of different components whose signatures agree often enough, that share a table key,
-    and for which this group of the first collection is the first that they share.  Each pair comes once."""
+    """(i, others) of one group: members of different components whose signatures agree often enough and for which this
+    group's table is the first that they share in either collection.  Each pair comes once."""
     names, sizes = np.unique(c, return_counts=True)
     if len(names) < 2:
         return
-    largest, at = names[sizes.argmax()], np.arange(len(c))
+    largest, at, bits = names[sizes.argmax()], np.arange(len(c)), table_bits(tables)
     for i in np.flatnonzero(c != largest):
         same = s == s[i]
         # Pairs with the largest component, and each other pair once.
@@ -165,51 +170,30 @@ def candidates(own, c, s, table: int, across: bool, least: float, rows: int, tab
         where = np.flatnonzero(other)
         if len(where):
             groups = same[where].reshape(len(where), 2, tables, rows).all(3)
-            where = where[(groups[:, 0].argmax(1) == table) & groups[:, 0, table] & groups[:, 1].any(1)]
+            where = where[groups.any(2).all(1) & ((groups[:, 0].argmax(1) << bits) + groups[:, 1].argmax(1) == table)]
             if len(where):
                 yield i, where
 
 
-def by_group(work):
-    """An Arrow function over rows sorted by (bucket, lo, hi): work(table, edges) per batch of whole groups."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            t = t.combine_chunks()
-            key = np.stack([t.column(c).to_numpy() for c in ("bucket", "lo", "hi")], 1)
-            edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
-            held = t.slice(int(edges[-1]))
-            if len(edges) > 1:
-                yield work(t, edges)
-        if held is not None:
-            yield work(held.combine_chunks(), np.array([0, held.num_rows]))
-
-    return run
-
-
-def group_arrays(t: pa.Table, width: int) -> list[np.ndarray]:
-    return [*(t.column(x).to_numpy() for x in ("lo", "hi", "own", "table", "component")), t.column("signature").chunk(0).flatten().to_numpy().reshape(t.num_rows, width)]
+def group_arrays(t: pa.Table, width: int, tables: int) -> list[np.ndarray]:
+    table = t.column("bucket").to_numpy() & ((1 << 2 * table_bits(tables)) - 1)
+    return [*(t.column(x).to_numpy() for x in ("lo", "hi", "own")), table, t.column("component").to_numpy(), t.column("signature").chunk(0).flatten().to_numpy().reshape(t.num_rows, width)]
 
 
 def unlike(members: DataFrame, least: float, rows: int = ROWS, tables: int = TABLES) -> DataFrame:
     """The rows of members (dealt(), with signature) that have a candidate in their group, without the signature."""
     names = [c for c in members.columns if c != "signature"]
 
-    def find(t: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
-        lo, hi, own, table, c, s = group_arrays(t, 2 * tables * rows)
+    def find(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lo, hi, own, table, c, s = group_arrays(t, 2 * tables * rows, tables)
         hit = np.zeros(t.num_rows, bool)
         for a, e in zip(edges[:-1], edges[1:], strict=True):
             if e - a > 1:
                 for i, where in candidates(own[a:e], c[a:e], s[a:e], table[a], lo[a] != hi[a], least, rows, tables):
                     hit[a + i] = hit[a + where] = True
-        return t.select(names).filter(pa.array(hit)).combine_chunks().to_batches()[0] if hit.any() else pa.RecordBatch.from_pylist([], schema=t.select(names).schema)
+        yield from t.select(names).filter(pa.array(hit)).combine_chunks().to_batches()
 
-    sorted_ = members.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return sorted_.mapInArrow(by_group(find), members.select(*names).schema)
+    return in_groups(members, ["bucket", "lo", "hi"], find, members.select(*names).schema)
 
 
 def links_within(members: DataFrame, least: float, percent: int, rows: int = ROWS, tables: int = TABLES) -> DataFrame:
@@ -217,10 +201,9 @@ def links_within(members: DataFrame, least: float, percent: int, rows: int = ROW
 
     Once a link has tied two components of a group together, their other pairs are not compared.
     """
-    kind = members.schema["node"].dataType.simpleString()
 
-    def find(t: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
-        lo, hi, own, table, c, s = group_arrays(t, 2 * tables * rows)
+    def find(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lo, hi, own, table, c, s = group_arrays(t, 2 * tables * rows, tables)
         n, sets, out = t.column("node").to_numpy(), t.column("shingles").chunk(0), []
         of = lambda i: np.frombuffer(sets[int(i)].as_buffer(), np.uint64)
         for a, e in zip(edges[:-1], edges[1:], strict=True):
@@ -238,54 +221,73 @@ def links_within(members: DataFrame, least: float, percent: int, rows: int = ROW
                     if x != y and linked(p, of(a + m), percent):
                         out.append((n[a + i], n[a + m]))
                         above[x] = x = y
-        node = t.schema.field("node").type
-        return pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], node), pa.array([max(p) for p in out], node)], names=["x", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], names=["x", "y"])
 
-    sorted_ = members.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return sorted_.mapInArrow(by_group(find), f"x {kind}, y {kind}").distinct()
+    return in_groups(members, ["bucket", "lo", "hi"], find, "x long, y long").distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = SHINGLE_WORDS, percent: int = PERCENT, rows: int = ROWS, tables: int = TABLES, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
-    """One row per row of df: doc_id, n_shingles, component_id, kept.
-
-    Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; a text of fewer than k words is one shingle; a text without
-    words, or null, links with nothing.  Rows that repeat an id are versions of one document: links of any count.  A row
-    with a null id links with nothing, has a null component and is kept.  An empty table gives no rows.
-    """
-    docs = cut(signatures(df, id_col, text_col, k, rows, tables))
-    nodes = cut_and_free(docs.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.any_value("signature").alias("signature")))
+def judged(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, rows: int, tables: int, least_agreement: float) -> DataFrame:
+    """One row per row of df: doc_id, text_hash, n_shingles, component (a number; null if the row links with nothing), component_id, kept."""
+    docs = cut(signatures(df, id_col, text_col, k, rows, tables).withColumn("row", F.monotonically_increasing_id()))
+    # A node is a distinct set, named by one of its rows.
+    nodes = cut_and_free(docs.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("row").alias("node"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("signature").alias("signature")))
     met = cut_and_free(buckets(nodes, rows, tables))
-    hubs = met.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("bucket", "hub")
+    hubs = met.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub", (F.col("n") > 2).alias("several"))
     shared = cut_and_free(met.join(hubs, "bucket").where("node > hub"))
     del met, hubs
-    stars = cut(likely(shared.select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct(), nodes, least_agreement))
-    sets = cut_and_free(shingle_sets(shared.select("node").unionByName(shared.select(F.col("hub").alias("node"))), df, id_col, text_col, k))
+    signed = nodes.select("node", "signature")
+    stars = cut(likely(shared.select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct(), signed, least_agreement))
+    wanted = shared.select("node").unionByName(shared.select(F.col("hub").alias("node"))).distinct()
+    sets = cut_and_free(shingle_sets(wanted.join(nodes.select("node", "first.*"), "node"), df, id_col, text_col, k))
     links = verified(stars, sets, percent)
 
-    # The rest, block against block, by the first collection's groups: 15 rows a node instead of up to 225.
-    wanted = shared.select("node").unionByName(shared.select(F.col("hub").alias("node"))).distinct()
-    left = wanted.join(components(links, "x", "y"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    near = first_groups(left.join(nodes.select("node", "signature"), "node"), rows, tables)
+    # A pair that is alone in its bucket has been compared; buckets of several go on, block against block.
+    crowd = shared.where("several")
+    members = crowd.select("bucket", "node").unionByName(crowd.select("bucket", F.col("hub").alias("node")).distinct())
+    tied = components(links, "x", "y")
+    near = cut_and_free(members.join(tied, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
     mixed = near.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    signed = lambda df: df.join(nodes.select("node", "signature"), "node")
-    rest = cut_and_free(unlike(signed(dealt(near.join(mixed, "bucket", "left_semi"), BLOCK)), least_agreement, rows, tables))
-    more = cut_and_free(links_within(signed(rest).join(sets, "node"), least_agreement, percent, rows, tables))
-    # Rows that repeat an id tie the sets of that id together.
-    held = docs.where("doc_id IS NOT NULL AND set_id IS NOT NULL").select("doc_id", "set_id")
-    repeated = held.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a < b").select("doc_id")
-    versions = held.join(repeated, "doc_id", "left_semi").join(nodes.select("set_id", "node"), "set_id")
-    tied = versions.select("doc_id", "node").join(versions.groupBy("doc_id").agg(F.min("node").alias("x")), "doc_id").select("x", F.col("node").alias("y")).where("x < y")
-    final = components(links.unionByName(more).unionByName(tied), "x", "y")
-    labelled = nodes.select("set_id", "node").join(final, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
-    out = docs.select("doc_id", "n_shingles", "set_id").join(labelled, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df without the documents that near_duplicates() does not keep; columns and their order stay."""
-    lost = near_duplicates(df, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("__lost_id")).distinct()
-    return df.join(lost.hint("shuffle_hash"), df[id_col] == lost["__lost_id"], "left_anti")
+    rest = cut_and_free(unlike(dealt(near.join(mixed, "bucket", "left_semi"), BLOCK).join(signed, "node"), least_agreement, rows, tables))
+    more = cut_and_free(links_within(rest.join(signed, "node").join(sets, "node"), least_agreement, percent, rows, tables))
+
+    final = components(links.unionByName(more), "x", "y")
+    placed = cut(nodes.select("set_id", "node", F.col("first.doc_id").alias("first")).join(final, "node", "left").select("set_id", "first", F.coalesce("component", "node").alias("component")))
+    labels = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    by_set = joined(placed.select("set_id", "component"), labels, "component")
+    named = docs.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
+    out = joined(named, by_set, "set_id")
+    component_id = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "text_hash", "n_shingles", "component", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = SHINGLE_WORDS, percent: int = PERCENT, rows: int = ROWS, tables: int = TABLES, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
+    """One row per row of df: doc_id, n_shingles, component_id, kept.
+
+    Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; a text of fewer than k words is one shingle; a text without
+    words, or null, links with nothing.  Rows that repeat an id are documents of their own, which share it as their
+    name.  A row with a null id links with nothing, has a null component and is kept.  An empty table gives no rows.
+    """
+    return judged(df, id_col, text_col, k, percent, rows, tables, least_agreement).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = SHINGLE_WORDS, percent: int = PERCENT, rows: int = ROWS, tables: int = TABLES, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
+    """df with one row of each group of near copies, the one of the smallest id; columns and their order stay.
+
+    Rows go, not ids: another text under the same id stays.  Of several rows of that id in one group one stays.
+    """
+    found = cut(judged(df, id_col, text_col, k, percent, rows, tables, least_agreement))
+    lost = found.where("not kept").select("doc_id", "text_hash")
+    several = cut(found.where("kept AND component IS NOT NULL").groupBy("component", "doc_id").agg(F.min("text_hash").alias("chosen"), F.count("*").alias("n")).where("n > 1"))
+    repeated = not several.isEmpty()
+    if repeated:
+        again = found.where("kept").join(several.select("component", "doc_id", "chosen"), ["component", "doc_id"])
+        lost = lost.unionByName(again.where("text_hash <> chosen").select("doc_id", "text_hash"))
+    gone = lost.distinct().select(F.col("doc_id").alias("__lost_id"), F.col("text_hash").alias("__lost_hash"))
+    rows_ = df.withColumn("__hash", F.xxhash64(text_col))
+    left = rows_.join(gone.hint("shuffle_hash"), (F.col(id_col) == F.col("__lost_id")) & (F.col("__hash") == F.col("__lost_hash")), "left_anti")
+    if repeated:
+        left = one_of_each(left, several.select("doc_id", F.col("chosen").alias("hash")).distinct(), {id_col: "doc_id", "__hash": "hash"}, [F.col(text_col)])
+    return left.drop("__hash")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
