@@ -63,13 +63,30 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
 
 def parse(formatted: Column) -> Column:
-    """The turns (role, text) of a formatted conversation; placeholders stay in the text as they stand."""
+    """The turns (role, text) of a formatted conversation; placeholders stay in the text as they stand (parse_parts() tells
+    them from a text that says the same)."""
+    return turns_of(formatted, lambda body: unescaped(body).alias("text"))
+
+
+def parse_parts(formatted: Column) -> Column:
+    """The turns (role, parts) of a formatted conversation: parts are (type, text), neighbouring texts as one; a placeholder's
+    text is null, and its attachment is the next of its turn."""
+
+    def typed(piece: Column) -> Column:
+        held = piece.startswith("<")
+        return F.struct(F.when(held, F.substr(piece, F.lit(3), F.length(piece) - 4)).otherwise("text").alias("type"), F.when(~held, unescaped(piece)).alias("text"))
+
+    # In texts < is escaped, so every < begins a placeholder.
+    return turns_of(formatted, lambda body: F.transform(F.regexp_extract_all(body, F.lit(r"<\|[a-z]+\|>|[^<]+"), F.lit(0)), typed).alias("parts"))
+
+
+def turns_of(formatted: Column, read) -> Column:
     pieces = F.filter(F.split(formatted, r"<\|turn\|>"), lambda x, i: i > 0)
 
     def one(piece: Column) -> Column:
         role = F.substring_index(piece, "\n", 1)
         body = F.substr(piece, F.length(role) + 2, F.length(piece) - F.length(role) - (1 + len(END)))
-        return F.struct(unescaped_role(role).alias("role"), unescaped(body).alias("text"))
+        return F.struct(unescaped_role(role).alias("role"), read(body))
 
     return F.transform(pieces, one)
 

@@ -18,6 +18,8 @@ SHINGLE_WORDS = 5
 CACHE_WORDS = 400_000
 #: A key is hot if more than one row in HOT holds it, so fewer than HOT keys are.
 HOT = 256
+#: Slices of the rows of a hot key whose other side is too large to broadcast.
+SLICES = 64
 _HORNER = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2, _S33 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
 
@@ -75,19 +77,31 @@ def hot_keys(counted: DataFrame, key: str) -> list:
     return [r[0] for r in counts.where(F.col("n") * HOT > total).limit(HOT).collect()]
 
 
-def joined(wide: DataFrame, narrow: DataFrame, key: str, hot: list | None = None) -> DataFrame:
+def joined(wide: DataFrame, narrow: DataFrame, key: str, hot: list | None = None, fixed: bool = True, nulls: bool = True) -> DataFrame:
     """wide left joined with narrow, which has one row per key.
 
-    Rows of hot keys (those of hot_keys(wide, key), unless given) meet their narrow rows, fewer than HOT, by broadcast; rows
-    without a key meet nothing; only the others are shuffled.
+    Rows of hot keys (those of hot_keys(wide, key), unless given) meet their narrow rows, fewer than HOT, by broadcast if
+    these are of a fixed size, else dealt over SLICES slices; rows without a key (none, unless nulls) meet nothing; only the
+    others are shuffled by the key alone.
     """
     hot = hot_keys(wide, key) if hot is None else hot
-    added = [F.lit(None).cast(f.dataType).alias(f.name) for f in narrow.schema if f.name != key]
-    out = wide.where(F.col(key).isNull()).select("*", *added)
-    among = lambda df: F.coalesce(df[key].isin([F.lit(k) for k in hot]), F.lit(False)) if hot else F.lit(False)
+    among = lambda df: F.coalesce(df[key].isin([F.lit(k) for k in hot]), F.lit(False))
+    rest = wide.where(F.col(key).isNotNull()) if nulls else wide
+    parts = [(rest.where(~among(rest)) if hot else rest).join(narrow.where(~among(narrow)) if hot else narrow, key, "left")]
     if hot:
-        out = out.unionByName(wide.where(among(wide)).join(F.broadcast(narrow.where(among(narrow))), key, "left"))
-    return out.unionByName(wide.where(F.col(key).isNotNull() & ~among(wide)).join(narrow.where(~among(narrow)), key, "left"))
+        few, many = narrow.where(among(narrow)), rest.where(among(rest))
+        if fixed:
+            parts.append(many.join(F.broadcast(few), key, "left"))
+        else:
+            few = few.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+            parts.append(many.withColumn("__slice", F.pmod(F.monotonically_increasing_id(), F.lit(SLICES)).cast("int")).join(few, [key, "__slice"], "left").drop("__slice"))
+    if nulls:
+        added = [F.lit(None).cast(f.dataType).alias(f.name) for f in narrow.schema if f.name != key]
+        parts.append(wide.where(F.col(key).isNull()).select("*", *added))
+    out = parts[0]
+    for other in parts[1:]:
+        out = out.unionByName(other)
+    return out
 
 
 def one_of_each(rows: DataFrame, repeated: DataFrame, keys: dict[str, str], order: list) -> DataFrame:

@@ -183,7 +183,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, max_languages: int = MAX_LA
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
     if len(held) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+        raise ValueError(f"more than {max_languages} languages; max_languages sets the bound, as weights take 2**{BITS} numbers a language on the driver and in each worker")
     if not held:
         return None
 

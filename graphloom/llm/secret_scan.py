@@ -8,13 +8,12 @@ blob; findings are then joined back to every path that ever held the blob.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, hot_keys, joined, own_folder
 
 
 @dataclass(frozen=True)
@@ -78,17 +77,22 @@ def update(history: DataFrame, ledger: str, id_col: str = "doc_id", text_col: st
     versions = F.array(*(F.lit(r.version) for r in rules))
     source = history.select(F.col(id_col).alias("doc_id"), content(text_col).alias("text"), address(text_col).alias("blob"))
     paths = cut(source.select("doc_id", "blob"))
-    todo = paths.groupBy("blob").agg(F.min("doc_id").alias("any_id"))
+    # Of the rows that hold a blob those of the smallest id are read again; same is their number, nearly always one.
+    todo = paths.groupBy("blob", "doc_id").agg(F.count("*").alias("same")).groupBy("blob").agg(F.min(F.struct("doc_id", "same")).alias("any"))
     if exists(spark, ledger):
         seen = spark.read.parquet(ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("versions"))).alias("seen"))
         todo = todo.join(seen, "blob", "left").withColumn("due", F.array_except(versions, F.coalesce("seen", F.array().cast("array<string>"))))
     else:
         todo = todo.withColumn("due", versions)
-    todo = todo.where(F.size("due") > 0).select(F.col("blob").alias("todo_blob"), "any_id", "due")
+    todo = todo.where(F.size("due") > 0).select(F.col("blob").alias("todo_blob"), F.col("any.doc_id").alias("any_id"), F.col("any.same").alias("same"), "due")
     # (blob, id) spreads copies of one text over the partitions; the narrow side is the one held in memory.
-    fresh = source.join(todo.hint("shuffle_hash"), (F.col("blob") == F.col("todo_blob")) & F.col("doc_id").eqNullSafe(F.col("any_id")))
+    fresh = source.join(todo.hint("shuffle_hash"), (F.col("blob") == F.col("todo_blob")) & F.col("doc_id").eqNullSafe(F.col("any_id"))).select("blob", "text", "due", "same")
+    if not todo.where("same > 1").isEmpty():
+        fresh = fresh.where("same = 1").unionByName(fresh.where("same > 1").dropDuplicates(["blob"]))
     found = [F.when(F.array_contains("due", r.version), spans(F.col("text"), r, i)) for i, r in enumerate(rules)]
-    fresh.select("blob", F.col("due").alias("versions"), F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("spans")).write.mode("append").parquet(ledger)
+    scanned = fresh.select("blob", F.col("due").alias("versions"), F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("spans"))
+    # Findings lie apart, so that they are read without the many blobs that have none.
+    scanned.withColumn("has_spans", (F.size("spans") > 0).cast("int")).write.mode("append").partitionBy("has_spans").parquet(ledger)
     return paths
 
 
@@ -96,7 +100,7 @@ def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES)
     """(blob, spans) of the blobs in which the given rules found something, by start, then rule."""
     versions = F.array(*(F.lit(r.version) for r in rules))
     order = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.version, i)))
-    now = spark.read.parquet(ledger).where(F.size("spans") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
+    now = spark.read.parquet(ledger).where("has_spans = 1").groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
     current = F.transform(F.filter("spans", lambda s: F.array_contains(versions, s["version"])), lambda s: s.withField("no", order[s["version"]]))
     return now.select("blob", F.array_sort(current).alias("spans")).where(F.size("spans") > 0)
 
@@ -109,15 +113,15 @@ def scan(history: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str
     """
     paths = update(history, ledger, id_col, text_col, rules)
     found = findings(history.sparkSession, ledger, rules)
-    return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+    return joined(paths, found, "blob", fixed=False, nulls=False).select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
 def redact(df: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with found secrets replaced in its texts; other columns and their order stay."""
-    update(df, ledger, id_col, text_col, rules)
+    paths = update(df, ledger, id_col, text_col, rules)
     found = findings(df.sparkSession, ledger, rules).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    joined = df.join(found.hint("shuffle_hash"), address(text_col) == F.col("__blob"), "left")
-    return joined.select(*(F.when(F.col("__spans").isNotNull(), redacted(F.col(c), F.col("__spans"))).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in df.columns))
+    both = joined(df.withColumn("__blob", address(text_col)), found.hint("shuffle_hash"), "__blob", hot_keys(paths, "blob"), fixed=False, nulls=False)
+    return both.select(*(F.when(F.col("__spans").isNotNull(), redacted(F.col(c), F.col("__spans"))).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in df.columns))
 
 
 def content(text_col: str) -> Column:
@@ -134,7 +138,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def new_ledger(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    """The place of a ledger that lasts as long as the driver; one that is to be added to later lies where the caller says."""
+    return f"{own_folder(spark, 'ledger')}/blobs"
 
 
 def redacted(text: Column, found: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
@@ -128,6 +129,23 @@ class Unigram:
         best, back = self.paths(w, {0: 0}, len(w))
         return best[len(w)], np.array(self.ids_back(w, back, 0, len(w)), "<u4").tobytes()
 
+    def count(self, w: str) -> int:
+        """Number of ids of a word of any length: of scores and numbers only those of the last places are kept."""
+        longest, score, unknown = self.longest, self.by_text.get, self.unknown
+        # Places are kept in a ring; of equal scores the longest last piece stays.
+        best, number = [NEVER] * longest, [0] * longest
+        best[0] = 0
+        for end in range(1, len(w) + 1):
+            top, n = NEVER, 0
+            for k in range(min(longest, end), 0, -1):
+                piece = score(w[end - k : end])
+                if piece is not None and best[(end - k) % longest] + piece > top:
+                    top, n = best[(end - k) % longest] + piece, number[(end - k) % longest] + 1
+            if w[end - 1] not in self.by_text and best[(end - 1) % longest] + unknown > top:
+                top, n = best[(end - 1) % longest] + unknown, number[(end - 1) % longest] + len(w[end - 1].encode("utf-8", "replace"))
+            best[end % longest], number[end % longest] = top, n
+        return number[len(w) % longest]
+
     def encode(self, text: str) -> tuple[int, bytes]:
         """Score and ids (little-endian unsigned 32-bit) of a text in which spaces are space marks already."""
         words = split_words(text)
@@ -292,6 +310,11 @@ class PrefixTrie:
 _WORD = re.compile(rf"{SPACE}*(?:[^\W_²]+|(?:[^\w{SPACE}]|[_²])+)|{SPACE}+")
 
 
+def iter_words(text: str) -> Iterator[str]:
+    """split_words(), one after the other."""
+    return (m[0] for m in _WORD.finditer(text))
+
+
 def split_words(text: str) -> list[str]:
     """Cut before space marks that follow another character, and between letters or digits and other characters: no piece
     crosses such a place."""
