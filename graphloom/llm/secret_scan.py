@@ -46,6 +46,7 @@ MORE = (
 )
 RULES = BASE + MORE
 SPAN = "struct<start:bigint,no:int,end:bigint,kind:string,version:string>"
+LEDGER = f"blob binary, versions array<string>, spans array<{SPAN}>, has_spans int"
 
 
 def spans(text: Column, rule: Rule, no: int) -> Column:
@@ -80,7 +81,7 @@ def update(history: DataFrame, ledger: str, id_col: str = "doc_id", text_col: st
     # Of the rows that hold a blob those of the smallest id are read again; same is their number, nearly always one.
     todo = paths.groupBy("blob", "doc_id").agg(F.count("*").alias("same")).groupBy("blob").agg(F.min(F.struct("doc_id", "same")).alias("any"))
     if exists(spark, ledger):
-        seen = spark.read.parquet(ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("versions"))).alias("seen"))
+        seen = spark.read.schema(LEDGER).parquet(ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("versions"))).alias("seen"))
         todo = todo.join(seen, "blob", "left").withColumn("due", F.array_except(versions, F.coalesce("seen", F.array().cast("array<string>"))))
     else:
         todo = todo.withColumn("due", versions)
@@ -100,7 +101,7 @@ def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES)
     """(blob, spans) of the blobs in which the given rules found something, by start, then rule."""
     versions = F.array(*(F.lit(r.version) for r in rules))
     order = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.version, i)))
-    now = spark.read.parquet(ledger).where("has_spans = 1").groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
+    now = spark.read.schema(LEDGER).parquet(ledger).where("has_spans = 1").groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
     current = F.transform(F.filter("spans", lambda s: F.array_contains(versions, s["version"])), lambda s: s.withField("no", order[s["version"]]))
     return now.select("blob", F.array_sort(current).alias("spans")).where(F.size("spans") > 0)
 
