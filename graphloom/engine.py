@@ -15,7 +15,7 @@ from .functions.predicates import column
 from .functions.values import Typed
 from .functions.versions import parse_slug, version_order
 from .operators.authorization import authorize
-from .operators.links import Verb, exists, expand, reachable
+from .operators.links import Verb, below, exists, expand, reachable
 from .operators.views import resolve
 from .plans.compiler import Compiler
 from .plans.schema import Schema, contract_types, links_of, parse, without_mandatory_links
@@ -31,6 +31,25 @@ def root_of(df: DataFrame) -> Typed:
     return root
 
 
+def among(df: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """The documents with an id among ids; ids of another type are compared as text."""
+    if ids is None:
+        return df
+    own, wanted = F.col("id"), F.col("__wanted")
+    if df.schema["id"].dataType != ids.schema["id"].dataType:
+        own, wanted = own.cast("string"), wanted.cast("string")
+    return df.join(ids.select(F.col("id").alias("__wanted")), own == wanted, "left_semi")
+
+
+def together(dfs: list[DataFrame]) -> DataFrame:
+    """Documents of several types in one table: their data as VARIANT."""
+    parts = [df.withColumn("data", F.parse_json(F.to_json("data"))).withColumn("id", F.col("id").cast("string")) for df in dfs]
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 class Engine:
     """Queries over documents.
 
@@ -56,16 +75,18 @@ class Engine:
         if not names:
             any_table = next(iter(self.tables.values()))
             return any_table.where(F.lit(False)), None
-        # Types differ in their data: as VARIANT they fit in one table.
-        dfs = []
-        for n in names:
-            df = self.tables[n]
-            data = F.parse_json(F.to_json("data"))
-            dfs.append(df.withColumn("data", data).withColumn("id", F.col("id").cast("string")))
-        out = dfs[0]
-        for df in dfs[1:]:
-            out = out.unionByName(df, allowMissingColumns=True)
-        return out, None
+        return together([self.tables[n] for n in names]), None
+
+    def matching(self, types: set[str] | None, schema: Schema, ids: DataFrame | None = None) -> tuple[DataFrame, str | None]:
+        """Documents of the types that validate against schema, and the one type if there is only one.
+
+        Several types are filtered one by one, each on its own typed columns, before they become one table.
+        """
+        names = sorted(t for t in self.tables if types is None or t in types) if isinstance(self.tables, dict) else []
+        if len(names) > 1 and not any(True for _ in links_of(schema)):
+            return together([self.filtered(among(self.tables[n], ids), n, schema) for n in names]), None
+        df, kind = self.source(types)
+        return self.filtered(among(df, ids), kind, schema), kind
 
     def verb(self, source: str | None, name: str) -> Verb:
         found = self.verbs.get((source, name))
@@ -75,8 +96,9 @@ class Engine:
             raise InvalidSchema(f"no link {name!r} from {source or 'any type'}")
         return found
 
-    def target(self, verb: Verb, sub: Schema) -> tuple[DataFrame, str | None]:
-        return self.source(contract_types(sub) if verb.target == "*" else {verb.target})
+    def targets(self, verb: Verb, sub: Schema) -> tuple[DataFrame, str | None]:
+        """The documents that a verb may lead to and that validate against sub."""
+        return self.matching(contract_types(sub) if verb.target == "*" else {verb.target}, sub)
 
     # Predicates.
 
@@ -87,7 +109,7 @@ class Engine:
 
         def link(name: str, sub: Schema, inside: bool):
             verb = self.verb(kind, name)
-            keys, key = reachable(verb, self.filtered(*self.target(verb, sub), sub))
+            keys, key = reachable(verb, self.targets(verb, sub)[0])
             if not inside:
                 # A name of its own, as the linked documents have columns of the same names.
                 name = f"__outer{next(self._names)}"
@@ -109,7 +131,7 @@ class Engine:
         df = df.where(column(p)).select(*names) if flags or outer else df.where(column(p))
         for name, sub in mandatory:
             verb = self.verb(kind, name)
-            keys, key = reachable(verb, self.filtered(*self.target(verb, sub), sub))
+            keys, key = reachable(verb, self.targets(verb, sub)[0])
             df = df.join(keys, F.col(key) == F.col("__key"), "left_semi")
         return df
 
@@ -164,10 +186,7 @@ class Engine:
         if permission is not None:
             schema = authorize(schema, permission)
         tree = parse(schema)
-        df, kind = self.source(contract_types(tree))
-        if ids is not None:
-            df = df.join(ids.select(F.col("id").alias("__wanted")), F.col("id") == F.col("__wanted"), "left_semi")
-        found = self.filtered(df, kind, tree)
+        found, kind = self.matching(contract_types(tree), tree, ids)
         return self._shaped(found, kind, tree, sort_by, sort_dir, skip, limit, links or {})
 
     def _shaped(self, found: DataFrame, kind, tree: Schema, sort_by, sort_dir, skip, limit, links) -> DataFrame:
@@ -191,7 +210,7 @@ class Engine:
             sub = subs[0] if len(subs) == 1 else Schema(None, {"anyOf": tuple(subs)})
             # The limit bounds the parents, so their keys can go to every task.
             parents = found.select(F.col("id").alias("__parent"), F.col(verb.source_column if verb.edges is None else "id").alias("__source"))
-            lists.append((name, n, self._linked(verb, F.broadcast(parents) if limit is not None else parents, sub, links.get(name, {}), f"__l{n}")))
+            lists.append((name, n, self._linked(verb, F.broadcast(parents) if limit is not None else parents, sub, links.get(name, {}), f"__l{n}", limit is not None)))
         keep = found.withColumn("__parent", F.col("id"))
         for _, _, x in lists:
             keep = keep.join(x, "__parent", "left")
@@ -200,24 +219,26 @@ class Engine:
             keep = keep.orderBy(*order, F.col("id"))
         return keep.select(*out, F.struct(*payloads).alias("links"))
 
-    def _linked(self, verb: Verb, parents: DataFrame, sub: Schema, options: dict, name: str) -> DataFrame:
-        df, kind = self.target(verb, sub)
-        children = self.filtered(df, kind, sub)
+    def _linked(self, verb: Verb, parents: DataFrame, sub: Schema, options: dict, name: str, bounded: bool) -> DataFrame:
+        """bounded: parents are few, so that what hangs below their children is looked for there only."""
+        children, kind = self.targets(verb, sub)
         payload = F.struct(*(self.projection(children, kind, sub) or [F.lit(None).alias("id")]))
         order = self.order(children, options.get("sort_by"), options.get("sort_dir", "asc"))
         nested = dict.fromkeys(v for v, _ in links_of(sub))
         if nested:
             # Linked documents of linked documents: their lists are made first, for all children at once.
             payload = F.struct(*self.projection(children, kind, sub), F.col("__links").alias("links"))
-            children = self._with_links(children, kind, sub, options.get("links", {}))
+            if bounded:
+                children = below(verb, parents, children)
+            children = self._with_links(children, kind, sub, options.get("links", {}), bounded)
         return expand(verb, parents, children, payload, order, options.get("skip", 0), options.get("limit"), name)
 
-    def _with_links(self, found: DataFrame, kind, tree: Schema, links: dict) -> DataFrame:
+    def _with_links(self, found: DataFrame, kind, tree: Schema, links: dict, bounded: bool) -> DataFrame:
         out, payloads = found, []
         for n, (name, sub) in enumerate({v: s for v, s in links_of(tree)}.items()):
             verb = self.verb(kind, name)
             parents = found.select(F.col("id").alias("__parent"), F.col(verb.source_column if verb.edges is None else "id").alias("__source"))
-            x = self._linked(verb, parents, sub, links.get(name, {}), f"__n{n}").withColumnRenamed("__parent", f"__p{n}")
+            x = self._linked(verb, parents, sub, links.get(name, {}), f"__n{n}", bounded).withColumnRenamed("__parent", f"__p{n}")
             out = out.join(x, F.col("id") == F.col(f"__p{n}"), "left")
             payloads.append(F.coalesce(F.col(f"__n{n}"), F.array().cast(x.schema[f"__n{n}"].dataType)).alias(name))
         return out.withColumn("__links", F.struct(*payloads)).select(*found.columns, "__links")

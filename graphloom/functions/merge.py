@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,14 +15,19 @@ def merge(x: Any, y: Any) -> Any:
     return y if x is None else x
 
 
-def _merged(x: pd.Series, y: pd.Series) -> pd.Series:
-    read = lambda t: None if t is None else json.loads(t)
-    return pd.Series([None if a is None and b is None else json.dumps(merge(read(a), read(b)), ensure_ascii=False, sort_keys=True) for a, b in zip(x, y, strict=True)])
+def merged(x: Column, y: Column, depth: int = 6) -> Column:
+    """merge() of two VARIANT columns, in built-in functions: objects are merged down to depth levels, below which the left one stays.
 
-
-def merged(x: Column, y: Column) -> Column:
-    """Of two VARIANT columns. Maps of scalars need no Python: map_zip_with does."""
-    return F.parse_json(F.pandas_udf(_merged, "string")(F.to_json(x), F.to_json(y)))
+    Null columns and JSON null count as missing.
+    """
+    there = lambda v: F.when(~F.is_variant_null(v), v)
+    x, y = there(x), there(y)
+    if not depth:
+        return F.coalesce(x, y)
+    # Only objects can be read as maps.
+    a, b = (F.try_variant_get(v, "$", "map<string,variant>") for v in (x, y))
+    both = F.map_zip_with(a, b, lambda k, p, q: merged(p, q, depth - 1))
+    return F.when(a.isNotNull() & b.isNotNull(), F.to_variant_object(both)).otherwise(F.coalesce(x, y))
 
 
 def merged_maps(x: Column, y: Column) -> Column:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
+import operator
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -12,6 +15,9 @@ from pyspark.sql import types as T
 from .predicates import Predicate, all_of, any_of, sure
 
 DECIMAL = "decimal(38,10)"
+TESTS = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt, "==": operator.eq}
+#: Up to here every whole number is a double.
+EXACT = 1 << 53
 
 
 def _literal(x) -> Column:
@@ -97,8 +103,8 @@ class Typed:
 
     # Its value.
 
-    def number(self) -> Column:
-        return self.column
+    def compare(self, test: str, x: int | float) -> Predicate:
+        return TESTS[test](self.column, F.lit(x))
 
     def decimal(self) -> Column:
         return self.column.cast(DECIMAL)
@@ -180,7 +186,7 @@ class Variant:
         test: Predicate = own.isin(wanted) if len(wanted) > 1 else own == wanted[0] if wanted else False
         if "integer" in names and "number" not in names:
             x = self._read("double")
-            test = any_of(test, own.isin(*kinds["number"]) & (x == F.floor(x)))
+            test = any_of(test, own == "BIGINT", own.isin("DOUBLE", "FLOAT") & (x == F.floor(x)), (own == "DECIMAL") & self._decimal_holds(lambda d: d == F.floor(d)))
         return test
 
     def field(self, name: str) -> Variant:
@@ -209,6 +215,23 @@ class Variant:
     def number(self) -> Column:
         return self._read("double")
 
+    def compare(self, test: str, x: int | float) -> Predicate:
+        """Of a number, exactly: doubles decide, and where they are equal the value itself, as many numbers share one double.
+
+        The comparison of doubles stands first and alone, so that it reaches the scan of a stored VARIANT.
+        """
+        d, near, outer = self.number(), _double(x), {">": ">=", "<": "<="}.get(test, test)
+        double = TESTS[test](near, x)  # Python compares whole numbers and doubles exactly
+        whole = TESTS[test](self._read("bigint"), F.lit(x)) if isinstance(x, int) and EXACT <= abs(x) < 1 << 63 else F.lit(TESTS[test](near, x))
+        kind = self.kind_name()
+        tie = F.when(kind == "DECIMAL", self._decimal_holds(lambda v: TESTS[test](v, F.lit(Decimal(str(x)))))).when(kind == "BIGINT", whole).otherwise(F.lit(double))
+        rest = tie if test == "==" else (d != F.lit(near)) | tie
+        return all_of(TESTS[outer](d, F.lit(near)), rest)
+
+    def _decimal_holds(self, test: Callable[[Column], Column]) -> Column:
+        """Decimals with more than 20 digits before the point count as whole numbers."""
+        return F.coalesce(test(self._read("decimal(38,18)")), test(self._read("decimal(38,0)")))
+
     def decimal(self) -> Column:
         return self._read(DECIMAL)
 
@@ -229,7 +252,7 @@ class Variant:
         if kind == "boolean":
             return all_of(guard, self._read("boolean") == F.lit(value))
         if kind == "number":
-            return all_of(guard, self.number() == F.lit(float(value)))
+            return all_of(guard, self.compare("==", value))
         if kind == "string":
             return all_of(guard, self.text() == F.lit(value))
         # Objects and arrays by canonical text: keys are sorted, numbers normalised.
@@ -251,5 +274,12 @@ def value_of(column: Column, kind: T.DataType, element: bool = False) -> Typed |
     return Variant(column, element) if isinstance(kind, T.VariantType) else Typed(column, kind, element)
 
 
+def _double(x: int | float) -> float:
+    try:
+        return float(x)
+    except OverflowError:
+        return math.copysign(math.inf, x)
+
+
 def decimal_literal(x) -> Column:
     return F.lit(Decimal(str(x))).cast(DECIMAL)

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -60,7 +61,7 @@ def exists(keys: DataFrame, outer: str) -> Column:
 
 
 def expand(verb: Verb, parents: DataFrame, children: DataFrame, payload: Column, order: list[Column], skip: int, limit: int | None, name: str) -> DataFrame:
-    """(__parent, name): for each parent its children's payloads in order, from skip on, at most limit.
+    """(__parent, name): for each parent its children's payloads in order, from skip on, at most limit; by id without an order.
 
     parents: __parent (unique) and __source, what the verb matches.  Each (parent, child) counts once.
     """
@@ -70,13 +71,36 @@ def expand(verb: Verb, parents: DataFrame, children: DataFrame, payload: Column,
     else:
         e = verb.edges.select(F.col("from_id").alias("__from"), F.col("to_id").alias("__to")).distinct()
         pairs = parents.join(e, F.col("__source") == F.col("__from")).join(kids, F.col("__to") == F.col("id"))
-    ranked = pairs.withColumn("__seq", F.row_number().over(Window.partitionBy("__parent").orderBy(*order, F.col("id"))))
-    kept = ranked.where(F.col("__seq") > skip)
-    if limit is not None:
-        kept = kept.where(F.col("__seq") <= skip + limit)
-    # Compared by place alone: payloads need not be orderable (VARIANT is not).
-    lists = kept.groupBy("__parent").agg(F.array_sort(F.collect_list(F.struct("__seq", "__payload")), lambda a, b: a["__seq"] - b["__seq"]).alias("__all"))
-    return lists.select("__parent", F.col("__all.__payload").alias(name))
+    if order or skip or limit is not None:
+        ranked = pairs.withColumn("__seq", F.row_number().over(Window.partitionBy("__parent").orderBy(*order, F.col("id"))))
+        pairs = ranked.where(F.col("__seq") > skip)
+        if limit is not None:
+            pairs = pairs.where(F.col("__seq") <= skip + limit)
+    else:
+        # Nothing to rank: the lists are put in order when they are made.
+        pairs = pairs.withColumn("__seq", F.col("id"))
+    by_place = lambda a, b: F.when(a["__seq"] < b["__seq"], -1).when(a["__seq"] > b["__seq"], 1).otherwise(0)
+    lists = F.collect_list(F.struct("__seq", "__payload"))
+    # Payloads that cannot be ordered (VARIANT, maps) are compared by place alone.
+    lists = F.array_sort(lists) if orderable(pairs.schema["__payload"].dataType) else F.array_sort(lists, by_place)
+    return pairs.groupBy("__parent").agg(lists.alias("__all")).select("__parent", F.col("__all.__payload").alias(name))
+
+
+def below(verb: Verb, parents: DataFrame, children: DataFrame) -> DataFrame:
+    """The children that a verb leads to from parents (__source), a few."""
+    keys = parents.select(F.col("__source").alias("__up"))
+    if verb.edges is None:
+        return children.join(F.broadcast(keys), F.col(verb.target_column) == F.col("__up"), "left_semi")
+    ends = verb.edges.join(F.broadcast(keys), F.col("from_id") == F.col("__up"), "left_semi").select(F.col("to_id").alias("__to"))
+    return children.join(ends, F.col("id") == F.col("__to"), "left_semi")
+
+
+def orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(orderable(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return orderable(kind.elementType)
+    return not isinstance(kind, T.VariantType | T.MapType)
 
 
 def illegal(links: DataFrame, relationships: DataFrame) -> DataFrame:

@@ -55,26 +55,26 @@ class Compiler:
     # Numbers.
 
     def _compare(self, v, s, test):
-        return self._guarded(v, s, NUMBER, test(v.number())) if self._may(v, NUMBER) else True
+        return self._guarded(v, s, NUMBER, test()) if self._may(v, NUMBER) else True
 
     def _may(self, v: Value, names: frozenset[str]) -> bool:
         return isinstance(v, Variant) or bool(v.names() & names)
 
     def _minimum(self, x, v, s, inside):
-        return self._compare(v, s, lambda n: n >= F.lit(x))
+        return self._compare(v, s, lambda: v.compare(">=", x))
 
     def _maximum(self, x, v, s, inside):
-        return self._compare(v, s, lambda n: n <= F.lit(x))
+        return self._compare(v, s, lambda: v.compare("<=", x))
 
     def _exclusiveMinimum(self, x, v, s, inside):
-        return self._compare(v, s, lambda n: n > F.lit(x))
+        return self._compare(v, s, lambda: v.compare(">", x))
 
     def _exclusiveMaximum(self, x, v, s, inside):
-        return self._compare(v, s, lambda n: n < F.lit(x))
+        return self._compare(v, s, lambda: v.compare("<", x))
 
     def _multipleOf(self, x, v, s, inside):
         # In decimals: 2.5 is a multiple of 0.1, though not as doubles.
-        return self._compare(v, s, lambda n: v.decimal() % decimal_literal(x) == 0)
+        return self._compare(v, s, lambda: v.decimal() % decimal_literal(x) == 0)
 
     # Strings.
 

@@ -69,7 +69,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     if table == "conversations":
         id_ = F.concat_ws("-", "conv_id", "turn")
     elif key is None:  # no unique key: the whole row is the identity
-        id_ = F.sha2(F.to_json(F.struct(*df.columns)), 256)
+        id_ = F.concat(F.hex(F.xxhash64(*df.columns)), F.hex(F.xxhash64(F.lit(1), *df.columns)))
     else:
         id_ = F.col(key)
     data = None

@@ -2,6 +2,7 @@
 
 import json
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from graphloom.engine import Engine
 from graphloom.errors import ElementAlreadyExists, InvalidLimit, InvalidPatch, InvalidRegularExpression, InvalidSchema, InvalidSlug, InvalidVersion, SchemaMismatch, UnknownCardType
 from graphloom.functions import text
 from graphloom.functions.formats import java_pattern
+from graphloom.functions.merge import merge, merged
 from graphloom.functions.versions import Version, parse_slug, parse_version
 from graphloom.operators import authorization, links, patch, store
 from graphloom.operators.links import Verb
@@ -417,3 +419,58 @@ def test_catalog_matches_duckdb(spark):
         order = [rel.columns.index(x) for x in columns]
         assert sorted(str(tuple(r[i] for i in order)) for r in want) == sorted(str(tuple(r[x] for x in columns)) for r in got.collect()), name
         del names
+
+
+def test_large_variant_numbers_are_compared_exactly(spark):
+    """Many whole numbers and decimals share one double."""
+    big = 1 << 53
+    values = [big - 1, big, big + 1, big + 2, -big - 1, "0.1", "5.00000000000000001", "5.0", "9.007199254740992e15", 10**25 + 1, 10**25, (1 << 63) - 1]
+    df = spark.createDataFrame([(i, str(v)) for i, v in enumerate(values)], "id long, j string").select("id", F.lit("a@1.0.0").alias("type"), F.parse_json(F.concat(F.lit('{"x":'), "j", F.lit("}"))).alias("data"))
+    e = Engine(spark, {"a@1.0.0": df})
+    exact = [Decimal(str(v)) for v in values]
+    tests = {"const": lambda v, x: v == x, "minimum": lambda v, x: v >= x, "maximum": lambda v, x: v <= x, "exclusiveMinimum": lambda v, x: v > x, "exclusiveMaximum": lambda v, x: v < x}
+    for x in (big, big + 1, -big - 1, 5, 0.1, 10**25, (1 << 63) - 1):
+        for word, test in tests.items():
+            got = {r.id for r in e.query({"properties": {"type": {"const": "a@1.0.0"}, "data": {"properties": {"x": {word: x}}}}}, limit=None).collect()}
+            assert got == {i for i, v in enumerate(exact) if test(v, Decimal(str(x)))}, (word, x)
+    got = {r.id for r in e.query({"properties": {"type": {"const": "a@1.0.0"}, "data": {"properties": {"x": {"type": "integer"}}}}}, limit=None).collect()}
+    assert got == {i for i, v in enumerate(exact) if v == v.to_integral_value()}
+
+
+def test_merges_in_builtin_functions_equal_plain_python(spark):
+    r = random.Random(4)
+
+    def value(depth):
+        n = r.randint(0, 5)
+        if depth and n > 1:
+            return {k: value(depth - 1) for k in r.sample("abcd", r.randint(0, 3))}
+        return r.choice([None, 1, "x", [1, {"a": 2}], True, 2.5])
+
+    rows = [(json.dumps(value(4)), json.dumps(value(4))) for _ in range(60)]
+    df = spark.createDataFrame(rows, "x string, y string").select("x", "y", F.to_json(merged(F.parse_json("x"), F.parse_json("y"))).alias("m"))
+    for row in df.collect():
+        assert json.loads(row.m or "null") == merge(json.loads(row.x), json.loads(row.y)), row
+
+
+def test_untyped_queries_are_filtered_by_type(spark, tmp_path):
+    for n, t in (("a", "x long, y string"), ("b", "x string"), ("c", "x long")):
+        spark.createDataFrame([(7, "q")] if n == "a" else [("7",)] if n == "b" else [(9,)], t).write.parquet(f"{tmp_path}/{n}")
+    tables = {f"{n}@1.0.0": contract(spark.read.parquet(f"{tmp_path}/{n}"), n, F.lit(i)) for i, n in enumerate("abc")}
+    e = Engine(spark, tables)
+    df = e.query({"required": ["data"], "properties": {"data": {"required": ["x"], "properties": {"x": {"type": "number", "minimum": 8}}}}})
+    assert [(r.id, r.type) for r in df.collect()] == [("2", "c@1.0.0")]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # Both numbers reach their scans; x of b is a text, so b is not read at all.
+    assert plan.count("GreaterThanOrEqual(x,8)") == 2 and "/b]" not in plan
+    got = e.query({"properties": {"data": {"properties": {"x": {"minimum": 8}}}}}, sort_by=["data", "x"])
+    assert [r.id for r in got.collect()] == ["1", "2"]
+
+
+def test_bounded_parents_bound_their_linked_documents(spark):
+    plain = spark.range(50).select(F.col("id").alias("k"), (F.col("id") % 10).alias("up"))
+    tables = {f"{n}@1.0.0": contract(plain, n, F.col("k")) for n in "abc"}
+    e = Engine(spark, tables, [Verb("has", "a@1.0.0", "b@1.0.0", "id", "data.up"), Verb("has", "b@1.0.0", "c@1.0.0", "id", "data.up")])
+    schema = {"properties": {"type": {"const": "a@1.0.0"}}, "$$links": {"has": {"$$links": {"has": True}}}}
+    short, whole = (e.query(schema, limit=n).collect() for n in (1000, None))
+    assert [r.id for r in short] == list(range(10)) and sorted(map(str, short)) == sorted(map(str, whole))
+    assert [[c.id for c in b.links["has"]] for b in short[3].links["has"]] == [[3, 13, 23, 33, 43]]
