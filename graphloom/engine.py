@@ -83,7 +83,7 @@ class Engine:
         Several types are filtered one by one, each on its own typed columns, before they become one table.
         """
         names = sorted(t for t in self.tables if types is None or t in types) if isinstance(self.tables, dict) else []
-        if len(names) > 1 and not any(True for _ in links_of(schema)):
+        if len(names) > 1 and not any(links_of(schema)):
             return together([self.filtered(among(self.tables[n], ids), n, schema) for n in names]), None
         df, kind = self.source(types)
         return self.filtered(among(df, ids), kind, schema), kind

@@ -8,6 +8,8 @@ writer at a time; readers keep the version they opened.
 from __future__ import annotations
 
 import json
+import uuid
+from collections import OrderedDict
 from datetime import UTC, datetime
 from typing import Any
 
@@ -18,18 +20,27 @@ from .engine import Engine
 from .errors import NoElement, NoLinkTarget, PermissionsError, SchemaMismatch
 from .operators import patch as patches
 from .operators import store
-from .operators.authorization import permission
+from .operators.authorization import authorize, permission
 from .operators.links import edges_of, linked_at
 from .operators.validate import valid
 from .sources.types import ENVELOPE_TYPE, TypeRegistry
-from .streaming.changes import _batches, _exists, _write
+from .streaming.changes import LinkTree, LiveQuery, _batches, _exists, _put, _write
 
 LINK = "link@1.0.0"
+#: seq is the version shifted by so many bits, plus the number of the change in its commit; partitions of a reset are fewer than MOST_PARTITIONS.
+VERSION_SHIFT, MOST_PARTITIONS = 40, 1 << 16
+#: Documents that a kernel remembers by versioned slug.
+REMEMBERED = 1000
+#: Active types and relationships.
+TYPES = {"type": "object", "required": ["type", "active"], "properties": {"type": {"enum": ["type@1.0.0", "relationship@1.0.0"]}, "active": {"const": True}}}
 _PLAIN = [f.name for f in ENVELOPE_TYPE if f.name not in ("requires", "capabilities", "data")]
 
 
 class ContractStore:
-    """The table of documents and its change log in one folder that all nodes share."""
+    """The table of documents and its change log in one folder that all nodes share.
+
+    commits/v/documents and commits/v/changes come into being by one rename, so neither is ever there without the other.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -45,17 +56,23 @@ class ContractStore:
         if not newer:
             return df
         seq = F.regexp_extract(F.input_file_name(), "/commits/([0-9]+)/", 1).cast("long")
-        rows = read.parquet(*(f"{self.path}/commits/{v}" for v in newer)).withColumn("__seq", seq)
+        rows = read.parquet(*(f"{self.path}/commits/{v}/documents" for v in newer)).withColumn("__seq", seq)
         last = rows.groupBy(F.col("id").alias("__id")).agg(F.max("__seq").alias("__last"))
         latest = rows.join(last, (F.col("id") == F.col("__id")) & (F.col("__seq") == F.col("__last"))).select(*df.columns)
         return df.join(last.select("__id"), F.col("id") == F.col("__id"), "left_anti").unionByName(latest)
 
     def commit(self, changed: DataFrame, changes: list[tuple[str, str, str]]) -> None:
         """changed: the new state of each document that changes; changes: (id, op, type)."""
+        rows = [(i, *c) for i, c in enumerate(changes)]
+        self._commit(changed, self.spark.createDataFrame(rows, "n long, id string, op string, type string").coalesce(1))
+
+    def _commit(self, changed: DataFrame, changes: DataFrame) -> None:
+        """changes: n, id, op, type; a change is known by its version and n."""
         v = self.version() + 1
-        _write(changed, f"{self.path}/commits/{v}")
-        rows = [(v * 1_000_000 + i, *c) for i, c in enumerate(changes)]
-        self.spark.createDataFrame(rows, "seq long, id string, op string, type string").coalesce(1).write.mode("append").parquet(f"{self.path}/changes")
+        beside = f"{self.path}/staging/{v}-{uuid.uuid4().hex}"
+        changed.write.parquet(f"{beside}/documents")
+        changes.select(F.lit(v).cast("long").alias("version"), "n", (F.shiftleft(F.lit(v).cast("long"), VERSION_SHIFT) + F.col("n")).alias("seq"), "id", "op", "type").write.parquet(f"{beside}/changes")
+        _put(self.spark, beside, f"{self.path}/commits/{v}")
 
     def compact(self) -> None:
         """A new base with all commits so far; older folders stay for readers that have them open."""
@@ -64,18 +81,18 @@ class ContractStore:
             _write(self.now(), f"{self.path}/base/{v}")
 
     def reset(self) -> None:
-        """An empty table from now on."""
-        v = self.version() + 1
-        gone = self.now().select(F.lit(v * 1_000_000).cast("long").alias("seq"), "id", F.lit("delete").alias("op"), "type")
-        gone.write.mode("append").parquet(f"{self.path}/changes")
-        _write(self.spark.createDataFrame([], ENVELOPE_TYPE), f"{self.path}/base/{v}")
+        """An empty table from now on; its deletions share a version, and each has a number of its own within a partition."""
+        gone = self.now().select(F.monotonically_increasing_id().alias("n"), "id", F.lit("delete").alias("op"), "type")
+        numbered = gone.withColumn("n", F.shiftright("n", 33) + (F.col("n").bitwiseAND(F.lit((1 << 33) - 1)) * MOST_PARTITIONS))
+        self._commit(self.spark.createDataFrame([], ENVELOPE_TYPE), numbered)
+        _write(self.spark.createDataFrame([], ENVELOPE_TYPE), f"{self.path}/base/{self.version()}")
 
     def changes(self, streaming: bool = False) -> DataFrame:
         reader = self.spark.readStream if streaming else self.spark.read
-        return reader.schema("seq long, id string, op string, type string").parquet(f"{self.path}/changes")
+        return reader.schema("version long, n long, seq long, id string, op string, type string").parquet(f"{self.path}/commits/*/changes")
 
     def exists(self) -> bool:
-        return _exists(self.spark, f"{self.path}/changes")
+        return _exists(self.spark, f"{self.path}/commits")
 
     def rows(self, documents: list[dict]) -> DataFrame:
         plain = [Row(**{n: d.get(n) for n in _PLAIN}, json=json.dumps({k: d.get(k) for k in ("requires", "capabilities", "data")})) for d in documents]
@@ -99,15 +116,36 @@ def document(row: Row) -> dict:
 class Kernel:
     def __init__(self, contracts: ContractStore, types: TypeRegistry):
         self.contracts, self.types = contracts, types
+        #: Documents by versioned slug, and None for those that are missing; writes through this kernel forget what they change.
+        self._known: OrderedDict[str, dict | None] = OrderedDict()
 
     # Reading.
 
-    def engine(self) -> Engine:
-        now = self.contracts.now()
-        links = now.where(F.col("type") == LINK)
+    def links(self) -> DataFrame:
+        """Link documents, removed ones too, as edges_of() takes them."""
+        links = self.contracts.now().where(F.col("type") == LINK)
         get = lambda path: F.try_variant_get("data", path, "string")
         data = F.struct(get("$.inverseName").alias("inverseName"), F.struct(get("$.from.id").alias("id")).alias("from"), F.struct(get("$.to.id").alias("id")).alias("to"))
-        return Engine(self.contracts.spark, now, edges=edges_of(links.select("id", "name", "active", "created_at", data.alias("data"))))
+        return links.select("id", "name", "active", "created_at", data.alias("data"))
+
+    def engine(self) -> Engine:
+        return Engine(self.contracts.spark, self.contracts.now(), edges=edges_of(self.links()))
+
+    def live(self, schema: Any, state: str, emit, actor: dict | None = None) -> LiveQuery:
+        """A live query over this store's change log, for what an actor may see."""
+        allowed = self.permission(actor)
+        tree = LinkTree(lambda: edges_of(self.links().withColumn("active", F.lit(True))))
+        return LiveQuery(self.engine, schema if allowed is None else authorize(schema, allowed), state, emit, tree)
+
+    def follow_types(self, state: str) -> LiveQuery:
+        """Keeps the types and relationships of this kernel as the store has them; they are few."""
+
+        def refresh(events: DataFrame, batch: int) -> None:
+            if not events.isEmpty():
+                found = self.engine().query(TYPES, limit=None).collect()
+                self.types.replace_all([document(r) for r in found])
+
+        return self.live(TYPES, state, refresh)
 
     def permission(self, actor: dict | None, scope: dict | None = None) -> Any:
         """What an actor may see; None is the system itself.
@@ -126,27 +164,51 @@ class Kernel:
     def query(self, schema: Any, actor: dict | None = None, scope: dict | None = None, **options) -> DataFrame:
         return self.engine().query(schema, permission=self.permission(actor, scope), **options)
 
+    def remembered(self, slug: str) -> dict | None:
+        """get() for the system itself, of a document that was looked up before without a query."""
+        if slug not in self._known:
+            if len(self._known) >= REMEMBERED:
+                self._known.popitem(last=False)
+            self._known[slug] = self.get(slug)
+        self._known.move_to_end(slug)
+        return self._known[slug]
+
+    def _written(self, changed: DataFrame, changes: list[tuple[str, str, str]], slugs: list[str]) -> None:
+        self.contracts.commit(changed, changes)
+        # A new version may be the latest one; ends of links change as well.
+        if any(kind == LINK for *_, kind in changes):
+            self._known.clear()
+        for key in [k for k in self._known if k.split("@")[0] in slugs]:
+            del self._known[key]
+
     def get(self, slug: str, actor: dict | None = None) -> dict | None:
         found = self.engine().get_by_slug(slug, permission=self.permission(actor)).limit(1).collect()
         return document(found[0]) if found else None
 
     # Writing.
 
-    def _checked(self, doc: dict, actor: dict | None) -> dict:
-        doc = store.defaults(doc)
-        if not valid(self.types.schema(doc["type"]), doc):
-            raise SchemaMismatch(f"{doc['slug']} does not fit {doc['type']}")
-        allowed = self.permission(actor)
-        if allowed is not None and not valid(allowed, doc):
-            raise PermissionsError(doc["slug"])
-        if doc["type"] == LINK:
-            ends = [doc["data"][k] for k in ("from", "to")]
-            for end in ends:
-                end["type"] += "" if "@" in end["type"] else "@1.0.0"
-            if self.query({"required": ["id"], "properties": {"id": {"enum": [x["id"] for x in ends]}}}, actor).select("id").distinct().count() < len({x["id"] for x in ends}):
-                raise NoLinkTarget(doc["slug"])
-            self.types.check_link(doc)
-        return doc
+    def _checked(self, documents: list[dict], actor: dict | None) -> list[dict]:
+        """Documents with defaults, valid for their types, allowed, and links between documents that are there."""
+        docs, allowed, ends = [store.defaults(d) for d in documents], self.permission(actor), {}
+        for doc in docs:
+            if not valid(self.types.schema(doc["type"]), doc):
+                raise SchemaMismatch(f"{doc['slug']} does not fit {doc['type']}")
+            if allowed is not None and not valid(allowed, doc):
+                raise PermissionsError(doc["slug"])
+            if doc["type"] == LINK:
+                for end in (doc["data"][k] for k in ("from", "to")):
+                    end["type"] += "" if "@" in end["type"] else "@1.0.0"
+                    ends[end["id"]] = doc["slug"]
+        if ends:
+            # All ends in one query.
+            seen = self.engine().query({"required": ["id"], "properties": {"id": {"enum": list(ends)}}}, permission=allowed, limit=None)
+            missing = set(ends) - {r.id for r in seen.select("id").distinct().collect()} - {d["id"] for d in docs}
+            if missing:
+                raise NoLinkTarget(ends[missing.pop()])
+        for doc in docs:
+            if doc["type"] == LINK:
+                self.types.check_link(doc)
+        return docs
 
     def _with_ends(self, changed: DataFrame, docs: list[dict]) -> DataFrame:
         """changed, and both ends of the links among docs with linked_at; a time that is set stays."""
@@ -166,22 +228,26 @@ class Kernel:
         return self.insert_many([doc], actor)[0]
 
     def insert_many(self, documents: list[dict], actor: dict | None = None) -> list[dict]:
-        docs = [self._checked(d, actor) for d in documents]
+        docs = self._checked(documents, actor)
         new = self.contracts.rows(docs)
         store.insert(self.contracts.now(), new)
-        self.contracts.commit(self._with_ends(new, docs), [(d["id"], "insert", d["type"]) for d in docs])
+        self._written(self._with_ends(new, docs), [(d["id"], "insert", d["type"]) for d in docs], [d["slug"] for d in docs])
         return docs
 
     def replace(self, doc: dict, actor: dict | None = None) -> dict:
-        doc = self._checked(doc, actor)
+        doc = self._checked([doc], actor)[0]
         same = self.contracts.now().where((F.col("slug") == doc["slug"]) & (F.col("version") == doc["version"]))
         there = self.get(f"{doc['slug']}@{doc['version']}")
         changed = store.replace(same, self.contracts.rows([doc]), datetime.now(UTC).isoformat())
         if there:
             doc = doc | {"id": there["id"]}
-        self.contracts.commit(self._with_ends(changed, [doc]), [(doc["id"], "update" if there else "insert", doc["type"])])
+        self._written(self._with_ends(changed, [doc]), [(doc["id"], "update" if there else "insert", doc["type"])], [doc["slug"]])
         return self.get(f"{doc['slug']}@{doc['version']}")
 
+    def unsafe_upsert(self, doc: dict) -> dict:
+        """replace() by the system itself: the document must fit its type, and no permission is asked for."""
+        return self.replace(doc)
+
     def patch(self, slug: str, operations: list[dict], actor: dict | None = None) -> dict:
         """The document as the actor sees it after all operations; nothing is written if nothing changed."""
         full, seen = self.get(slug), self.get(slug, actor)
@@ -191,5 +257,5 @@ class Kernel:
         new, seen, changed = patches.patched(full, seen, operations, self.types.schema(full["type"]), True if allowed is None else allowed)
         if changed:
             new = new | {"updated_at": datetime.now(UTC).isoformat()}
-            self.contracts.commit(self.contracts.rows([new]), [(full["id"], "update", full["type"])])
+            self._written(self.contracts.rows([new]), [(full["id"], "update", full["type"])], [full["slug"]])
         return seen

@@ -84,11 +84,21 @@ class TypeRegistry:
             self.add_type(c)
         for r in relationships:
             self.add_relationship(r)
+        self.first = (dict(self.schemas), list(self.relationships))
 
     def add_type(self, contract: dict) -> None:
         """From a type document: slug, version and data.schema."""
         self.schemas[f"{contract['slug']}@{contract.get('version', '1.0.0')}"] = {"allOf": [ENVELOPE, contract["data"]["schema"]]}
 
+    def replace_all(self, contracts: list[dict]) -> None:
+        """The types and relationships among contracts beside those given at first, of which they replace those of the same name."""
+        self.schemas, self.relationships = dict(self.first[0]), list(self.first[1])
+        for c in contracts:
+            if c["type"].startswith("type@"):
+                self.add_type(c)
+            else:
+                self.add_relationship(c)
+
     def schema(self, kind: str) -> Any:
         if kind not in self.schemas:
             raise UnknownCardType(kind)

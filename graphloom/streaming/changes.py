@@ -1,22 +1,30 @@
 """Live queries: which documents begin to match a schema, change, stop matching or go.
 
-A change log is an append-only table (seq, id, op); documents are read anew for the ids of a batch only.  The seen-set
-(id, root) holds the documents a query has given and the linked documents they depend on; it is a table of its own
-versions, one folder per micro-batch, so a batch that is run again gives the same events.
+A change log is an append-only table (seq, id, op); documents are read anew for the ids of a batch only.  The seen-set holds
+(root, id): the documents a query has given, and with each the linked documents and links it depends on.  It is a log of its
+own: every micro-batch adds a folder with the roots it changed, so a batch that is run again gives the same events, and
+folders are put together now and then.
 """
 
 from __future__ import annotations
 
+import logging
+import time
 import uuid
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..engine import Engine
-from ..plans.schema import contract_types, links_of, parse
+from ..plans.schema import Schema, contract_types, links_of, parse
 
+log = logging.getLogger(__name__)
+SEEN = "root string, id string"
+#: Folders of the seen-set after which they are put together.
+DELTAS = 32
 INSERT, UPDATE, DELETE, UNMATCH = "insert", "update", "delete", "unmatch"
 
 
@@ -54,75 +62,174 @@ def compare(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
     return both.select(F.coalesce("__b", "__a").alias(key), event.alias("event")).where("event IS NOT NULL")
 
 
+def prefiltered(changes: DataFrame, schema: Any) -> DataFrame:
+    """The changes that can matter to a schema: those of its types, where it names some and looks at no links."""
+    tree = parse(schema)
+    types = contract_types(tree)
+    if types is None or "type" not in changes.columns or any(links_of(tree)):
+        return changes
+    return changes.where(F.col("type").isin(sorted(types)))
+
+
+class LinkTree:
+    """Which roots a changed document or link may touch, and on which a root depends.
+
+    edges() gives link_id, from_id, name, to_id of all links, removed ones too: a removed link touches the root it led from.
+    """
+
+    def __init__(self, edges: Callable[[], DataFrame]):
+        self.edges = edges
+
+    def _of(self, verb: str) -> DataFrame:
+        text = [F.col(c).cast("string").alias(c) for c in ("link_id", "from_id", "to_id")]
+        return self.edges().where(F.col("name") == verb).select(*text)
+
+    def roots(self, engine: Engine, tree: Schema, touched: DataFrame) -> DataFrame:
+        """(id): documents with a changed link along the schema's verbs, or a link to a changed document that validates
+        against the schema of that link: the inverse queries."""
+        found = None
+        for verb, sub in links_of(tree):
+            e = self._of(verb)
+            by_link = e.join(touched.select(F.col("id").alias("__c")), F.col("link_id") == F.col("__c"), "left_semi").select(F.col("from_id").alias("id"))
+            changed = engine.matching(contract_types(sub), sub, touched)[0].select(F.col("id").cast("string").alias("id"))
+            if any(links_of(sub)):
+                # What is touched further away counts as changed here.
+                changed = changed.unionByName(self.roots(engine, sub, touched))
+            by_end = e.join(changed.select(F.col("id").alias("__c")), F.col("to_id") == F.col("__c"), "left_semi").select(F.col("from_id").alias("id"))
+            level = by_link.unionByName(by_end)
+            found = level if found is None else found.unionByName(level)
+        return found.distinct()
+
+    def dependents(self, tree: Schema, roots: DataFrame) -> DataFrame:
+        """(root, id): the links and linked documents of roots (root, at), as deep as the schema goes."""
+        found = None
+        for verb, sub in links_of(tree):
+            e = self._of(verb)
+            step = roots.join(e, F.col("at") == F.col("from_id"))
+            level = step.select("root", F.col("link_id").alias("id")).unionByName(step.select("root", F.col("to_id").alias("id")))
+            if any(links_of(sub)):
+                level = level.unionByName(self.dependents(sub, step.select("root", F.col("to_id").alias("at"))))
+            found = level if found is None else found.unionByName(level)
+        return found.distinct()
+
+
 class LiveQuery:
     """A schema over a growing change log.
 
     engine() gives the engine on the documents as they are now; state is a folder that all nodes share; emit(df, batch)
-    takes each batch's events (id, event).
+    takes each batch's events (id, event).  links: the link tree, for schemas with links.
     """
 
-    def __init__(self, engine: Callable[[], Engine], schema: Any, state: str, emit: Callable[[DataFrame, int], None], parents: Callable[[DataFrame], DataFrame] | None = None):
-        self.engine, self.schema, self.state, self.emit = engine, schema, state.rstrip("/"), emit
-        #: From changed ids (id, op) to the roots they may touch (id), for schemas with links.
-        self.parents = parents
+    def __init__(self, engine: Callable[[], Engine], schema: Any, state: str, emit: Callable[[DataFrame, int], None], links: LinkTree | None = None):
+        self.engine, self.schema, self.state, self.emit, self.links = engine, schema, state.rstrip("/"), emit, links
         self.query = None
 
     def set_schema(self, schema: Any) -> None:
         """What is seen stays seen."""
         self.schema = schema
 
-    def types(self) -> set[str] | None:
-        return contract_types(parse(self.schema))
-
-    def linked(self) -> list[str]:
-        return [verb for verb, _ in links_of(parse(self.schema))]
+    # The seen-set: folder 2 * b + 1 holds what batch b changed, 2 * b what was added by hand before it; whole/n all up to n.
 
     def _seen(self, spark, batch: int) -> DataFrame:
-        pointer = f"{self.state}/seen"
-        if batch < 0 or not _exists(spark, f"{pointer}/{batch}"):
-            older = [b for b in _batches(spark, pointer) if b <= batch]
-            if not older:
-                return spark.createDataFrame([], "id string")
-            batch = max(older)
-        return spark.read.schema("id string").parquet(f"{pointer}/{batch}")
+        """(root, id) as they are before a batch."""
+        read = spark.read.schema(SEEN)
+        whole = max((n for n in _batches(spark, f"{self.state}/whole") if n < 2 * batch + 1), default=-1)
+        now = read.parquet(f"{self.state}/whole/{whole}") if whole >= 0 else spark.createDataFrame([], SEEN)
+        newer = [n for n in _batches(spark, f"{self.state}/seen") if whole < n < 2 * batch + 1]
+        if not newer:
+            return now
+        at = F.regexp_extract(F.input_file_name(), "/seen/([0-9]+)/", 1).cast("long")
+        rows = read.parquet(*(f"{self.state}/seen/{n}" for n in newer)).withColumn("__at", at)
+        last = rows.groupBy(F.col("root").alias("__root")).agg(F.max("__at").alias("__last"))
+        latest = rows.join(last, (F.col("root") == F.col("__root")) & (F.col("__at") == F.col("__last"))).where("id IS NOT NULL").select("root", "id")
+        return now.join(last.select("__root"), F.col("root") == F.col("__root"), "left_anti").unionByName(latest)
+
+    def _entries(self, roots: DataFrame) -> DataFrame:
+        """Rows of the seen-set for roots (id)."""
+        own = roots.select(F.col("id").alias("root"), "id")
+        tree = parse(self.schema)
+        if self.links is None or not any(links_of(tree)):
+            return own
+        return own.unionByName(self.links.dependents(tree, own.select("root", F.col("id").alias("at")))).distinct()
 
     def dataset(self, schema: Any | None = None) -> DataFrame:
         """All that matches now; it counts as seen from the next batch on."""
         spark = self.engine().spark
         found = self.engine().query(schema if schema is not None else self.schema, limit=None).select(F.col("id").cast("string").alias("id"))
-        batch = max(_batches(spark, f"{self.state}/seen"), default=-1)
-        _write(self._seen(spark, batch).unionByName(found).distinct(), f"{self.state}/seen/{max(batch, 0)}")
+        last = max((n for n in _batches(spark, f"{self.state}/seen") if n % 2), default=-1)
+        path, entries = f"{self.state}/seen/{last + 1}", self._entries(found)
+        if _exists(spark, path):
+            entries = entries.unionByName(spark.read.schema(SEEN).parquet(path)).distinct()
+        _write(entries, path)
         return found
 
     def process(self, changes: DataFrame, batch: int) -> None:
         """Events of one micro-batch of changes (seq, id, op and, where known, type)."""
-        spark, engine = changes.sparkSession, self.engine()
+        spark, engine, tree = changes.sparkSession, self.engine(), parse(self.schema)
         # A batch that is run again starts from the seen-set before it.
         seen = self._seen(spark, batch)
-        types = self.types()
-        if types is not None and "type" in changes.columns and not self.linked():
-            changes = changes.where(F.col("type").isin(sorted(types)))
-        own = last_changes(changes.select("seq", F.col("id").cast("string").alias("id"), "op"))
+        own = last_changes(prefiltered(changes, self.schema).select("seq", F.col("id").cast("string").alias("id"), "op"))
         touched = own.select("id", "op")
-        if self.parents is not None:
-            more = self.parents(touched).select(F.col("id").cast("string").alias("id"), F.lit(UPDATE).alias("op"))
-            touched = touched.unionByName(more.join(own, "id", "left_anti")).distinct()
+        if self.links is not None and any(links_of(tree)):
+            # Roots that depend on what changed, as far as they are seen, and those that a changed document links to now.
+            depend = seen.join(own.select(F.col("id").alias("__c")), F.col("id") == F.col("__c"), "left_semi").select(F.col("root").alias("id"))
+            more = depend.unionByName(self.links.roots(engine, tree, own.select("id"))).distinct().join(own, "id", "left_anti")
+            touched = touched.unionByName(more.select("id", F.lit(UPDATE).alias("op")))
         matching = engine.query(self.schema, limit=None, ids=touched.select("id")).select(F.col("id").cast("string").alias("__m"))
-        rows = touched.join(matching, F.col("id") == F.col("__m"), "left").join(seen.select(F.col("id").alias("__s")), F.col("id") == F.col("__s"), "left")
+        held = seen.where("root = id").select(F.col("id").alias("__s"))
+        rows = touched.join(matching, F.col("id") == F.col("__m"), "left").join(held, F.col("id") == F.col("__s"), "left")
         events = rows.select("id", classified(F.col("__s").isNotNull(), F.col("__m").isNotNull(), F.col("op")).alias("event")).where("event IS NOT NULL")
         path = f"{self.state}/events/{batch}"
         _write(events, path)
         events = spark.read.schema("id string, event string").parquet(path)
-        gone = events.where(F.col("event").isin(DELETE, UNMATCH)).select("id")
-        fresh = events.where(F.col("event").isin(INSERT, UPDATE)).select("id")
-        _write(seen.join(gone, "id", "left_anti").unionByName(fresh).distinct(), f"{self.state}/seen/{batch + 1}")
+        gone = events.where(F.col("event").isin(DELETE, UNMATCH)).select(F.col("id").alias("root"), F.lit(None).cast("string").alias("id"))
+        fresh = self._entries(events.where(F.col("event").isin(INSERT, UPDATE)).select("id"))
+        _write(gone.unionByName(fresh), f"{self.state}/seen/{2 * batch + 1}")
+        self._compact(spark, batch)
         self.emit(events, batch)
 
+    def _compact(self, spark, batch: int) -> None:
+        """Puts the seen-set before a batch together once it lies in many folders; what the batch itself needs stays."""
+        old = [n for n in _batches(spark, f"{self.state}/seen") if n < 2 * batch]
+        if len(old) >= DELTAS:
+            _write(self._seen(spark, batch), f"{self.state}/whole/{2 * batch}")
+            for n in old:
+                _remove(spark, f"{self.state}/seen/{n}")
+            for n in _batches(spark, f"{self.state}/whole"):
+                if n < 2 * batch:
+                    _remove(spark, f"{self.state}/whole/{n}")
+            for n in _batches(spark, f"{self.state}/events"):
+                if n < batch:
+                    _remove(spark, f"{self.state}/events/{n}")
+
     def start(self, changes: DataFrame, **trigger):
         """A streaming query over a streaming change log."""
         self.query = changes.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.state}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
         return self.query
 
+    def run(self, changes: Callable[[], DataFrame], on: Callable[[str, Exception | None], None] = lambda event, error: None, retries: int = 3, delay: float = 2.0, **trigger) -> None:
+        """Runs until the stream ends; on(event, error) hears of error, reconnect and closed.
+
+        After an error the stream starts anew from its checkpoint, so no event is lost or classified otherwise; more than
+        retries errors in a row without a batch between them are raised.
+        """
+        failed, last = 0, -1
+        while True:
+            query = self.start(changes(), **trigger)
+            try:
+                query.awaitTermination()
+                on("closed", None)
+                return
+            except StreamingQueryException as error:
+                on("error", error)
+                done = max(_batches(self.engine().spark, f"{self.state}/checkpoint/commits"), default=-1)
+                failed, last = (0 if done > last else failed) + 1, done
+                if failed > retries:
+                    raise
+                log.warning("live query in %s starts anew after: %s", self.state, error)
+                time.sleep(delay)
+                on("reconnect", None)
+
     def close(self) -> None:
         if self.query is not None:
             self.query.stop()
@@ -143,10 +250,13 @@ def _batches(spark, path: str) -> list[int]:
     return [int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()] if fs.exists(p) else []
 
 
-def _write(df: DataFrame, path: str) -> None:
-    """Written beside, then put in place: a batch that stops half-way leaves no half table."""
-    spark, beside = df.sparkSession, f"{path}-{uuid.uuid4().hex}"
-    df.write.parquet(beside)
+def _remove(spark, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+def _put(spark, beside: str, path: str) -> None:
+    """Renames a folder that is complete to where readers look for it."""
     fs, p = _path(spark, path)
     fs.delete(p, True)
     fs.mkdirs(p.getParent())
@@ -154,28 +264,11 @@ def _write(df: DataFrame, path: str) -> None:
         raise OSError(f"cannot put {path} in place")
 
 
-def roots_of(edges: Callable[[], DataFrame], verbs: list[str], depth: int = 1) -> Callable[[DataFrame], DataFrame]:
-    """Parents for LiveQuery: the documents from which a changed one is reached along these verbs, up to depth links away.
-
-    Changes of link documents count for both of their ends: edges has link_id, from_id, name, to_id.
-    """
-
-    def parents(touched: DataFrame) -> DataFrame:
-        e = edges().where(F.col("name").isin(verbs)).select(F.col("link_id").cast("string"), F.col("from_id").cast("string"), F.col("to_id").cast("string"))
-        ids = touched.select(F.col("id").alias("__c"))
-        found = e.join(ids, F.col("link_id") == F.col("__c"), "left_semi").select(F.col("from_id").alias("id"))
-        level = touched.select("id")
-        for _ in range(depth):
-            level = e.join(level.select(F.col("id").alias("__c")), F.col("to_id") == F.col("__c"), "left_semi").select(F.col("from_id").alias("id"))
-            found = found.unionByName(level)
-        return found.distinct()
-
-    return parents
-
-
-def inverse_schema(verb_inverse: str, schema: Any, child: Any) -> dict:
-    """What a changed linked document must be for its roots to be looked at: the link's own schema, linked back to the root's."""
-    return {"allOf": [child, {"$$links": {verb_inverse: schema}}]}
+def _write(df: DataFrame, path: str) -> None:
+    """Written beside, then put in place: a batch that stops half-way leaves no half table."""
+    beside = f"{path}-{uuid.uuid4().hex}"
+    df.write.parquet(beside)
+    _put(df.sparkSession, beside, path)
 
 
 class Dispatcher:

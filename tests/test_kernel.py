@@ -70,7 +70,7 @@ def test_links_set_linked_at_and_feed_live_queries(world, tmp_path):
     k, docs = world
     events = []
     schema = {"type": "object", "required": ["type"], "properties": {"type": {"const": "thread@1.0.0"}}, "$$links": {"has attached": {"required": ["slug"], "properties": {"slug": {"const": "card-open"}}}}}
-    live = changes.LiveQuery(k.engine, schema, f"{tmp_path}/live", lambda df, b: events.append({(r.id, r.event) for r in df.collect()}), changes.roots_of(lambda: k.engine().edges, ["has attached"]))
+    live = k.live(schema, f"{tmp_path}/live", lambda df, b: events.append({(r.id, r.event) for r in df.collect()}))
     run = lambda: live.start(k.contracts.changes(streaming=True)).awaitTermination()
     run()
     k.insert(link(docs["card-open"], "is attached to", "has attached", docs["thread-a"]))
@@ -78,7 +78,95 @@ def test_links_set_linked_at_and_feed_live_queries(world, tmp_path):
     assert not events[0] and events[-1] == {(docs["thread-a"]["id"], "update")}
     assert set(k.get("thread-a@1.0.0")["linked_at"]) == {"has attached"} and set(k.get("card-open@1.0.0")["linked_at"]) == {"is attached to"}
     assert k.query(schema).count() == 1
-    assert changes.inverse_schema("is attached to", schema, {})["allOf"][1] == {"$$links": {"is attached to": schema}}
+    # A change of the linked document reaches its root; one that takes it out of the schema, or the link away, unmatches it.
+    name = lambda slug, path, value: k.patch(f"{slug}@1.0.0", [{"op": "replace", "path": path, "value": value}])
+    name("card-open", "/data/n", 77)
+    run()
+    assert events[-1] == {(docs["thread-a"]["id"], "update")}
+    removed = "link-card-open-thread-a-is-attached-to"
+    name(removed, "/active", False)
+    run()
+    assert events[-1] == {(docs["thread-a"]["id"], "unmatch")} and k.query(schema).count() == 0
+    name(removed, "/active", True)
+    run()
+    assert events[-1] == {(docs["thread-a"]["id"], "update")}
+    # The link leads elsewhere now: only the seen-set knows of its former root.
+    other = k.insert({"type": "thread", "slug": "thread-other", "data": {"n": 2}})
+    name(removed, "/data/to/id", other["id"])
+    run()
+    assert events[-1] == {(docs["thread-a"]["id"], "unmatch"), (other["id"], "insert")}
+    before = len(events)
+    name("card-bob", "/data", {"x": 1})
+    run()
+    assert not any(events[before:])
+
+
+def test_nested_links_touch_their_roots(spark, tmp_path):
+    k = Kernel(ContractStore(spark, f"{tmp_path}/s"), TypeRegistry(TYPES, [*RELATIONSHIPS, {"name": "has", "data": {"inverseName": "is in", "from": {"type": "thread"}, "to": {"type": "thread"}}}]))
+    a, b, c = k.insert_many([{"type": "thread", "slug": s, "data": {"n": 1}} for s in "abc"])
+    k.insert_many([link(a, "has", "is in", b), link(b, "has", "is in", c)])
+    schema = {"required": ["slug"], "properties": {"slug": {"const": "a"}}, "$$links": {"has": {"$$links": {"has": {"properties": {"data": {"properties": {"n": {"const": 2}}}}}}}}}
+    events = []
+    live = k.live(schema, f"{tmp_path}/l", lambda df, n: events.append([(r.id, r.event) for r in df.collect()]))
+    run = lambda: live.start(k.contracts.changes(streaming=True)).awaitTermination()
+    run()
+    for n in (2, 1, 3):
+        k.patch("c@1.0.0", [{"op": "replace", "path": "/data/n", "value": n}])
+        run()
+    assert [e for e in events if e] == [[(a["id"], "update")], [(a["id"], "unmatch")]]
+
+
+def test_a_failing_live_query_starts_anew(world, tmp_path):
+    k, docs = world
+    heard, seen = [], []
+
+    def emit(df, batch):
+        if not heard:
+            raise ValueError("lost")
+        seen.append({(r.id, r.event) for r in df.collect()})
+
+    live = k.live({"required": ["slug"], "properties": {"slug": {"const": "card-bob"}}}, f"{tmp_path}/f", emit)
+    live.run(lambda: k.contracts.changes(streaming=True), lambda event, error: heard.append(event), delay=0)
+    assert heard == ["error", "reconnect", "closed"] and {(docs["card-bob"]["id"], "insert")} in seen
+    heard.clear()
+    bad = k.live({"properties": {"slug": {"const": "card-bob"}}}, f"{tmp_path}/g", lambda df, batch: 1 / 0)
+    with pytest.raises(changes.StreamingQueryException):
+        bad.run(lambda: k.contracts.changes(streaming=True), lambda event, error: heard.append(event), retries=1, delay=0)
+    assert heard == ["error", "reconnect", "error"]
+
+
+def test_the_seen_set_is_put_together(world, tmp_path, monkeypatch):
+    k, docs = world
+    monkeypatch.setattr(changes, "DELTAS", 2)
+    rows = k.contracts.changes()
+    live = k.live({"required": ["type"], "properties": {"type": {"const": "card@1.0.0"}}}, f"{tmp_path}/p", lambda df, b: None)
+    for batch in range(5):
+        live.process(rows.where(F.col("id") == docs[("card-open", "card-org", "card-bob")[batch % 3]]["id"]), batch)
+        seen = {r.id for r in live._seen(k.contracts.spark, batch + 1).collect()}
+        assert seen == {docs[s]["id"] for s in ("card-open", "card-org", "card-bob")[: batch + 1]}
+    assert len(list((tmp_path / "p" / "seen").iterdir())) <= 3 and len(list((tmp_path / "p" / "whole").iterdir())) == 1
+
+
+def test_types_follow_the_store_and_writes_end_what_is_remembered(spark, tmp_path):
+    from graphloom.sources import builtin
+
+    k = Kernel(ContractStore(spark, f"{tmp_path}/s"), TypeRegistry(builtin.types(), builtin.relationships()))
+    k.insert({"type": "type", "slug": "note", "data": {"schema": {"properties": {"data": {"required": ["n"]}}}}})
+    follow = k.follow_types(f"{tmp_path}/types")
+    run = lambda: follow.start(k.contracts.changes(streaming=True)).awaitTermination()
+    with pytest.raises(UnknownCardType):
+        k.insert({"type": "note", "slug": "x", "data": {"n": 1}})
+    run()
+    assert k.remembered("x@1.0.0") is None
+    k.insert({"type": "note", "slug": "x", "data": {"n": 1}})
+    assert k.remembered("x@1.0.0")["data"] == {"n": 1} and k.remembered("x@latest")["data"] == {"n": 1}
+    k.patch("x@1.0.0", [{"op": "replace", "path": "/data/n", "value": 2}])
+    assert k.remembered("x@1.0.0")["data"] == k.remembered("x@latest")["data"] == {"n": 2}
+    k.patch("note@1.0.0", [{"op": "replace", "path": "/active", "value": False}])
+    run()
+    with pytest.raises(UnknownCardType):
+        k.insert({"type": "note", "slug": "y", "data": {"n": 1}})
+    assert k.unsafe_upsert({"type": "card", "slug": "z"})["slug"] == "z"
 
 
 def test_dataset_counts_as_seen(world, tmp_path):
