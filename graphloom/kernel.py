@@ -66,6 +66,11 @@ class ContractStore:
         rows = [(i, *c) for i, c in enumerate(changes)]
         self._commit(changed, self.spark.createDataFrame(rows, "n long, id string, op string, type string").coalesce(1))
 
+    def write(self, documents: DataFrame, op: str = "insert") -> None:
+        """A bulk commit of documents of the envelope, without checks."""
+        documents = documents.select(*ENVELOPE_TYPE.names)
+        self._commit(documents, numbered(documents, op))
+
     def _commit(self, changed: DataFrame, changes: DataFrame) -> None:
         """changes: n, id, op, type; a change is known by its version and n."""
         v = self.version() + 1
@@ -81,10 +86,8 @@ class ContractStore:
             _write(self.now(), f"{self.path}/base/{v}")
 
     def reset(self) -> None:
-        """An empty table from now on; its deletions share a version, and each has a number of its own within a partition."""
-        gone = self.now().select(F.monotonically_increasing_id().alias("n"), "id", F.lit("delete").alias("op"), "type")
-        numbered = gone.withColumn("n", F.shiftright("n", 33) + (F.col("n").bitwiseAND(F.lit((1 << 33) - 1)) * MOST_PARTITIONS))
-        self._commit(self.spark.createDataFrame([], ENVELOPE_TYPE), numbered)
+        """An empty table from now on."""
+        self._commit(self.spark.createDataFrame([], ENVELOPE_TYPE), numbered(self.now(), "delete"))
         _write(self.spark.createDataFrame([], ENVELOPE_TYPE), f"{self.path}/base/{self.version()}")
 
     def changes(self, streaming: bool = False) -> DataFrame:
@@ -102,6 +105,18 @@ class ContractStore:
         return df.select(*_PLAIN, get("requires", "array<variant>"), get("capabilities", "array<variant>"), get("data", "variant")).select(*ENVELOPE_TYPE.names)
 
 
+def numbered(documents: DataFrame, op: str) -> DataFrame:
+    """(n, id, op, type): a change for each document, each with a number of its own."""
+    rows = documents.select(F.monotonically_increasing_id().alias("n"), "id", F.lit(op).alias("op"), "type")
+    return rows.withColumn("n", F.shiftright("n", 33) + F.col("n").bitwiseAND(F.lit((1 << 33) - 1)) * MOST_PARTITIONS)
+
+
+def enveloped(typed: DataFrame) -> DataFrame:
+    """Typed documents in the envelope of a store, their data as VARIANT."""
+    given = {"id": F.col("id").cast("string"), "created_at": F.col("created_at").cast("string"), "data": F.to_variant_object("data"), "requires": F.array().cast("array<variant>"), "capabilities": F.array().cast("array<variant>")}
+    return typed.select(*((given[f.name] if f.name in given else F.col(f.name) if f.name in typed.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in ENVELOPE_TYPE))
+
+
 def document(row: Row) -> dict:
     """A row with VARIANT columns as plain JSON values."""
     out = row.asDict(True)

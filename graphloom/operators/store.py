@@ -92,9 +92,10 @@ def deactivate(now: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def derived_from_users(users: DataFrame) -> DataFrame:
-    """(user_id, kind, slug): what the write of a user brings along.
+    """(user_id, kind, slug, id): what the write of a user brings along.
 
     A settings document always; a password document where data.hash is a hash (begins with $); one for oauth if present.
+    The id follows from the slug, so a write that is made again gives the same documents.
     """
     data = users.schema["data"].dataType.names
     has = lambda name, test: test if name in data else F.lit(False)
@@ -103,5 +104,39 @@ def derived_from_users(users: DataFrame) -> DataFrame:
         F.when(has("hash", F.col("data.hash").startswith("$") if "hash" in data else F.lit(False)), "authentication-password"),
         F.when(has("oauth", F.col("data.oauth").isNotNull() if "oauth" in data else F.lit(False)), "authentication-oauth"),
     )
-    each = users.select(F.col("id").alias("user_id"), "slug", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"))
-    return each.select("user_id", "kind", F.concat_ws("-", "kind", "slug").alias("slug"))
+    each = users.select(F.col("id").cast("string").alias("user_id"), "slug", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"))
+    return each.select("user_id", "kind", F.concat_ws("-", "kind", "slug").alias("slug")).withColumn("id", F.sha2("slug", 256))
+
+
+#: How a user is linked to what its write brings along: verb, inverse verb.
+DERIVED_LINKS = {
+    "user-settings": ("has settings", "are settings for"),
+    "authentication-password": ("is authenticated with", "authenticates"),
+    "authentication-oauth": ("is authenticated with", "authenticates"),
+}
+
+
+def derived_documents(users: DataFrame) -> DataFrame:
+    """The documents of derived_from_users() and the links from their users: id, slug, type, name, data (as VARIANT).
+
+    Passwords and tokens move from the user's data to the derived document's; write the user's without_secrets().
+    """
+    found = derived_from_users(users)
+    names = users.schema["data"].dataType.names
+    secrets = users.select(F.col("id").cast("string").alias("__user"), *(F.col(f"data.{n}").alias(f"__{n}") for n in ("hash", "oauth") if n in names))
+    held = found.join(secrets, F.col("user_id") == F.col("__user"))
+    value = lambda name: F.to_json(F.struct(F.lit(name).alias("of"), F.col(f"__{name}").alias("value"))) if name in names else F.lit(None)
+    data = F.when(F.col("kind") == "authentication-password", F.to_json(F.struct((F.col("__hash") if "hash" in names else F.lit(None)).alias("hash"), F.col("user_id").alias("actorId")))).when(F.col("kind") == "authentication-oauth", value("oauth")).otherwise("{}")
+    documents = held.select("id", "slug", F.concat("kind", F.lit("@1.0.0")).alias("type"), F.lit(None).cast("string").alias("name"), F.parse_json(data).alias("data"))
+    verb = F.create_map(*(F.lit(x) for kind, (verb, _) in DERIVED_LINKS.items() for x in (kind, verb)))
+    inverse = F.create_map(*(F.lit(x) for kind, (_, inverse) in DERIVED_LINKS.items() for x in (kind, inverse)))
+    ends = F.struct(inverse[F.col("kind")].alias("inverseName"), F.struct(F.col("user_id").alias("id"), F.lit("user@1.0.0").alias("type")).alias("from"), F.struct("id", F.concat("kind", F.lit("@1.0.0")).alias("type")).alias("to"))
+    slug = F.concat(F.lit("link-"), F.col("slug"))
+    links = found.select(F.sha2(slug, 256).alias("id"), slug.alias("slug"), F.lit("link@1.0.0").alias("type"), verb[F.col("kind")].alias("name"), F.to_variant_object(ends).alias("data"))
+    return documents.unionByName(links)
+
+
+def without_secrets(users: DataFrame) -> DataFrame:
+    """users whose data no longer holds what derived_documents() takes over."""
+    left = [n for n in users.schema["data"].dataType.names if n not in ("hash", "oauth")]
+    return users.withColumn("data", F.struct(*(F.col(f"data.{n}") for n in left)))

@@ -21,6 +21,7 @@ from ..operators.views import view_schema
 from ..sources import layout
 from ..sources.tables import contract, engine, kind, load
 from ..streaming import changes
+from . import live
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -339,9 +340,19 @@ register("s03_get_by_slug", f"SELECT p_partkey AS id FROM part WHERE p_partkey %
 register("s03_get_by_exact_slug", "SELECT c_custkey AS id FROM customer WHERE c_custkey = 7")(lambda spark, d: engine(spark, d).get_by_slug("customer-7@1.0.0", kind("customer")).select("id"))
 register("s04_get_many", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (1, 2, 3, 5, 8, -1)")(lambda spark, d: engine(spark, d).get_many([1, 2, 3, 5, 8, -1], kind("order")).select("id"))
 register("s05_authorized_get", "SELECT c_custkey AS id FROM customer WHERE c_custkey = 42 AND c_acctbal > -10000")(lambda spark, d: engine(spark, d).get_by_id(42, kind("customer"), {"properties": {"data": props(c_acctbal={"exclusiveMinimum": -10000})}}).select("id"))
-register("s09_insert", "SELECT slug, count(*) AS n FROM (SELECT 'nation-' || n_nationkey AS slug FROM nation UNION ALL SELECT 'nation-' || (n_nationkey + 100) FROM nation) GROUP BY 1")(
-    lambda spark, d: store.insert(load(spark, d, "nation").select("id", "slug", "version"), load(spark, d, "nation").select((F.col("id") + 100).alias("id"), F.concat(F.lit("nation-"), (F.col("id") + 100).cast("string")).alias("slug"), "version")).groupBy("slug").agg(F.count("*").alias("n"))
+register("s06_authorized_get_by_slug", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey = 42 AND c_nationkey >= 0")(
+    lambda spark, d: engine(spark, d).get_by_slug("customer-42@latest", kind("customer"), {"properties": {"data": props(c_nationkey={"minimum": 0})}}).select("id", "name")
 )
+register("s09_insert", "SELECT n_nationkey AS id, 'nation-' || n_nationkey AS slug, '1.0.0' AS version, n_name AS name FROM nation UNION ALL SELECT n_nationkey + 100, 'nation-' || (n_nationkey + 100), '1.0.0', 'new' FROM nation")(
+    lambda spark, d: store.insert(*insertion(spark, d))
+)
+
+
+def insertion(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    now = load(spark, d, "nation").select("id", "slug", "version", "name")
+    return now, now.select((F.col("id") + 100).alias("id"), F.concat(F.lit("nation-"), (F.col("id") + 100).cast("string")).alias("slug"), "version", F.lit("new").alias("name"))
+
+
 register("s10_replace", "SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN 'new' ELSE c_name END AS name, c_custkey % 10 = 0 AS updated FROM customer")(
     lambda spark, d: store.replace(*replacement(spark, d), "2024-01-01").select("id", "name", F.col("updated_at").isNotNull().alias("updated"))
 )
@@ -360,15 +371,27 @@ def link_documents(spark: SparkSession, d: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.lit("placed").alias("name"), (F.col("o_orderstatus") != "F").alias("active"), F.col("o_orderdate").alias("created_at"), data.alias("data"))
 
 
-register("s11_edges", "SELECT forward, name, count(*) AS n, min(from_id) AS lo, max(to_id) AS hi FROM (SELECT TRUE AS forward, 'placed' AS name, o_custkey AS from_id, o_orderkey + 1000000000 AS to_id FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT FALSE, 'was placed by', o_orderkey + 1000000000, o_custkey FROM orders WHERE o_orderstatus <> 'F') GROUP BY 1, 2")(
-    lambda spark, d: links.edges_of(link_documents(spark, d)).groupBy("forward", "name").agg(F.count("*").alias("n"), F.min("from_id").alias("lo"), F.max("to_id").alias("hi"))
+register("s11_edges", "SELECT o_orderkey AS link_id, TRUE AS forward, o_custkey AS from_id, 'placed' AS name, o_orderkey + 1000000000 AS to_id, o_orderdate AS created_at FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, FALSE, o_orderkey + 1000000000, 'was placed by', o_custkey, o_orderdate FROM orders WHERE o_orderstatus <> 'F'")(
+    lambda spark, d: links.edges_of(link_documents(spark, d))
 )
 register("s12_linked_at", "SELECT o_custkey AS id, min(o_orderdate) AS placed FROM orders GROUP BY 1")(lambda spark, d: links.linked_at(link_documents(spark, d)).where("id < 1000000000").select("id", F.col("linked_at")["placed"].alias("placed")))
-register("s13_derived_documents", "SELECT k AS kind, count(*) AS n FROM (SELECT 'user-settings' AS k FROM customer UNION ALL SELECT 'authentication-password' FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'authentication-oauth' FROM customer WHERE c_custkey % 5 = 0) GROUP BY 1")(
-    lambda spark, d: store.derived_from_users(load(spark, d, "customer").withColumn("data", F.struct(F.when(F.col("id") % 3 == 0, "$2b$x").otherwise("PASSWORDLESS").alias("hash"), F.when(F.col("id") % 5 == 0, F.struct(F.lit("t").alias("token"))).alias("oauth")))).groupBy("kind").agg(F.count("*").alias("n"))
-)
-register("s15_soft_delete", "SELECT active, count(*) AS n FROM (SELECT c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000) AS active FROM customer) GROUP BY 1")(
-    lambda spark, d: store.deactivate(load(spark, d, "customer").select("id", "active"), spark.read.parquet(f"{d}/orders.parquet").where("o_totalprice > 450000").select(F.col("o_custkey").alias("id"))).groupBy("active").agg(F.count("*").alias("n"))
+DERIVED_SQL = """WITH u AS (SELECT c_custkey, 'customer-' || c_custkey AS slug FROM customer),
+k AS (SELECT c_custkey, 'user-settings-' || slug AS slug, 'user-settings@1.0.0' AS type, 'has settings' AS verb, 'are settings for' AS inverse, NULL AS hash FROM u
+  UNION ALL SELECT c_custkey, 'authentication-password-' || slug, 'authentication-password@1.0.0', 'is authenticated with', 'authenticates', '$2b$x' FROM u WHERE c_custkey % 3 = 0
+  UNION ALL SELECT c_custkey, 'authentication-oauth-' || slug, 'authentication-oauth@1.0.0', 'is authenticated with', 'authenticates', NULL FROM u WHERE c_custkey % 5 = 0)
+SELECT sha256(slug) AS id, slug, type, NULL::VARCHAR AS name, hash, NULL::VARCHAR AS inverse, NULL::VARCHAR AS from_id, NULL::VARCHAR AS to_id FROM k
+UNION ALL SELECT sha256('link-' || slug), 'link-' || slug, 'link@1.0.0', verb, NULL, inverse, c_custkey::VARCHAR, sha256(slug) FROM k"""
+
+
+@register("s13_derived_documents", DERIVED_SQL)
+def derived(spark: SparkSession, d: str) -> DataFrame:
+    users = load(spark, d, "customer").withColumn("data", F.struct(F.when(F.col("id") % 3 == 0, "$2b$x").otherwise("PASSWORDLESS").alias("hash"), F.when(F.col("id") % 5 == 0, F.struct(F.lit("t").alias("token"))).alias("oauth")))
+    get = lambda path: F.try_variant_get("data", path, "string")
+    return store.derived_documents(users).select("id", "slug", "type", "name", get("$.hash").alias("hash"), get("$.inverseName").alias("inverse"), get("$.from.id").alias("from_id"), get("$.to.id").alias("to_id"))
+
+
+register("s15_soft_delete", "SELECT c_custkey AS id, c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000) AS active FROM customer")(
+    lambda spark, d: store.deactivate(load(spark, d, "customer").select("id", "active"), spark.read.parquet(f"{d}/orders.parquet").where("o_totalprice > 450000").select(F.col("o_custkey").alias("id")))
 )
 
 # Views and authorization.
@@ -415,11 +438,12 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
     return changes.compare(before, after)
 
 
-register("r04_prefiltered_changes", "SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'delete' WHEN event_id % 3 = 0 AND value >= 50 THEN 'update' WHEN event_id % 3 = 0 THEN 'unmatch' WHEN value >= 50 THEN 'insert' END AS event FROM events WHERE event_type IN ('click', 'error') AND NOT (event_type = 'error' AND event_id % 3 <> 0) AND NOT (event_type = 'click' AND event_id % 3 <> 0 AND (value < 50 OR value IS NULL))")(
-    lambda spark, d: spark.read.parquet(f"{d}/events.parquet").where(F.col("event_type").isin("click", "error"))
-    .select(F.col("event_id").alias("id"), changes.classified(F.col("event_id") % 3 == 0, F.coalesce(F.col("value") >= 50, F.lit(False)), F.when(F.col("event_type") == "error", "delete").otherwise("insert")).alias("event"))
-    .where("event IS NOT NULL")
-)
+@register("r04_prefiltered_changes", "SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'delete' WHEN event_id % 3 = 0 AND value >= 50 THEN 'update' WHEN event_id % 3 = 0 THEN 'unmatch' WHEN value >= 50 THEN 'insert' END AS event FROM events WHERE event_type IN ('click', 'error') AND NOT (event_type = 'error' AND event_id % 3 <> 0) AND NOT (event_type = 'click' AND event_id % 3 <> 0 AND (value < 50 OR value IS NULL))")
+def prefiltered_changes(spark: SparkSession, d: str) -> DataFrame:
+    log = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), "value", F.concat("event_type", F.lit("@1.0.0")).alias("type"))
+    found = changes.prefiltered(log, {"properties": {"type": {"enum": ["click@1.0.0", "error@1.0.0"]}, "data": props(value={"minimum": 50})}})
+    event = changes.classified(F.col("id") % 3 == 0, F.coalesce(F.col("value") >= 50, F.lit(False)), F.when(F.col("type") == "error@1.0.0", "delete").otherwise("insert"))
+    return found.select("id", event.alias("event")).where("event IS NOT NULL")
 
 
 # Layout.
@@ -431,12 +455,88 @@ register("d03_stored_lexemes", "SELECT doc_id FROM documents WHERE regexp_matche
 register("d01_version_parts", f"SELECT p_partkey AS id, p_size % 3 AS major, (p_partkey % 11)::INT AS minor, CASE p_partkey % 4 WHEN 0 THEN 'beta' WHEN 1 THEN 'alpha' ELSE '' END AS prerelease FROM part")(
     lambda spark, d: versions(spark, d).query(of("part"), limit=None).select("id", *(part(F.col("version"), p).alias(p) for p in ("major", "minor", "prerelease")))
 )
+register("d01_types_apart", "SELECT 'customer-' || c_custkey AS slug, c_acctbal AS balance FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT 'supplier-' || s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 5000")(
+    lambda spark, d: stored_types(spark, d).where(F.col("type").isin(kind("customer"), kind("supplier")) & (F.col("data.balance") > 5000)).select("slug", "data.balance")
+)
+register("d02_indexed_path", "SELECT 'customer-' || c_custkey AS slug FROM customer WHERE c_acctbal BETWEEN 100 AND 900")(
+    lambda spark, d: stored_types(spark, d).where((F.col("type") == kind("customer")) & F.col("data.balance").between(100, 900)).select("slug")
+)
+register("d04_stored_edges", "SELECT n_nationkey AS id, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")(
+    lambda spark, d: stored_edges(spark, d).join(load(spark, d, "nation").select("id"), F.col("from_id") == F.col("id")).where("name = 'hosts'").groupBy("id").agg(F.count("*").alias("n"))
+)
+
+
+def stored_types(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and suppliers in one table, partitioned by type and sorted by balance."""
+    each = [load(spark, d, t).select("id", "slug", "type", F.struct(F.col(f"data.{c}").alias("balance")).alias("data")) for t, c in (("customer", "c_acctbal"), ("supplier", "s_acctbal"))]
+    path = f"{layout.scratch(spark, 'types')}/contracts"
+    layout.write_contracts(each[0].unionByName(each[1]), path, ["data.balance"])
+    return spark.read.parquet(path)
+
+
+def stored_edges(spark: SparkSession, d: str) -> DataFrame:
+    path = layout.scratch(spark, "edges")
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    layout.write_edges(edge_engine(spark, d).edges, table, 8, f"{path}/edges")
+    return spark.table(table)
+
+
+# Whole numbers that share a double, and formats.
+
+LARGE = 1 << 53
+
+
+def large(name: str, keyword: dict, where: str) -> None:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        text = F.concat(F.lit('{"n":'), (F.col("event_id") % 3 + LARGE).cast("string"), F.lit("}"))
+        table = contract(spark.read.parquet(f"{d}/events.parquet").select("event_id"), "large", F.col("event_id"), data=F.parse_json(text))
+        return Engine(spark, {kind("large"): table}).query(of("large", props(n=keyword)), limit=None).select("id")
+
+    register(name, f"SELECT event_id AS id FROM events WHERE {where}")(query)
+
+
+large("k04_const_large", {"const": LARGE + 1}, "event_id % 3 = 1")
+large("k05_enum_large", {"enum": [LARGE + 1, LARGE + 2, "x"]}, "event_id % 3 IN (1, 2)")
+large("k06_minimum_maximum_large", {"minimum": LARGE + 1, "maximum": LARGE + 1}, "event_id % 3 = 1")
+large("k07_exclusive_limits_large", {"exclusiveMinimum": LARGE, "exclusiveMaximum": LARGE + 2}, "event_id % 3 = 1")
+
+#: By format, texts that are of it and texts that are not.
+FORMAT_TEXTS = {
+    "date-time": (["2024-02-29T12:00:00Z", "2024-01-02 03:04:05.678+01:00"], ["2024-13-01T00:00:00Z", "2024-01-02"]),
+    "date": (["2024-02-29"], ["2024-2-9", "2024-02-32"]),
+    "time": (["12:00:00Z", "23:59:60.5+01:00"], ["24:00:00Z", "1:2:3"]),
+    "email": (["a.b+c@example.org"], ["a@", "@b", "a b@c"]),
+    "hostname": (["example.org", "a-b.c"], ["-a.b", "a..b"]),
+    "ipv4": (["0.0.0.0", "255.1.20.3"], ["256.1.1.1", "1.2.3"]),
+    "ipv6": (["::1", "2001:db8::8a2e:370:7334", "::ffff:1.2.3.4"], ["1::2::3", "12345::"]),
+    "uri-reference": (["/a/b?c#d", "http://x.y"], ["a b", "\\"]),
+    "uri-template": (["/a/{b}{?c,d:3,e*}", "{+x.y}"], ["/a/{b", "{?c,}"]),
+    "json-pointer": (["", "/a~0b/c~1d"], ["a", "/~2"]),
+    "uuid": (["6ba7b810-9dad-4bd1-80b4-00c04fd430c8"], ["6ba7b810-9dad-11d1-80b4-00c04fd430c8"]),
+}
+
+
+def _format_rows() -> str:
+    """Texts that are of their format, as SQL."""
+    rows = [(f, t) for f, (good, _) in FORMAT_TEXTS.items() for t in good]
+    return "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(f, t.replace("'", "''")) for f, t in rows) + ") v(format, text)"
+
+
+@register("k12_formats", _format_rows())
+def formats(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for f, (good, bad) in FORMAT_TEXTS.items():
+        table = spark.createDataFrame([(i, t) for i, t in enumerate([*good, *bad])], "n long, text string")
+        e = Engine(spark, {kind("text"): contract(table, "text", F.col("n"), data=F.struct("text"))})
+        found = e.query(of("text", props(text={"format": f})), limit=None).select(F.lit(f).alias("format"), "data.text")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @lru_cache(maxsize=1)
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | live.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | live.SQL

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import lexemes
@@ -16,9 +19,27 @@ def write_contracts(df: DataFrame, path: str, indexed: list[str] = (), files_per
     df.repartition("type", salt).sortWithinPartitions("type", *keys).write.partitionBy("type").mode("overwrite").parquet(path)
 
 
-def write_edges(edges: DataFrame, table: str, buckets: int) -> None:
+def write_edges(edges: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
     """Bucketed and sorted by from_id: joins along edges need no shuffle of this side."""
-    edges.write.bucketBy(buckets, "from_id").sortBy("from_id", "name").mode("overwrite").saveAsTable(table)
+    writer = edges.write.bucketBy(buckets, "from_id").sortBy("from_id", "name").mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all nodes share, below spark.checkpoint.dir (a temporary one where that is unset in local mode)."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    # It goes when the driver ends.
+    fs.deleteOnExit(folder)
+    return path
 
 
 def with_lexemes(df: DataFrame, text: str, column: str = "lexemes") -> DataFrame:
