@@ -6,11 +6,13 @@ A pair of similarity s meets in some table unless one whole collection fails: 1
 and 15 that is 0.0005 at s = 0.75 and 0.00004 at 0.8.  Documents with the same shingle set are one node throughout.
 
 Candidates never come as all pairs of a bucket.  First each bucket's members are compared with its smallest node; verified
-links are contracted to components.  Buckets of three or more that still hold several components are split into blocks,
-and tasks compare the signatures of block against block, skipping what is connected, each pair in one bucket only.  Members
-with a likely partner meet once more with their shingle sets, and tasks give the links that tie components together.  Pairs
-are likely if their signatures agree on more than `least_agreement` of the minhashes (0.58: 3.7 standard deviations below
-0.75).  Every link is verified on the full shingle sets.
+links are contracted to components.  Nodes of buckets of three or more, which that may not have settled, meet again in the
+hash groups of the first collection: 15 rows a node instead of up to 225, and a pair counts only if it shares a tensored key.
+A group that still holds several components is dealt into blocks: members of its largest component, which need not meet
+each other, lie in one block each, the others go to all of these and meet among themselves.  Tasks compare signatures of block
+and block, each pair in one group only.  Members with a likely partner meet once more with their shingle sets, and tasks
+give the links that tie components together.  Pairs are likely if their signatures agree on more than `least_agreement` of
+the minhashes (0.58: 3.7 standard deviations below 0.75).  Every link is verified on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -76,27 +78,28 @@ def set_id(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def table_bits(tables: int) -> int:
-    return (tables - 1).bit_length()
-
-
 def buckets(nodes: DataFrame, rows: int, tables: int) -> DataFrame:
-    """(bucket, node): a row for each table in which a node can meet another; the lowest bits of a bucket name its table.
+    """(bucket, node): a row for each table in which a node can meet another.
 
     A key of the tensored tables is shared only where both its factors are, so factors that one node alone has are
     dropped before the factors are combined.
     """
-    bits = table_bits(tables)
-    numbered = lambda h, width, n: h.bitwiseAND(F.lit(-1 << width)).bitwiseOR(n)
-    group = lambda side, i: numbered(F.xxhash64(F.lit(side), F.lit(i), *(F.col("signature")[side * tables * rows + i * rows + r] for r in range(rows))), bits, F.lit(i))
-    each = F.array(*(F.struct(F.lit(side == 1).alias("second"), group(side, i).alias("factor")) for side in (0, 1) for i in range(tables)))
+    each = F.array(*(F.struct(F.lit(side == 1).alias("second"), group_hash(side, i, rows, tables).alias("factor")) for side in (0, 1) for i in range(tables)))
     factors = nodes.select("node", F.explode(each).alias("f")).select("node", "f.*")
-    shared = factors.groupBy("second", "factor").agg(F.count("*").alias("n")).where("n > 1").select("second", "factor")
-    met = factors.join(shared, ["second", "factor"], "left_semi").groupBy("node").agg(F.collect_set(F.when(~F.col("second"), F.col("factor"))).alias("a"), F.collect_set(F.when(F.col("second"), F.col("factor"))).alias("b"))
+    shared = factors.groupBy("factor").agg(F.count("*").alias("n")).where("n > 1").select("factor")
+    met = factors.join(shared, "factor", "left_semi").groupBy("node").agg(F.collect_set(F.when(~F.col("second"), F.col("factor"))).alias("a"), F.collect_set(F.when(F.col("second"), F.col("factor"))).alias("b"))
     both = met.select("node", F.explode("a").alias("a"), "b").select("node", "a", F.explode("b").alias("b"))
-    low = F.lit((1 << bits) - 1)
-    table = F.shiftleft(F.col("a").bitwiseAND(low), bits).bitwiseOR(F.col("b").bitwiseAND(low))
-    return both.select(numbered(F.xxhash64("a", "b"), 2 * bits, table).alias("bucket"), "node")
+    return both.select(F.xxhash64("a", "b").alias("bucket"), "node")
+
+
+def group_hash(side: int, i: int, rows: int, tables: int) -> F.Column:
+    return F.xxhash64(F.lit(side), F.lit(i), *(F.col("signature")[side * tables * rows + i * rows + r] for r in range(rows)))
+
+
+def first_groups(members: DataFrame, rows: int, tables: int) -> DataFrame:
+    """(bucket, table, node, component): a row for each hash group of the first collection."""
+    each = F.array(*(F.struct(F.lit(i).alias("table"), group_hash(0, i, rows, tables).alias("bucket")) for i in range(tables)))
+    return members.select("node", "component", F.explode(each).alias("g")).select("g.bucket", "g.table", "node", "component")
 
 
 def agreement(x, y) -> F.Column:
@@ -146,21 +149,36 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def dealt(members: DataFrame, block: int) -> DataFrame:
-    """members (bucket, node, component) with lo, hi, own: n members of a bucket are dealt into n / block blocks by node hash,
-    and block meets block in groups of their own, so no group holds more than about two blocks."""
-    sized = members.join(members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "bucket")
-    own = F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int")
-    each = sized.withColumn("own", own).select("bucket", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return each.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component")
+    """Rows of members (bucket, table, node, component) in buckets of several components, with lo, hi, own: the groups that they
+    are compared in.
+
+    Members of the largest component are dealt into blocks -1, -2, ..., the others into blocks 0, 1, ..., by node hash.  A
+    group (lo, hi) is one of the others' blocks with one block of either kind, so it holds no more than about two blocks, and
+    the largest component is copied only as often as there are blocks of others.  members must be stored.
+    """
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all")).where(F.col("all") > F.col("most.n"))
+    count = lambda n: F.ceil(n / block).cast("int")
+    split = largest.select("bucket", F.col("most.component").alias("major"), count(F.col("most.n")).alias("majors"), count(F.col("all") - F.col("most.n")).alias("minors"))
+    mixed = joined(members, split, "bucket", nulls=False).where("major IS NOT NULL")
+    hashed = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), n).cast("int")
+    minor = F.col("component") != F.col("major")
+    own = F.when(minor, hashed("minors")).otherwise(-1 - hashed("majors"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    with_majors = F.transform(upto("majors"), lambda j: pair(F.col("own"), -1 - j))
+    among = F.transform(upto("minors"), lambda i: pair(F.least("own", i), F.greatest("own", i)))
+    groups = F.when(minor, F.concat(with_majors, among)).otherwise(F.transform(upto("minors"), lambda i: pair(i, F.col("own"))))
+    return mixed.withColumn("own", own).select("bucket", F.explode(groups).alias("g"), "own", "table", "node", "component").select("bucket", "g.lo", "g.hi", "own", "table", "node", "component")
 
 
 def candidates(own, c, s, table: int, across: bool, least: float, rows: int, tables: int):
-    """(i, others) of one group: members of different components whose signatures agree often enough and for which this
-    group's table is the first that they share in either collection.  Each pair comes once."""
+    """(i, others) of one group: members of different components whose signatures agree often enough, that share a table key,
+    and for which this group of the first collection is the first that they share.  Each pair comes once."""
     names, sizes = np.unique(c, return_counts=True)
     if len(names) < 2:
         return
-    largest, at, bits = names[sizes.argmax()], np.arange(len(c)), table_bits(tables)
+    largest, at = names[sizes.argmax()], np.arange(len(c))
     for i in np.flatnonzero(c != largest):
         same = s == s[i]
         # Pairs with the largest component, and each other pair once.
@@ -170,14 +188,13 @@ def candidates(own, c, s, table: int, across: bool, least: float, rows: int, tab
         where = np.flatnonzero(other)
         if len(where):
             groups = same[where].reshape(len(where), 2, tables, rows).all(3)
-            where = where[groups.any(2).all(1) & ((groups[:, 0].argmax(1) << bits) + groups[:, 1].argmax(1) == table)]
+            where = where[(groups[:, 0].argmax(1) == table) & groups[:, 0, table] & groups[:, 1].any(1)]
             if len(where):
                 yield i, where
 
 
-def group_arrays(t: pa.Table, width: int, tables: int) -> list[np.ndarray]:
-    table = t.column("bucket").to_numpy() & ((1 << 2 * table_bits(tables)) - 1)
-    return [*(t.column(x).to_numpy() for x in ("lo", "hi", "own")), table, t.column("component").to_numpy(), t.column("signature").chunk(0).flatten().to_numpy().reshape(t.num_rows, width)]
+def group_arrays(t: pa.Table, width: int) -> list[np.ndarray]:
+    return [*(t.column(x).to_numpy() for x in ("lo", "hi", "own", "table", "component")), t.column("signature").chunk(0).flatten().to_numpy().reshape(t.num_rows, width)]
 
 
 def unlike(members: DataFrame, least: float, rows: int = ROWS, tables: int = TABLES) -> DataFrame:
@@ -185,7 +202,7 @@ def unlike(members: DataFrame, least: float, rows: int = ROWS, tables: int = TAB
     names = [c for c in members.columns if c != "signature"]
 
     def find(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        lo, hi, own, table, c, s = group_arrays(t, 2 * tables * rows, tables)
+        lo, hi, own, table, c, s = group_arrays(t, 2 * tables * rows)
         hit = np.zeros(t.num_rows, bool)
         for a, e in zip(edges[:-1], edges[1:], strict=True):
             if e - a > 1:
@@ -203,7 +220,7 @@ def links_within(members: DataFrame, least: float, percent: int, rows: int = ROW
     """
 
     def find(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        lo, hi, own, table, c, s = group_arrays(t, 2 * tables * rows, tables)
+        lo, hi, own, table, c, s = group_arrays(t, 2 * tables * rows)
         n, sets, out = t.column("node").to_numpy(), t.column("shingles").chunk(0), []
         of = lambda i: np.frombuffer(sets[int(i)].as_buffer(), np.uint64)
         for a, e in zip(edges[:-1], edges[1:], strict=True):
@@ -241,13 +258,12 @@ def judged(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, rows
     sets = cut_and_free(shingle_sets(wanted.join(nodes.select("node", "first.*"), "node"), df, id_col, text_col, k))
     links = verified(stars, sets, percent)
 
-    # A pair that is alone in its bucket has been compared; buckets of several go on, block against block.
+    # A pair that is alone in its bucket has been compared; nodes of buckets of several go on.
     crowd = shared.where("several")
-    members = crowd.select("bucket", "node").unionByName(crowd.select("bucket", F.col("hub").alias("node")).distinct())
-    tied = components(links, "x", "y")
-    near = cut_and_free(members.join(tied, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
-    mixed = near.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    rest = cut_and_free(unlike(dealt(near.join(mixed, "bucket", "left_semi"), BLOCK).join(signed, "node"), least_agreement, rows, tables))
+    again = crowd.select("node").unionByName(crowd.select(F.col("hub").alias("node"))).distinct()
+    left = again.join(components(links, "x", "y"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    near = cut_and_free(first_groups(left.join(signed, "node"), rows, tables))
+    rest = cut_and_free(unlike(dealt(near, BLOCK).join(signed, "node"), least_agreement, rows, tables))
     more = cut_and_free(links_within(rest.join(signed, "node").join(sets, "node"), least_agreement, percent, rows, tables))
 
     final = components(links.unionByName(more), "x", "y")

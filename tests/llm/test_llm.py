@@ -123,25 +123,37 @@ def test_minhash_near_dedup(spark, corpus, block, monkeypatch):
 
 
 def test_mixed_buckets_find_links_away_from_the_hub(spark):
-    """2 - 3 is a likely pair of different components; it comes in the first bucket that it shares, whatever the blocks."""
+    """2 - 3 is a likely pair of different components; it comes in the first group that it shares, whatever the blocks."""
     sig = lambda seed: np.random.default_rng(seed).integers(0, 10**6, 90).tolist()
     a, b = sig(1), sig(2)
     c = b[:]
-    c[0:3], c[45:48] = sig(3)[0:3], sig(4)[0:3]
-    full = {1: np.arange(10, 20), 2: np.arange(100), 3: np.arange(5, 101)}
-    # The first tables that 2 and 3 share are number 1 of both collections.
-    rows = [((t << 8) + (x << 4) + y, i, i, s, full[i].astype(np.uint64).tobytes()) for t, x, y in ((5, 0, 0), (6, 1, 1), (7, 1, 2)) for i, s in ((1, a), (2, b), (3, c))]
-    members = spark.createDataFrame(rows, "bucket long, node long, component long, signature array<int>, shingles binary")
+    c[0:3] = sig(3)[0:3]
+    full = {1: np.arange(10, 20), 2: np.arange(100), 3: np.arange(5, 101), 4: np.arange(10, 21)}
+    rows = [(t, t, i, min(i, 3) if i != 4 else 1, s, full[i].astype(np.uint64).tobytes()) for t in (1, 2) for i, s in ((1, a), (2, b), (3, c), (4, a))]
+    members = spark.createDataFrame(rows, "bucket long, table int, node long, component long, signature array<int>, shingles binary")
     held = members.select("bucket", "node", "signature", "shingles")
     for block in (512, 1):
-        given = minhash_dedup.dealt(members.select("bucket", "node", "component"), block).join(held, ["bucket", "node"])
+        given = minhash_dedup.dealt(members.select("bucket", "table", "node", "component"), block).join(held, ["bucket", "node"])
         found = minhash_dedup.unlike(given.drop("shingles"), 0.5)
-        assert {(r.bucket >> 8, r.node) for r in found.collect()} == {(6, 2), (6, 3)}
+        assert {(r.table, r.node) for r in found.collect()} == {(1, 2), (1, 3)}
         again = found.join(held, ["bucket", "node"])
         assert [tuple(r) for r in minhash_dedup.links_within(again, 0.5, 75).collect()] == [(2, 3)]
         assert minhash_dedup.links_within(again, 0.5, 99).count() == 0
-    one = minhash_dedup.dealt(members.select("bucket", "node", F.lit(0).cast("long").alias("component")), 512).join(held, ["bucket", "node"])
-    assert minhash_dedup.unlike(one.drop("shingles"), 0.5).count() == 0
+    assert minhash_dedup.dealt(members.select("bucket", "table", "node", F.lit(0).cast("long").alias("component")), 512).count() == 0
+
+
+def test_every_pair_of_different_components_meets_once(spark):
+    """In blocks of any size; those of the largest component do not meet each other."""
+    r = random.Random(2)
+    component = {i: 0 if i < 40 else r.randint(1, 4) for i in range(60)}
+    members = spark.createDataFrame([(9, 0, i, c) for i, c in component.items()] + [(8, 0, i, 5) for i in range(7)], "bucket long, table int, node long, component long")
+    for block in (512, 7, 1):
+        groups = defaultdict(list)
+        for x in minhash_dedup.dealt(members, block).collect():
+            groups[x.bucket, x.lo, x.hi].append(x)
+        assert {b for b, *_ in groups} == {9}
+        met = Counter(tuple(sorted((x.node, y.node))) for (_, lo, hi), g in groups.items() for x in g for y in g if x.node < y.node and component[x.node] != component[y.node] and (lo == hi or x.own != y.own))
+        assert set(met) == {(i, j) for i in range(60) for j in range(i + 1, 60) if component[i] != component[j]} and set(met.values()) == {1}
 
 
 def test_components(spark):
