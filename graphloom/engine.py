@@ -258,9 +258,11 @@ class Engine:
         schema = {"type": "object", "required": ["id"], "properties": {"id": {"const": id_}, **({"type": {"const": kind}} if kind else {})}}
         return self.query(schema, limit=1, permission=permission)
 
-    def get_many(self, ids: list, kind: str | None = None) -> DataFrame:
-        """Documents with these ids; missing ones are left out, and no ids give no rows."""
+    def get_many(self, ids: list | DataFrame, kind: str | None = None) -> DataFrame:
+        """Documents with these ids, few in a list or any number in a column id; missing ones are left out, and no ids give no rows."""
         df, _ = self.source({kind} if kind else None)
+        if isinstance(ids, DataFrame):
+            return among(df, ids)
         return df.where(F.col("id").isin(ids)) if ids else df.where(F.lit(False))
 
     def get_by_slug(self, versioned: str, kind: str | None = None, permission: Any = None) -> DataFrame:

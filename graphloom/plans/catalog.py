@@ -339,6 +339,9 @@ register("s03_get_by_slug", f"SELECT p_partkey AS id FROM part WHERE p_partkey %
 )
 register("s03_get_by_exact_slug", "SELECT c_custkey AS id FROM customer WHERE c_custkey = 7")(lambda spark, d: engine(spark, d).get_by_slug("customer-7@1.0.0", kind("customer")).select("id"))
 register("s04_get_many", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (1, 2, 3, 5, 8, -1)")(lambda spark, d: engine(spark, d).get_many([1, 2, 3, 5, 8, -1], kind("order")).select("id"))
+register("s04_get_many_from_table", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")(
+    lambda spark, d: engine(spark, d).get_many(spark.read.parquet(f"{d}/orders.parquet").where("o_totalprice > 400000").select(F.col("o_custkey").alias("id")), kind("customer")).select("id", "name")
+)
 register("s05_authorized_get", "SELECT c_custkey AS id FROM customer WHERE c_custkey = 42 AND c_acctbal > -10000")(lambda spark, d: engine(spark, d).get_by_id(42, kind("customer"), {"properties": {"data": props(c_acctbal={"exclusiveMinimum": -10000})}}).select("id"))
 register("s06_authorized_get_by_slug", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey = 42 AND c_nationkey >= 0")(
     lambda spark, d: engine(spark, d).get_by_slug("customer-42@latest", kind("customer"), {"properties": {"data": props(c_nationkey={"minimum": 0})}}).select("id", "name")
