@@ -22,11 +22,14 @@ from .plans.schema import Schema, contract_types, links_of, parse, without_manda
 from .plans.selection import render, selection
 
 MOST = 1000
+#: A column of stored stems by path, for full-text searches; no part of the documents.
+STEMS = "__stems"
 
 
 def root_of(df: DataFrame) -> Typed:
     """The document as a whole: always there, its fields the columns."""
-    root = Typed(None, df.schema)
+    stored = {n: F.col(STEMS).getField(n) for n in df.schema[STEMS].dataType.names} if STEMS in df.columns else {}
+    root = Typed(None, df.schema, stems=stored)
     root.exists = root.present = lambda: True
     return root
 
@@ -144,9 +147,11 @@ class Engine:
     def projection(self, df: DataFrame, kind: str | None, schema: Schema) -> list[Column]:
         root, fields = self._fields(df, kind, schema)
         if fields.whole is True:
-            return [F.col(f"`{c}`") for c in df.columns]
+            return [F.col(f"`{c}`") for c in df.columns if c != STEMS]
         out = []
         for name in df.columns:
+            if name == STEMS:
+                continue
             sub = fields.below.get(name)
             found = render(sub, root.field(name)) if sub else None
             if found is not None:

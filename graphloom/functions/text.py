@@ -121,6 +121,12 @@ def finder(wanted: set[str]) -> re.Pattern:
     return re.compile(rf"(?<![^\W_])(?:{'|'.join(heads)})[^\W_]*", re.IGNORECASE)
 
 
+def stored_match(stems: Column, term: str) -> Column | bool:
+    """matches() on stored stems, without Python."""
+    wanted = sorted(lexemes(term))
+    return F.size(F.array_except(F.array(*map(F.lit, wanted)), stems)) == 0 if wanted else False
+
+
 def matches(text: Column, term: str, is_json: bool = False) -> Column | bool:
     """Whether text holds every lexeme of term; a term without lexemes matches nothing.
 

@@ -27,8 +27,14 @@ def _literal(x) -> Column:
 class Typed:
     """A column of a known type; null means that the property is missing (in an array: JSON null)."""
 
-    def __init__(self, column: Column | None, kind: T.DataType, element: bool = False):
+    def __init__(self, column: Column | None, kind: T.DataType, element: bool = False, path: tuple[str, ...] = (), stems: dict[str, Column] | None = None):
         self.column, self.kind, self.element = column, kind, element
+        #: Names from the document's root on, and the stored stems of texts by their names joined by dots.
+        self.path, self.stored = path, stems or {}
+
+    def stems(self) -> Column | None:
+        """Stored stems of this text, if there are any."""
+        return self.stored.get(".".join(self.path)) if self.path and not self.element else None
 
     # What it is.
 
@@ -76,7 +82,10 @@ class Typed:
             if name not in k.names:
                 return Typed(None, T.NullType())
             inner = self.column.getField(name) if self.column is not None else F.col(f"`{name}`")
-            return value_of(inner, k[name].dataType)
+            found = value_of(inner, k[name].dataType)
+            if isinstance(found, Typed) and not self.element:
+                found.path, found.stored = (*self.path, name), self.stored
+            return found
         if isinstance(k, T.MapType):
             return value_of(F.try_element_at(self.column, F.lit(name)), k.valueType)
         return Typed(None, T.NullType())

@@ -112,6 +112,8 @@ class Compiler:
     def _fullTextSearch(self, term, v, s, inside):
         if term is None:
             return True
+        if isinstance(v, Typed) and v.stems() is not None:
+            return text.stored_match(v.stems(), term)
         body, is_json = v.search_text()
         if inside:  # no Python in lambdas: an element's text is matched outside
             raise NotImplementedError("fullTextSearch inside array elements is taken by contains")

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import lexemes
+from ..engine import STEMS
+from ..functions.predicates import column as column_of
+from ..functions.text import lexemes, stored_match
 
 
 def write_contracts(df: DataFrame, path: str, indexed: list[str] = (), files_per_type: int = 8) -> None:
@@ -52,7 +54,17 @@ def with_lexemes(df: DataFrame, text: str, column: str = "lexemes") -> DataFrame
     return df.withColumn(column, stems(F.col(text)))
 
 
+def with_search(df: DataFrame, *paths: str) -> DataFrame:
+    """Documents with the stems of their texts at paths (like data.text) stored beside them: searches there need no Python.
+
+    The engine reads the column and never gives it back.
+    """
+    out = df
+    for n, path in enumerate(paths):
+        out = with_lexemes(out, path, f"__stems{n}")
+    return out.withColumn(STEMS, F.struct(*(F.col(f"__stems{n}").alias(path) for n, path in enumerate(paths)))).select(*df.columns, STEMS)
+
+
 def holds(column: str, term: str):
     """Whether stored stems hold all of a term's; a term without stems matches nothing."""
-    wanted = sorted(lexemes(term))
-    return F.size(F.array_except(F.array(*map(F.lit, wanted)), F.col(column))) == 0 if wanted else F.lit(False)
+    return column_of(stored_match(F.col(column), term))

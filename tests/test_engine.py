@@ -18,6 +18,7 @@ from graphloom.operators.links import Verb
 from graphloom.operators.validate import valid
 from graphloom.operators.views import view_schema
 from graphloom.plans.schema import parse
+from graphloom.sources import layout
 from graphloom.sources.tables import contract, kind, store_variant
 from graphloom.streaming import changes
 
@@ -474,3 +475,14 @@ def test_bounded_parents_bound_their_linked_documents(spark):
     short, whole = (e.query(schema, limit=n).collect() for n in (1000, None))
     assert [r.id for r in short] == list(range(10)) and sorted(map(str, short)) == sorted(map(str, whole))
     assert [[c.id for c in b.links["has"]] for b in short[3].links["has"]] == [[3, 13, 23, 33, 43]]
+
+
+def test_searches_use_stored_stems(spark, tmp_path):
+    texts = ["The licenses of this version", "license versions", "a licensed thing", None, "", "Version licensing and more"]
+    plain = contract(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "a", F.col("k"))
+    layout.with_search(plain, "data.text").write.parquet(f"{tmp_path}/a")
+    schema = {"properties": {"type": {"const": "a@1.0.0"}, "data": {"required": ["text"], "properties": {"text": {"fullTextSearch": {"term": "license version"}}}}}, "required": ["data"]}
+    want, got = (Engine(spark, {"a@1.0.0": t}).query(schema) for t in (plain, spark.read.parquet(f"{tmp_path}/a")))
+    assert got.columns == want.columns and got.orderBy("id").collect() == want.orderBy("id").collect() and [r.id for r in got.orderBy("id").collect()] == [0, 1, 5]
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (want, got)]
+    assert "ArrowEvalPython" in plans[0] and "ArrowEvalPython" not in plans[1]
