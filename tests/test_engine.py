@@ -486,3 +486,15 @@ def test_searches_use_stored_stems(spark, tmp_path):
     assert got.columns == want.columns and got.orderBy("id").collect() == want.orderBy("id").collect() and [r.id for r in got.orderBy("id").collect()] == [0, 1, 5]
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in (want, got)]
     assert "ArrowEvalPython" in plans[0] and "ArrowEvalPython" not in plans[1]
+
+
+def test_eval():
+    context = {"user": {"slug": "user-ann", "data": {"roles": ["a", "b", "c"], "n": 3}}}
+    found = lambda text: authorization.evaluate({"x": {"$eval": text}}, context)["x"]
+    assert found("user.slug") == "user-ann" and found("user.data.roles[1]") == "b" and found("user['slug'] + '-x!&&'") == "user-ann-x!&&"
+    assert found("user.data.roles[1:]") == ["b", "c"] and found("[1, -2, true, null]") == [1, -2, True, None]
+    assert found("'a' in user.data.roles && !(user.data.n < 3)") is True and found("user.data.n * 2 == 6 || false") is True and found("user.data.n != 3") is False
+    assert authorization.evaluate({"$id": "x", "enum": [{"$eval": "user.data.n"}]}, context) == {"enum": [3]}
+    for bad in ("f(user)", "user.", "lambda: 1", "user if true else 1"):
+        with pytest.raises(InvalidSchema):
+            found(bad)
