@@ -164,15 +164,15 @@ def cells(vectors: DataFrame, n: int, centres: list[np.ndarray], seeds: range, k
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes.tolist(), pa.list_(pa.int64()))], names=["node", "vector", "component", "codes"])
 
     dealt = cut(vectors.select("node", "vector", "component").mapInArrow(deal, f"{VECTOR}, codes array<long>").select("node", "vector", "component", F.posexplode("codes").alias("seed", "code")))
-    # Few cells are over a block: fewer than there are blocks in all.
-    large = dealt.groupBy("seed", "code").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("seed", "code", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    parts = dealt.join(large, ["seed", "code"], "left").withColumn("block", F.pmod(F.xxhash64("node", "seed"), F.coalesce("blocks", F.lit(1))))
+    cell = dealt.withColumn("cell", F.shiftleft(F.col("code"), 8) + F.col("seed"))
+    large = cell.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("cell", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    parts = joined(cell, large, "cell", nulls=False).withColumn("block", F.pmod(F.xxhash64("node", "seed"), F.coalesce("blocks", F.lit(1))))
 
     def compare(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
         node, component, x = t.column("node").to_numpy(), t.column("component").to_numpy(), matrix(t.column("vector"), np.float32)
         yield from of_groups([top_pairs(node[a:e], component[a:e], x[a:e], k) for a, e in zip(edges[:-1], edges[1:], strict=True) if e - a > 1])
 
-    found = in_groups(parts.select("seed", "code", "block", "node", "vector", "component"), ["seed", "code", "block"], compare, LIST)
+    found = in_groups(parts.select("cell", "block", "node", "vector", "component"), ["cell", "block"], compare, LIST)
     return best(found.withColumn("fresh", F.lit(True)), k)
 
 
