@@ -157,10 +157,10 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         hot = hot_keys(e.select(F.explode(F.array("u", "v")).alias("k")), "k")
         # Every edge's lower end gives way to its own smallest neighbour, if that is lower still.
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        large = joined(e, low.withColumnRenamed("u", "v"), "v", hot).select("u", F.coalesce("m", "v").alias("v")).distinct()
+        large = joined(e, low.withColumnRenamed("u", "v"), "v", hot, nulls=False).select("u", F.coalesce("m", "v").alias("v")).distinct()
         # All lower neighbours of a node, and it, go to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = joined(large, low, "u", hot).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.*")
+        small = joined(large, low, "u", hot, nulls=False).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.*")
         e = cut(small.where("u <> v").distinct())
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 7))")).first()
         if now == before:

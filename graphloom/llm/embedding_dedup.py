@@ -286,7 +286,7 @@ def within(members: DataFrame, threshold: float) -> DataFrame:
     members: node, component, key, weight (the vectors that a key stands for), vector; stored, as they are read twice.
     """
     sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    several = joined(members, sizes, "component").where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    several = joined(members, sizes, "component", nulls=False).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = paired(several, "key", "weight")
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -385,14 +385,14 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     if vectors.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     nodes = cut(vectors.groupBy("key").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("weight"), F.any_value("vector").alias("vector"), F.any_value("small").alias("small")))
-    held = cut(joined(vectors.select("vec_id", "key"), nodes.select("key", "node"), "key").distinct())
+    held = cut(joined(vectors.select("vec_id", "key"), nodes.select("key", "node"), "key", nulls=False).distinct())
     repeated = held.groupBy("vec_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("vec_id", "low")
     tied = cut(held.join(repeated, "vec_id").select(F.col("low").alias("node"), F.col("node").alias("other")))
     labels, _ = neighbour_graph(nodes, threshold, k, None if tied.isEmpty() else tied)
     found = cut(nodes.join(labels, "node").select("node", "key", "weight", "component", "vector"))
     counts = within(found, threshold)
     by_key = found.join(counts, "key", "left").select("key", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component")
-    labelled = joined(held.select("vec_id", "key"), by_key, "key").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component").alias("component"))
+    labelled = joined(held.select("vec_id", "key"), by_key, "key", nulls=False).groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component").alias("component"))
     out = joined(rows.withColumn("linked", F.col("vec_id").cast("long")), labelled.withColumnRenamed("vec_id", "linked"), "linked", [])
     component = F.coalesce("component", F.col("vec_id").cast("long"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -269,7 +269,7 @@ def judged(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, rows
     final = components(links.unionByName(more), "x", "y")
     placed = cut(nodes.select("set_id", "node", F.col("first.doc_id").alias("first")).join(final, "node", "left").select("set_id", "first", F.coalesce("component", "node").alias("component")))
     labels = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_set = joined(placed.select("set_id", "component"), labels, "component")
+    by_set = joined(placed.select("set_id", "component"), labels, "component", nulls=False)
     named = docs.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
     out = joined(named, by_set, "set_id")
     component_id = F.coalesce("component_id", "doc_id")
