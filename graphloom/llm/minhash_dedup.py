@@ -30,7 +30,7 @@ from .common import SHINGLE_WORDS, WordHashes, components, cut, cut_and_free, in
 ROWS, TABLES = 3, 15
 PERCENT = 75
 LEAST_AGREEMENT = 0.58
-BLOCK = 512
+BLOCK = 256
 #: Shingles hashed at a time.
 CHUNK = 2048
 
