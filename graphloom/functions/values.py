@@ -7,6 +7,7 @@ import math
 import operator
 from collections.abc import Callable
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -179,8 +180,12 @@ class Variant:
     def names(self) -> frozenset[str]:
         return frozenset()
 
-    def kind_name(self) -> Column:
-        return F.regexp_extract(F.schema_of_variant(self.column), r"^[A-Z]+", 0)
+    def _of_kind(self, *kinds: str) -> Column:
+        """Whether the value is stored as one of these; DECIMAL, ARRAY and OBJECT have parameters."""
+        own = F.schema_of_variant(self.column)
+        plain = [k for k in kinds if k not in ("DECIMAL", "ARRAY", "OBJECT")]
+        tests = [own.isin(plain) if len(plain) > 1 else own == plain[0]] if plain else []
+        return reduce(lambda a, b: a | b, [*tests, *(own.startswith(k) for k in kinds if k not in plain)])
 
     def exists(self) -> Predicate:
         return self.column.isNotNull()
@@ -191,11 +196,10 @@ class Variant:
     def is_type(self, names: frozenset[str]) -> Predicate:
         kinds = {"array": ("ARRAY",), "boolean": ("BOOLEAN",), "null": ("VOID",), "object": ("OBJECT",), "string": ("STRING",), "number": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")}
         wanted = [k for n in sorted(names) for k in kinds.get(n, ())]
-        own = self.kind_name()
-        test: Predicate = own.isin(wanted) if len(wanted) > 1 else own == wanted[0] if wanted else False
+        test: Predicate = self._of_kind(*wanted) if wanted else False
         if "integer" in names and "number" not in names:
             x = self._read("double")
-            test = any_of(test, own == "BIGINT", own.isin("DOUBLE", "FLOAT") & (x == F.floor(x)), (own == "DECIMAL") & self._decimal_holds(lambda d: d == F.floor(d)))
+            test = any_of(test, self._of_kind("BIGINT"), self._of_kind("DOUBLE", "FLOAT") & (x == F.floor(x)), self._of_kind("DECIMAL") & self._decimal_holds(lambda d: d == F.floor(d)))
         return test
 
     def field(self, name: str) -> Variant:
@@ -232,8 +236,7 @@ class Variant:
         d, near, outer = self.number(), _double(x), {">": ">=", "<": "<="}.get(test, test)
         double = TESTS[test](near, x)  # Python compares whole numbers and doubles exactly
         whole = TESTS[test](self._read("bigint"), F.lit(x)) if isinstance(x, int) and EXACT <= abs(x) < 1 << 63 else F.lit(TESTS[test](near, x))
-        kind = self.kind_name()
-        tie = F.when(kind == "DECIMAL", self._decimal_holds(lambda v: TESTS[test](v, F.lit(Decimal(str(x)))))).when(kind == "BIGINT", whole).otherwise(F.lit(double))
+        tie = F.when(self._of_kind("DECIMAL"), self._decimal_holds(lambda v: TESTS[test](v, F.lit(Decimal(str(x)))))).when(self._of_kind("BIGINT"), whole).otherwise(F.lit(double))
         rest = tie if test == "==" else (d != F.lit(near)) | tie
         return all_of(TESTS[outer](d, F.lit(near)), rest)
 
@@ -274,7 +277,7 @@ class Variant:
         """Object, array, boolean, number, string, null, in descending rank; then by number and by text."""
         rank = F.when(self.column.isNull(), None)
         for n, kinds in enumerate((("VOID",), ("STRING",), ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), ("BOOLEAN",), ("ARRAY",), ("OBJECT",))):
-            rank = rank.when(self.kind_name().isin(*kinds), n)
+            rank = rank.when(self._of_kind(*kinds), n)
         number = F.when(self.is_type(frozenset({"number"})), self.number())
         return [rank, number, F.when(self.column.isNotNull(), self._read("string"))]
 
