@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .errors import NoElement, NoLinkTarget, PermissionsError, SchemaMismatch
+from .functions.merge import merged_maps
 from .operators import patch as patches
 from .operators import store
 from .operators.authorization import authorize, permission
@@ -234,9 +235,7 @@ class Kernel:
         at = linked_at(links).select(F.col("id").alias("__id"), F.col("linked_at").alias("__at"))
         mine = [d["id"] for d in docs]
         now = self.contracts.now().where(~F.col("id").isin(mine)).unionByName(changed)
-        empty = F.create_map().cast("map<string,string>")
-        kept = F.map_zip_with(F.coalesce("linked_at", empty), F.coalesce("__at", empty), lambda k, a, b: F.coalesce(a, b))
-        ends = now.join(at, F.col("id") == F.col("__id")).withColumn("linked_at", kept).select(*changed.columns)
+        ends = now.join(at, F.col("id") == F.col("__id")).withColumn("linked_at", merged_maps(F.col("linked_at"), F.col("__at"))).select(*changed.columns)
         return changed.join(at, F.col("id") == F.col("__id"), "left_anti").unionByName(ends)
 
     def insert(self, doc: dict, actor: dict | None = None) -> dict:

@@ -127,7 +127,8 @@ def test_a_failing_live_query_starts_anew(world, tmp_path):
 
     live = k.live({"required": ["slug"], "properties": {"slug": {"const": "card-bob"}}}, f"{tmp_path}/f", emit)
     live.run(lambda: k.contracts.changes(streaming=True), lambda event, error: heard.append(event), delay=0)
-    assert heard == ["error", "reconnect", "closed"] and {(docs["card-bob"]["id"], "insert")} in seen
+    assert heard == ["error", "reconnect", "closed"]
+    assert [{i for i, event in batch if event in ("insert", "update")} for batch in seen if batch] == [{docs["card-bob"]["id"]}]
     heard.clear()
     bad = k.live({"properties": {"slug": {"const": "card-bob"}}}, f"{tmp_path}/g", lambda df, batch: 1 / 0)
     with pytest.raises(changes.StreamingQueryException):
