@@ -166,7 +166,7 @@ def cells(vectors: DataFrame, n: int, centres: list[np.ndarray], seeds: range, k
     dealt = cut(vectors.select("node", "vector", "component").mapInArrow(deal, f"{VECTOR}, codes array<long>").select("node", "vector", "component", F.posexplode("codes").alias("seed", "code")))
     cell = dealt.withColumn("cell", F.shiftleft(F.col("code"), 8) + F.col("seed"))
     large = cell.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("cell", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    parts = joined(cell, large, "cell", nulls=False).withColumn("block", F.pmod(F.xxhash64("node", "seed"), F.coalesce("blocks", F.lit(1))))
+    parts = cell.join(large, "cell", "left").withColumn("block", F.pmod(F.xxhash64("node", "seed"), F.coalesce("blocks", F.lit(1))))
 
     def compare(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
         node, component, x = t.column("node").to_numpy(), t.column("component").to_numpy(), matrix(t.column("vector"), np.float32)
