@@ -35,6 +35,8 @@ TOGETHER = 64
 #: Keys of giant texts that a task remembers, so as not to cut the same text again.
 KNOWN_KEYS = 100_000
 _CUT = re.compile(f"(?<=[^{SPACE}]){SPACE}")
+#: What the digest has of a piece; see measured().
+MEASURED, MEASURED_SCHEMA = ("right", "n", "hash"), "right boolean, n long, hash long"
 PRIME, BASE = (1 << 31) - 1, 1_000_003
 POWERS = np.array([pow(BASE, i, PRIME) for i in range(1 << 15)], np.int64)
 
@@ -148,8 +150,8 @@ def ids_bytes(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def encode_giants(texts: DataFrame, model_path: str, chunk: int, group: int) -> DataFrame:
-    """(key, part, ids, source) of texts (key, text), by the scan; equal texts count once.
+def encode_giants(texts: DataFrame, model_path: str, chunk: int, group: int, summed: bool = False) -> DataFrame:
+    """(key, part, ids, source) of texts (key, text), by the scan; equal texts count once.  If summed, measured() of them.
 
     source is the SHA-256 of the stretch of text that the ids of a chunk stand for.
     """
@@ -255,7 +257,10 @@ def encode_giants(texts: DataFrame, model_path: str, chunk: int, group: int) ->
                     entry, found = backtrace(model, text, size, np.frombuffer(reach.as_buffer(), np.int64), leave, *k)
                     ids.append(found)
                     sources.append(hashlib.sha256(text[entry : size + leave].replace(SPACE, " ")[part == 0 :].encode("utf-8", "surrogatepass")).digest())
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, pa.binary()), pa.array(sources, pa.binary())], names=["key", "part", "ids", "source"])
+                if summed:
+                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *measured(model, ids, parts, sources)], names=["key", "part", *MEASURED])
+                else:
+                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids, pa.binary()), pa.array(sources, pa.binary())], names=["key", "part", "ids", "source"])
 
     # Dealt by (key, part): the chunks of one text spread over all tasks.
     chunks = cut(texts.mapInArrow(split, "key binary, part long, size long, text string").groupBy("key", "part").agg(*(F.any_value(c).alias(c) for c in ("size", "text"))))
@@ -266,7 +271,7 @@ def encode_giants(texts: DataFrame, model_path: str, chunk: int, group: int) ->
     groups = in_groups(tables.select("key", "g", "part", "table"), ["key", "g"], composed, "key binary, g long, table binary", ["part"])
     leave = in_groups(groups, ["key"], after_groups, "key binary, g long, leave long", ["g"])
     bounds = in_groups(tables.join(leave, ["key", "g"]), ["key", "g"], after_chunks, "key binary, part long, reach binary, exit long", ["part"])
-    return chunks.join(bounds, ["key", "part"]).select("key", "part", "text", "size", "reach", "exit").mapInArrow(trace, "key binary, part long, ids binary, source binary")
+    return chunks.join(bounds, ["key", "part"]).select("key", "part", "text", "size", "reach", "exit").mapInArrow(trace, f"key binary, part long, {MEASURED_SCHEMA if summed else 'ids binary, source binary'}")
 
 
 def marked(rows: DataFrame) -> DataFrame:
@@ -280,8 +285,8 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def encode_whole(rows: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, key, part 0, ids of rows of marked() that one task encodes each."""
+def encode_whole(rows: DataFrame, model_path: str, summed: bool = False) -> DataFrame:
+    """doc_id, key, part 0, ids of rows of marked() that one task encodes each; if summed, doc_id and measured() of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Unigram(model_path)
@@ -289,19 +294,25 @@ def encode_whole(rows: DataFrame, model_path: str) -> DataFrame:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 found = model.encode_all(part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([0] * len(found), pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "key", "part", "ids"])
+                if summed:
+                    yield pa.RecordBatch.from_arrays([part.column(0), *measured(model, found, [0] * len(found), part.column(1).to_pylist())], names=["doc_id", *MEASURED])
+                else:
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([0] * len(found), pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "key", "part", "ids"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, key binary, part long, ids binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, {MEASURED_SCHEMA if summed else 'key binary, part long, ids binary'}")
 
 
-def parts(df: DataFrame, id_col: str, text_col: str, model_path: str, chunk: int, group: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Short rows encoded; the chunks of each distinct giant text by key; (doc_id, key) of the rows with a giant text."""
+def parts(df: DataFrame, id_col: str, text_col: str, model_path: str, chunk: int, group: int, summed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Short rows encoded; the chunks of each distinct giant text by key; (doc_id, key) of the rows with a giant text.
+
+    If summed, measured() stands in the place of ids.
+    """
     rows = texts(df, id_col, text_col)
     # Lengths are asked of the stored text, before it is hashed and marked.
     giant = marked(rows.where(F.length("text") >= chunk))
     short = marked(rows.where(F.length("text") < chunk))
-    return encode_whole(short, model_path), encode_giants(giant.select("key", "text"), model_path, chunk, group), giant.select("doc_id", "key")
+    return encode_whole(short, model_path, summed), encode_giants(giant.select("key", "text"), model_path, chunk, group, summed), giant.select("doc_id", "key")
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model_path: str | None = None, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
@@ -339,23 +350,19 @@ def id_hash(ids: np.ndarray) -> int:
     return h
 
 
-def summary(pieces: DataFrame, model_path: str) -> DataFrame:
-    """Of pieces (their columns stay but ids): n, hash and whether decoding gives the text of source back."""
-    names = [c for c in pieces.columns if c not in ("ids", "source")]
+def measured(model: Unigram, ids: list[bytes], parts: list[int], sources: list[bytes]) -> list[pa.Array]:
+    """MEASURED of pieces: whether decoding gives the text of source (a SHA-256) back, their number of ids, their hash.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Unigram(model_path)
-        for b in batches:
-            n, hashes, right = [], [], []
-            for i, part, source in zip(b.column("ids"), b.column("part").to_pylist(), b.column("source").to_pylist(), strict=True):
-                ids = np.frombuffer(i.as_buffer(), "<u4")
-                n.append(len(ids))
-                hashes.append(id_hash(ids))
-                right.append(hashlib.sha256(model.decode(ids, part == 0).encode("utf-8", "surrogatepass")).digest() == source)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(right, pa.bool_()), pa.array(n, pa.int64()), pa.array(hashes, pa.int64())], names=[*names, "right", "n", "hash"])
-
-    more = [T.StructField("right", T.BooleanType()), T.StructField("n", T.LongType()), T.StructField("hash", T.LongType())]
-    return pieces.mapInArrow(run, T.StructType([*pieces.select(*names).schema, *more]))
+    Worked out in the task that made the ids: a second Python stage behind it would hold the model, its words and the
+    batches in a worker of its own beside the first one.
+    """
+    n, hashes, right = [], [], []
+    for i, part, source in zip(ids, parts, sources, strict=True):
+        found = np.frombuffer(i, "<u4")
+        n.append(len(found))
+        hashes.append(id_hash(found))
+        right.append(hashlib.sha256(model.decode(found, part == 0).encode("utf-8", "surrogatepass")).digest() == source)
+    return [pa.array(right, pa.bool_()), pa.array(n, pa.int64()), pa.array(hashes, pa.int64())]
 
 
 def default_model() -> str:
@@ -370,8 +377,8 @@ def digest(df: DataFrame, model_path: str | None = None, chunk: int = CHUNK, gro
     Of the chunks of a giant text only their hashes are gathered.
     """
     model_path = model_path or default_model()
-    short, chunks, giant = parts(df, "doc_id", "text", model_path, chunk, group)
-    one = summary(short.withColumn("source", F.col("key")), model_path).select("doc_id", F.col("n").alias("n_tokens"), F.lit(1).cast("long").alias("n_chunks"), F.col("hash").alias("ids_hash"), F.col("right").alias("round_trip"))
+    short, chunks, giant = parts(df, "doc_id", "text", model_path, chunk, group, summed=True)
+    one = short.select("doc_id", F.col("n").alias("n_tokens"), F.lit(1).cast("long").alias("n_chunks"), F.col("hash").alias("ids_hash"), F.col("right").alias("round_trip"))
 
     def join(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
         n, x, right, hashes = t.column("n").to_pylist(), t.column("hash").to_pylist(), t.column("right").to_numpy(), []
@@ -384,7 +391,7 @@ def digest(df: DataFrame, model_path: str | None = None, chunk: int = CHUNK, gro
         columns = [t.column("key").chunk(0).take(pa.array(first)), pa.array(np.add.reduceat(np.array(n), first)), pa.array(np.diff(edges)), pa.array(hashes, pa.int64()), pa.array(np.logical_and.reduceat(right, first))]
         yield pa.RecordBatch.from_arrays(columns, names=["key", "n_tokens", "n_chunks", "ids_hash", "round_trip"])
 
-    long = in_groups(summary(chunks, model_path), ["key"], join, "key binary, n_tokens long, n_chunks long, ids_hash long, round_trip boolean", ["part"])
+    long = in_groups(chunks, ["key"], join, "key binary, n_tokens long, n_chunks long, ids_hash long, round_trip boolean", ["part"])
     return one.unionByName(joined(cut(giant), long, "key").drop("key"))
 
 

@@ -515,6 +515,24 @@ def test_chunked_scan_equals_one_pass(spark, model):
     assert {r.doc_id: r.ids_hash for r in sentencepiece_scan.digest(docs(spark, rows)).collect()} == {i: r.ids_hash for i, r in out.items()}
 
 
+def python_stages(plan):
+    """The most Python stages that feed each other within one task of a logical plan, and of what it begins with."""
+    below = [python_stages(plan.children().apply(i)) for i in range(plan.children().length())]
+    most, begun = max((m for m, _ in below), default=0), max((b for _, b in below), default=0)
+    if plan.nodeName() == "MapInArrow":
+        begun += 1
+    elif plan.nodeName() not in ("Project", "Filter", "Union"):
+        begun = 0
+    return max(most, begun), begun
+
+
+def test_encoding_and_its_digest_share_a_worker(spark):
+    """A worker each for ids and their hashes would hold the model and the batches twice."""
+    rows = docs(spark, [(1, "ab cd"), (2, " ".join(words(400, 1)))])
+    for found in (sentencepiece_scan.digest(rows), sentencepiece_scan.digest(rows, chunk=64, group=3)):
+        assert python_stages(found._jdf.queryExecution().optimizedPlan())[0] == 1
+
+
 def test_token_counts_equal_encoding(spark, model, corpus):
     got = {r.doc_id: r for r in token_counts.count_tokens(docs(spark, corpus)).collect()}
     for i, t in corpus:
