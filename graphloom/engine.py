@@ -236,7 +236,7 @@ class Engine:
             if bounded:
                 children = below(verb, parents, children)
             children = self._with_links(children, kind, sub, options.get("links", {}), bounded)
-        return expand(verb, parents, children, payload, order, options.get("skip", 0), options.get("limit"), name)
+        return expand(verb, parents, children, payload, order, options.get("skip", 0), options.get("limit"), name, bounded)
 
     def _with_links(self, found: DataFrame, kind, tree: Schema, links: dict, bounded: bool) -> DataFrame:
         out, payloads = found, []

@@ -60,15 +60,25 @@ def exists(keys: DataFrame, outer: str) -> Column:
     return keys.where(F.col("__key") == F.col(outer).outer()).exists()
 
 
-def expand(verb: Verb, parents: DataFrame, children: DataFrame, payload: Column, order: list[Column], skip: int, limit: int | None, name: str) -> DataFrame:
+def expand(verb: Verb, parents: DataFrame, children: DataFrame, payload: Column, order: list[Column], skip: int, limit: int | None, name: str, bounded: bool = False) -> DataFrame:
     """(__parent, name): for each parent its children's payloads in order, from skip on, at most limit; by id without an order.
 
     parents: __parent (unique) and __source, what the verb matches.  Each (parent, child) counts once.
+    bounded: parents are few and broadcast, or children are those of a few already.
     """
-    kids = children.withColumn("__payload", payload)
     if verb.edges is None:
-        pairs = parents.join(kids.withColumn("__match", F.col(verb.target_column)), F.col("__source") == F.col("__match"))
+        children = children.withColumn("__match", F.col(verb.target_column))
+        if not bounded:
+            # Catalyst moves an EXISTS below the envelope: of children without a parent the stored columns alone are shuffled.
+            children = children.where(exists(parents.select(F.col("__source").alias("__key")), "__match"))
+        kids = children.withColumn("__payload", payload)
+        if not bounded and verb.source_column == "id" and kids.schema["__match"].dataType == parents.schema["__parent"].dataType:
+            # What a child holds is its parent's id.
+            pairs = kids.withColumn("__parent", F.col("__match"))
+        else:
+            pairs = parents.join(kids, F.col("__source") == F.col("__match"))
     else:
+        kids = children.withColumn("__payload", payload)
         e = verb.edges.select(F.col("from_id").alias("__from"), F.col("to_id").alias("__to")).distinct()
         pairs = parents.join(e, F.col("__source") == F.col("__from")).join(kids, F.col("__to") == F.col("id"))
     if order or skip or limit is not None:

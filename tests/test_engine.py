@@ -467,6 +467,22 @@ def test_untyped_queries_are_filtered_by_type(spark, tmp_path):
     assert [r.id for r in got.collect()] == ["1", "2"]
 
 
+def test_only_stored_columns_of_children_are_moved_to_the_parents_test(spark):
+    orders = contract(spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "key long, total long"), "order", F.col("key"))
+    lines = contract(spark.createDataFrame([(10, 1), (11, 3), (12, 3), (13, 4), (14, None)], "line long, of long"), "lineitem", F.col("line"))
+    e = Engine(spark, {kind("order"): orders, kind("lineitem"): lines}, [Verb("has line", kind("order"), kind("lineitem"), "id", "data.of")])
+    schema = {"properties": {"type": {"const": kind("order")}, "data": {"required": ["total"], "properties": {"total": {"minimum": 6}}}}, "anyOf": [{"$$links": {"has line": {"properties": {"type": {"const": kind("lineitem")}}}}}, True]}
+    found = e.query(schema, limit=None)
+    assert sorted((r.id, [x.id for x in r.links["has line"]]) for r in found.collect()) == [(2, []), (3, [11, 12])]
+
+    def joins(plan):
+        below = [plan.children().apply(i) for i in range(plan.children().length())]
+        here = [below[0].output().mkString(",")] if plan.nodeName() == "Join" and "LeftSemi" in plan.toString().split("\n")[0] else []
+        return here + [x for p in below for x in joins(p)]
+
+    assert any("of#" in x and "slug" not in x and "data" not in x for x in joins(found._jdf.queryExecution().optimizedPlan()))
+
+
 def test_bounded_parents_bound_their_linked_documents(spark):
     plain = spark.range(50).select(F.col("id").alias("k"), (F.col("id") % 10).alias("up"))
     tables = {f"{n}@1.0.0": contract(plain, n, F.col("k")) for n in "abc"}
