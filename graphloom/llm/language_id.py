@@ -8,10 +8,12 @@ rows of one (features x languages) matrix: whole texts are scored by table look-
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -177,7 +179,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, max_languages: int = MAX_LA
     """From rows (doc_id, text, lang); None if no language has a text with letters.
 
     Document frequencies and language counts cover all rows.  The sample takes, of each language, the rows of smallest
-    hash; its features, at most 2**BITS numbers a row, come to the driver.  More than max_languages languages raise
+    hash; its features, at most 2**BITS numbers a row, come to one task.  More than max_languages languages raise
     ValueError.  Rows without text or lang are ignored.
     """
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
@@ -218,7 +220,20 @@ def train(labelled: DataFrame, sample: int = SAMPLE, max_languages: int = MAX_LA
             found = [features_of(t, alphabet) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w.tolist() for w, _ in found], pa.list_(pa.int32())), pa.array([x.tolist() for _, x in found], pa.list_(pa.float32())), b.column(2)], names=["lang", "features", "tf", "place"])
 
-    taken = few.select("lang", "text", F.col("place").cast("long").alias("place")).mapInArrow(extract, "lang string, features array<int>, tf array<float>, place long").toPandas()
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = [t for t in map(pa.RecordBatch.to_pandas, batches) if len(t)]
+        model = fitted(pd.concat(taken), idf) if taken else None
+        parts = model and (model.languages, model.weights, model.bias, model.temperature)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(parts)], pa.binary())], names=["model"])
+
+    # One task fits the weights, so that the sample and what the fit works with take none of the driver's memory.
+    taken = few.select("lang", "text", F.col("place").cast("long").alias("place")).mapInArrow(extract, "lang string, features array<int>, tf array<float>, place long")
+    parts = pickle.loads(taken.repartition(1).mapInArrow(fit, "model binary").first()["model"])
+    return parts and Model(*parts)
+
+
+def fitted(taken: pd.DataFrame, idf: np.ndarray) -> Model | None:
+    """The model of a sample (lang, features, tf, place); None if no text of it has a letter."""
     taken = taken[taken["features"].map(len) > 0].sort_values(["lang", "place"])
     if taken.empty:
         return None

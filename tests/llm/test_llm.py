@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -417,6 +418,20 @@ def test_language_id(spark):
     assert kept.columns == wide.columns and {1000, 1001, 1002}.isdisjoint({x.doc_id for x in kept.collect()})
 
 
+def test_language_weights_are_not_fitted_on_the_driver(spark, monkeypatch):
+    rows = spark.createDataFrame([(n, TEXTS[x], x) for n, x in enumerate(list(TEXTS) * 8)], "doc_id long, text string, lang string")
+    driver, real = os.getpid(), language_id.ftrl
+
+    def away(*args):
+        assert os.getpid() != driver
+        return real(*args)
+
+    monkeypatch.setattr(language_id, "ftrl", away)
+    model = language_id.train(rows)
+    assert model.languages == sorted(TEXTS) and model.weights.shape == (1 << language_id.BITS, len(TEXTS))
+    assert language_id.train(rows.withColumn("text", F.lit("12"))) is None
+
+
 def test_ftrl_equals_the_plain_recurrence(monkeypatch):
     """Each coordinate on its own, in plain numbers: z and n by McMahan's update, the weight from them."""
     r = random.Random(9)
