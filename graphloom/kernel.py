@@ -30,6 +30,8 @@ from .streaming.changes import LinkTree, LiveQuery, _batches, _exists, _put, _wr
 LINK = "link@1.0.0"
 #: seq is the version shifted by so many bits, plus the number of the change in its commit; partitions of a reset are fewer than MOST_PARTITIONS.
 VERSION_SHIFT, MOST_PARTITIONS = 40, 1 << 16
+#: Rows of a file of documents, so that many tasks read a bulk commit even where a few wrote it.
+FILE_ROWS = 1 << 17
 #: Documents that a kernel remembers by versioned slug.
 REMEMBERED = 1000
 #: Active types and relationships.
@@ -51,16 +53,25 @@ class ContractStore:
 
     def now(self) -> DataFrame:
         base = max(_batches(self.spark, f"{self.path}/base"), default=-1)
-        newer = [v for v in _batches(self.spark, f"{self.path}/commits") if v > base]
-        read = self.spark.read.schema(ENVELOPE_TYPE)
-        df = read.parquet(f"{self.path}/base/{base}") if base >= 0 else self.spark.createDataFrame([], ENVELOPE_TYPE)
+        newer = sorted(v for v in _batches(self.spark, f"{self.path}/commits") if v > base)
+        read, there = self.spark.read.schema(ENVELOPE_TYPE), F.col("id").isNotNull()
+        if base < 0 and not newer:
+            return self.spark.createDataFrame([], ENVELOPE_TYPE)
+        # Without a base the first commit is one.
+        df = read.parquet(f"{self.path}/base/{base}") if base >= 0 else read.parquet(f"{self.path}/commits/{newer.pop(0)}/documents").where(there)
         if not newer:
             return df
-        seq = F.regexp_extract(F.input_file_name(), "/commits/([0-9]+)/", 1).cast("long")
-        rows = read.parquet(*(f"{self.path}/commits/{v}/documents" for v in newer)).withColumn("__seq", seq)
-        last = rows.groupBy(F.col("id").alias("__id")).agg(F.max("__seq").alias("__last"))
-        latest = rows.join(last, (F.col("id") == F.col("__id")) & (F.col("__seq") == F.col("__last"))).select(*df.columns)
-        return df.join(last.select("__id"), F.col("id") == F.col("__id"), "left_anti").unionByName(latest)
+        rows = read.parquet(*(f"{self.path}/commits/{v}/documents" for v in newer))
+        changed = rows.select(F.col("id").alias("__id"))
+        if len(newer) == 1:
+            latest = rows.where(there)
+        else:
+            # Unlike input_file_name(), the path is a column that filters pass by on their way to the scan.
+            seq = F.regexp_extract("_metadata.file_path", "/commits/([0-9]+)/", 1).cast("long")
+            rows = rows.withColumn("__seq", seq)
+            last = rows.groupBy(F.col("id").alias("__id")).agg(F.max("__seq").alias("__last"))
+            latest = rows.join(last, (F.col("id") == F.col("__id")) & (F.col("__seq") == F.col("__last"))).select(*df.columns)
+        return df.join(changed, F.col("id") == F.col("__id"), "left_anti").unionByName(latest)
 
     def commit(self, changed: DataFrame, changes: list[tuple[str, str, str]]) -> None:
         """changed: the new state of each document that changes; changes: (id, op, type)."""
@@ -76,7 +87,7 @@ class ContractStore:
         """changes: n, id, op, type; a change is known by its version and n."""
         v = self.version() + 1
         beside = f"{self.path}/staging/{v}-{uuid.uuid4().hex}"
-        changed.write.parquet(f"{beside}/documents")
+        changed.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{beside}/documents")
         changes.select(F.lit(v).cast("long").alias("version"), "n", (F.shiftleft(F.lit(v).cast("long"), VERSION_SHIFT) + F.col("n")).alias("seq"), "id", "op", "type").write.parquet(f"{beside}/changes")
         _put(self.spark, beside, f"{self.path}/commits/{v}")
 
@@ -150,7 +161,7 @@ class Kernel:
     def live(self, schema: Any, state: str, emit, actor: dict | None = None) -> LiveQuery:
         """A live query over this store's change log, for what an actor may see."""
         allowed = self.permission(actor)
-        tree = LinkTree(lambda: edges_of(self.links().withColumn("active", F.lit(True))))
+        tree = LinkTree(lambda: edges_of(self.links().withColumn("active", F.lit(True))), self.links)
         return LiveQuery(self.engine, schema if allowed is None else authorize(schema, allowed), state, emit, tree)
 
     def follow_types(self, state: str) -> LiveQuery:

@@ -12,6 +12,7 @@ import logging
 import time
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager, nullcontext
 from typing import Any
 
 from pyspark.errors import StreamingQueryException
@@ -75,10 +76,25 @@ class LinkTree:
     """Which roots a changed document or link may touch, and on which a root depends.
 
     edges() gives link_id, from_id, name, to_id of all links, removed ones too: a removed link touches the root it led from.
+    stored() is what edges() and the engine's edges are both worked out from, where that takes long.
     """
 
-    def __init__(self, edges: Callable[[], DataFrame]):
-        self.edges = edges
+    def __init__(self, edges: Callable[[], DataFrame], stored: Callable[[], DataFrame] | None = None):
+        self.edges, self.stored = edges, stored
+
+    @contextmanager
+    def kept(self):
+        """Within it the stored links are read once; plans made there find them as they read the same folders."""
+        if self.stored is None:
+            yield
+            return
+        links = self.stored().persist()
+        try:
+            # At once: steps that run side by side would each work them out.
+            links.count()
+            yield
+        finally:
+            links.unpersist()
 
     def _of(self, verb: str) -> DataFrame:
         text = [F.col(c).cast("string").alias(c) for c in ("link_id", "from_id", "to_id")]
@@ -134,15 +150,22 @@ class LiveQuery:
         """(root, id) as they are before a batch."""
         read = spark.read.schema(SEEN)
         whole = max((n for n in _batches(spark, f"{self.state}/whole") if n < 2 * batch + 1), default=-1)
-        now = read.parquet(f"{self.state}/whole/{whole}") if whole >= 0 else spark.createDataFrame([], SEEN)
-        newer = [n for n in _batches(spark, f"{self.state}/seen") if whole < n < 2 * batch + 1]
+        newer = sorted(n for n in _batches(spark, f"{self.state}/seen") if whole < n < 2 * batch + 1)
+        if whole < 0 and not newer:
+            return spark.createDataFrame([], SEEN)
+        # Without a whole the first folder is one.
+        now = read.parquet(f"{self.state}/whole/{whole}" if whole >= 0 else f"{self.state}/seen/{newer.pop(0)}").where("id IS NOT NULL")
         if not newer:
             return now
-        at = F.regexp_extract(F.input_file_name(), "/seen/([0-9]+)/", 1).cast("long")
-        rows = read.parquet(*(f"{self.state}/seen/{n}" for n in newer)).withColumn("__at", at)
-        last = rows.groupBy(F.col("root").alias("__root")).agg(F.max("__at").alias("__last"))
-        latest = rows.join(last, (F.col("root") == F.col("__root")) & (F.col("__at") == F.col("__last"))).where("id IS NOT NULL").select("root", "id")
-        return now.join(last.select("__root"), F.col("root") == F.col("__root"), "left_anti").unionByName(latest)
+        rows = read.parquet(*(f"{self.state}/seen/{n}" for n in newer))
+        changed = rows.select(F.col("root").alias("__root")).distinct()
+        if len(newer) > 1:
+            at = F.regexp_extract("_metadata.file_path", "/seen/([0-9]+)/", 1).cast("long")
+            rows = rows.withColumn("__at", at)
+            changed = rows.groupBy(F.col("root").alias("__root")).agg(F.max("__at").alias("__last"))
+            rows = rows.join(changed, (F.col("root") == F.col("__root")) & (F.col("__at") == F.col("__last")))
+        latest = rows.where("id IS NOT NULL").select("root", "id")
+        return now.join(changed.select("__root"), F.col("root") == F.col("__root"), "left_anti").unionByName(latest)
 
     def _entries(self, roots: DataFrame) -> DataFrame:
         """Rows of the seen-set for roots (id)."""
@@ -165,6 +188,12 @@ class LiveQuery:
 
     def process(self, changes: DataFrame, batch: int) -> None:
         """Events of one micro-batch of changes (seq, id, op and, where known, type)."""
+        with self.links.kept() if self.links is not None and any(links_of(parse(self.schema))) else nullcontext():
+            events = self._process(changes, batch)
+        self._compact(changes.sparkSession, batch)
+        self.emit(events, batch)
+
+    def _process(self, changes: DataFrame, batch: int) -> DataFrame:
         spark, engine, tree = changes.sparkSession, self.engine(), parse(self.schema)
         # A batch that is run again starts from the seen-set before it.
         seen = self._seen(spark, batch)
@@ -185,8 +214,7 @@ class LiveQuery:
         gone = events.where(F.col("event").isin(DELETE, UNMATCH)).select(F.col("id").alias("root"), F.lit(None).cast("string").alias("id"))
         fresh = self._entries(events.where(F.col("event").isin(INSERT, UPDATE)).select("id"))
         _write(gone.unionByName(fresh), f"{self.state}/seen/{2 * batch + 1}")
-        self._compact(spark, batch)
-        self.emit(events, batch)
+        return events
 
     def _compact(self, spark, batch: int) -> None:
         """Puts the seen-set before a batch together once it lies in many folders; what the batch itself needs stays."""

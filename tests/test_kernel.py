@@ -116,6 +116,38 @@ def test_nested_links_touch_their_roots(spark, tmp_path):
     assert [e for e in events if e] == [[(a["id"], "update")], [(a["id"], "unmatch")]]
 
 
+def test_a_later_commit_is_read_without_a_join_to_itself(spark, tmp_path):
+    k = Kernel(ContractStore(spark, f"{tmp_path}/s"), TypeRegistry(TYPES, RELATIONSHIPS))
+    k.insert_many([{"type": "card", "slug": s, "data": {"n": 0}} for s in "abc"] + [{"type": "thread", "slug": "t", "data": {"n": 0}}])
+    change = lambda slug, n: k.patch(f"{slug}@1.0.0", [{"op": "replace", "path": "/data/n", "value": n}])
+    cards = lambda: k.contracts.now().where("type = 'card@1.0.0'").selectExpr("slug", "try_variant_get(data, '$.n', 'int') AS n")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    pushed = "EqualTo(type,card@1.0.0)"
+    assert pushed in plan(cards()) and "Join" not in plan(cards())
+    change("a", 1)
+    one = plan(cards())
+    assert sum("Join" in line for line in one.split("\n")) == 1 and one.count(pushed) == 2
+    assert {(r.slug, r.n) for r in cards().collect()} == {("a", 1), ("b", 0), ("c", 0)}
+    for slug, n in (("b", 2), ("a", 3), ("t", 4), ("b", 5)):
+        change(slug, n)
+    assert sorted((r.slug, r.n) for r in cards().collect()) == [("a", 3), ("b", 5), ("c", 0)]
+    k.contracts.compact()
+    change("c", 6)
+    assert sorted((r.slug, r.n) for r in cards().collect()) == [("a", 3), ("b", 5), ("c", 6)] and k.contracts.now().count() == 4
+
+
+def test_links_are_worked_out_once_a_batch(world, tmp_path):
+    k, docs = world
+    schema = {"type": "object", "required": ["type"], "properties": {"type": {"const": "org@1.0.0"}}, "$$links": {"has member": {"required": ["slug"], "properties": {"slug": {"const": "user-ann"}}}}}
+    live = k.live(schema, f"{tmp_path}/once", lambda df, b: None)
+    stored = lambda: ["InMemoryTableScan" in df._jdf.queryExecution().executedPlan().toString() for df in (live.links.edges(), k.engine().edges)]
+    during, entries = [], live._entries
+    live._entries = lambda roots: (during.append(stored()), entries(roots))[1]
+    live.process(k.contracts.changes(), 0)
+    assert during == [[True, True]] and stored() == [False, False]
+    assert {(r.root == docs["org-x"]["id"], r.id in {docs["user-ann"]["id"], docs["org-x"]["id"]}) for r in live._seen(k.contracts.spark, 1).collect()} == {(True, True), (True, False)}
+
+
 def test_a_failing_live_query_starts_anew(world, tmp_path):
     k, docs = world
     heard, seen = [], []
