@@ -20,6 +20,8 @@ CACHE_WORDS = 400_000
 HOT = 256
 #: Slices of the rows of a hot key whose other side is too large to broadcast.
 SLICES = 64
+#: Whether Spark removes the shuffle files of a query when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _HORNER = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2, _S33 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
 
@@ -57,16 +59,27 @@ def own_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and stored in the shared folder: its lineage ends there and survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and stored in the shared folder: its lineage ends there and survives lost executors.
+
+    Shuffle files that led to it go as soon as it is stored.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        own = df.select("*")  # Spark reads the setting where a plan is made; what else is made of df keeps its shuffles
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return own.checkpoint(eager=True)
 
 
 def cut_and_free(df: DataFrame) -> DataFrame:
-    """cut(), and what led to df goes at once: Spark drops shuffle files and stored tables of plans that nothing refers to
-    any more only when the driver collects its garbage, which a driver with little to do may not do for half an hour."""
-    out = cut(df)
-    df.sparkSession._jvm.System.gc()
+    """cut(), and stored tables that led to df go soon: Spark drops those that nothing refers to any more only when the
+    driver collects its garbage, which a driver with little to do may not do for half an hour."""
+    jvm, out = df.sparkSession._jvm, cut(df)
+    del df
+    jvm.System.gc()
     return out
 
 
@@ -147,31 +160,45 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     """(node, component): the smallest node that each node of an edge reaches.
 
     Alternates large-star and small-star steps until the edge set is a forest of stars (logarithmically many rounds).
-    Every round looks up smallest neighbours twice, those of hot star centres by broadcast, and is written to the shared
-    folder.  Nulls and loops contribute nothing.
+    Every round counts the edges at each node, which tells whether another is needed and which nodes are hot, looks up
+    smallest neighbours twice, those of hot nodes by broadcast, and is written to the shared folder; what it has read and
+    shuffled goes at once.  Nulls and loops contribute nothing.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    for _ in range(max_rounds):
-        hot = hot_keys(e.select(F.explode(F.array("u", "v")).alias("k")), "k")
-        # Every edge's lower end gives way to its own smallest neighbour, if that is lower still.
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        large = joined(e, low.withColumnRenamed("u", "v"), "v", hot, nulls=False).select("u", F.coalesce("m", "v").alias("v")).distinct()
-        # All lower neighbours of a node, and it, go to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = joined(large, low, "u", hot, nulls=False).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.*")
-        e = cut(small.where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 7))")).first()
-        if now == before:
+    e = cut_and_free(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    for _ in range(max_rounds + 1):
+        ends = ends_of(e)
+        n_edges, open_, most_up, most_down = ends.agg(F.sum("up"), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))), F.max("up"), F.max("down")).first()
+        if not open_:
             break
-        before = now
+        hot = lambda side, most: [r[0] for r in ends.where(F.col(side) * HOT > n_edges).select("node").limit(HOT).collect()] if most * HOT > n_edges else []  # noqa: B023, E731
+        e = starred(e, ends, hot("up", most_up), hot("down", most_down))
     else:
         raise RuntimeError("connected components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def ends_of(e: DataFrame) -> DataFrame:
+    """(node, m, up, down) per node of distinct edges (u, v) with u > v: its smallest lower neighbour, the numbers of its lower and
+    of its higher neighbours.  The edges are a forest of stars about their smallest nodes if no node has two lower
+    neighbours, or one of either kind."""
+    end = lambda node, low: F.struct(F.col(node).alias("node"), low.alias("low"))
+    ends = e.select(F.explode(F.array(end("u", F.col("v")), end("v", F.lit(None).cast(e.schema["v"].dataType)))).alias("p")).select("p.*")
+    return cut_and_free(ends.groupBy("node").agg(F.min("low").alias("m"), F.count("low").alias("up"), F.count_if(F.col("low").isNull()).alias("down")))
+
+
+def starred(e: DataFrame, ends: DataFrame, hot_up: list, hot_down: list) -> DataFrame:
+    """The edges after a large-star and a small-star step; hot_up, hot_down: hot higher and lower ends."""
+    # Every edge's lower end gives way to its own smallest neighbour, if that is lower still; higher ends stay as frequent as they are.
+    lower = ends.where("m IS NOT NULL").select(F.col("node").alias("v"), "m")
+    large = cut_and_free(joined(e, lower, "v", hot_down, nulls=False).select("u", F.coalesce("m", "v").alias("v")))
+    # All lower neighbours of a node, and it, go to the smallest of them.
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = joined(large, low, "u", hot_up, nulls=False).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.*")
+    return cut_and_free(small.where("u <> v").distinct())
+
+
 class WordHashes(dict):
     """64-bit hashes of words given as bytes, remembered within a task."""
 

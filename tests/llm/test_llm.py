@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("graphloom.llm.registry")
 import public_tokenizers as P  # noqa: E402
 
-from graphloom.llm import chat_format, embedding_dedup, exact_dedup, language_id, license_scan, minhash_dedup, packing, secret_scan, sentencepiece_scan, token_counts  # noqa: E402
+from graphloom.llm import chat_format, common, embedding_dedup, exact_dedup, language_id, license_scan, minhash_dedup, packing, secret_scan, sentencepiece_scan, token_counts  # noqa: E402
 from graphloom.llm.common import components  # noqa: E402
 from graphloom.llm.unigram import ONE, SPACE, PrefixTrie, Unigram  # noqa: E402
 
@@ -174,6 +175,29 @@ def test_components(spark):
     assert got == {n: find(n) for e in edges for n in e if e[0] != e[1] or any(n in f and f[0] != f[1] for f in edges)}
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    rounds, starred = [], common.starred
+    monkeypatch.setattr(common, "starred", lambda *x: rounds.append(1) or starred(*x))
+    of = lambda edges: {n: c for n, c in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert of([(1, x) for x in range(2, 400)] + [(1000, 1001)]) == dict.fromkeys(range(1, 400), 1) | {1000: 1000, 1001: 1000} and not rounds
+    assert of([]) == of([(5, 5), (None, 1)]) == {} and not rounds
+    # A hot node with lower neighbours, and one with higher ones; one round makes stars of them, and no other confirms it.
+    assert of([(999, x) for x in range(400)] + [(1000, x) for x in range(1001, 1400)]) == dict.fromkeys([*range(400), 999], 0) | dict.fromkeys(range(1000, 1400), 1000) and len(rounds) == 1
+
+
+def test_shuffles_of_a_stored_table_go_at_once(spark):
+    tracker = spark._jsc.sc().env().mapOutputTracker()
+    held = lambda: set(tracker.shuffleStatuses().keySet().mkString(",").split(",")) - {""}
+    counts, before = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), held()
+    out = common.cut(counts)
+    for _ in range(100):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and out.count() == 7
+    assert spark.conf.get(common.CLEAN_UP) == "false" and sorted(counts.collect()) == sorted(out.collect())
+
+
 def test_packing(spark, corpus):
     rows = packing.pack(docs(spark, corpus).repartition(3)).collect()
     encode = packing.Encoder(P.path("byte_bpe_50k.json"), None, None)
